@@ -197,15 +197,15 @@ put("token_length_word", r"""SELECT doc_id,
 put("token_length_plug_in", f"WITH {LEN} SELECT doc_id, token_length FROM lens")
 put("length_filter", f"WITH {LEN} SELECT doc_id, token_length FROM lens WHERE token_length <= 1000")
 put("length_filter_stats", f"""WITH {LEN} SELECT count(*) AS rows_before, round(avg(token_length), 6) AS mean_before,
-  max(token_length) AS max_before, count(*) FILTER (token_length <= 1000) AS rows_after,
+  max(token_length)::BIGINT AS max_before, count(*) FILTER (token_length <= 1000) AS rows_after,
   round(avg(token_length) FILTER (token_length <= 1000), 6) AS mean_after,
-  max(token_length) FILTER (token_length <= 1000) AS max_after,
+  (max(token_length) FILTER (token_length <= 1000))::BIGINT AS max_after,
   count(*) FILTER (token_length > 1000) AS rows_over_limit, count(*) FILTER (token_length > 1000) AS removed,
   round(100e0 * count(*) FILTER (token_length > 1000) / count(*), 6) AS removed_pct,
   round(quantile_cont(token_length::DOUBLE, 0.5), 6) AS median_before,
   round(quantile_cont(token_length::DOUBLE, 0.5) FILTER (token_length <= 1000), 6) AS median_after FROM lens""")
 put("length_stats_by_source", f"""WITH {LEN} SELECT source, count(*) AS rows_before, round(avg(token_length), 6) AS mean_before,
-  max(token_length) AS max_before, round(quantile_cont(token_length::DOUBLE, 0.5), 6) AS median_before FROM lens GROUP BY source""")
+  max(token_length)::BIGINT AS max_before, round(quantile_cont(token_length::DOUBLE, 0.5), 6) AS median_before FROM lens GROUP BY source""")
 put("normalize_label", f"""WITH {REPLIES} SELECT doc_id,
   CASE WHEN lower(trim(label)) IN ('yes', 'true', '1') THEN 1 ELSE 0 END AS label_int,
   CASE WHEN label IS NULL OR lower(trim(label)) IN ('no', 'false', '0') THEN 'no'

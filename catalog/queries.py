@@ -723,23 +723,28 @@ def weight_ratio(spark, d):
     return rounded(model.weight_ratio(model.class_weights(src.labelled(spark, d))))
 
 
+BUCKETS = 2**18  # fewer hash buckets than the default: the test tables are small
+
+
 def _split_docs(spark, d) -> dict[str, DataFrame]:
     docs = src.labelled(spark, d).select("doc_id", "text", "label")
     parts = split.stratified_split(docs, "label", "doc_id", {"train": 0.6, "val": 0.2, "test": 0.2})
-    return {name: parts.where(F.col("split") == name) for name in ("train", "val", "test")}
+    path = sinks.write_parquet(parts, fresh_path(spark, "splits"), "split")
+    saved = spark.read.parquet(path)
+    return {name: saved.where(F.col("split") == name).drop("split") for name in ("train", "val", "test")}
 
 
 @query
 def train_predict(spark, d):
     parts = _split_docs(spark, d)
-    fitted = model.train_text_classifier(parts["train"])
+    fitted = model.train_text_classifier(parts["train"], buckets=BUCKETS)
     return model.predict(fitted, parts["test"]).drop("text")
 
 
 @query
 def model_reload(spark, d):
     parts = _split_docs(spark, d)
-    fitted = model.train_text_classifier(parts["train"], buckets=2**16)
+    fitted = model.train_text_classifier(parts["train"], buckets=BUCKETS)
     threshold = curves.optimal_threshold(
         model.predict(fitted, parts["val"]).withColumnRenamed("label", "true_label"), 0.95
     )
@@ -751,5 +756,5 @@ def model_reload(spark, d):
 @query
 def train_evaluate(spark, d):
     parts = _split_docs(spark, d)
-    result = run_pipeline(parts["train"], parts["val"], parts["test"], fresh_path(spark, "trained"), buckets=2**16)
+    result = run_pipeline(parts["train"], parts["val"], parts["test"], fresh_path(spark, "trained"), buckets=BUCKETS)
     return result["grid"]

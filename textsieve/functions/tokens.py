@@ -39,7 +39,10 @@ def mask_prompt(
     """
     if position not in ("first", "last"):
         raise ValueError(f"unknown position {position!r}")
-    hits = F.zip_with(_starts(ids, yes_ids), _starts(ids, no_ids), lambda y, n: y | n)
+    if len(yes_ids) == len(no_ids) == 1:
+        hits = F.transform(ids, lambda x: x.isin(yes_ids[0], no_ids[0]))
+    else:
+        hits = F.zip_with(_starts(ids, yes_ids), _starts(ids, no_ids), lambda y, n: y | n)
     if position == "first":
         longest = max(len(yes_ids), len(no_ids))
         hits = F.slice(hits, 1, F.greatest(F.size(ids) - longest, F.lit(0)))

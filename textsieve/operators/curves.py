@@ -58,6 +58,7 @@ def roc_auc_report(pred: DataFrame, by: str = "dataset_name") -> DataFrame:
 
 
 def _curve_points(pred: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Cumulative counts, precision and recall per distinct score; ``last`` marks the highest score."""
     hist = score_histogram(pred, by).where(F.col("_key").isNotNull())
     ranked = prefix_sums(hist, "_key", ["pos", "neg"], by)
     tp = F.col("pos_total") - F.col("pos_before")
@@ -70,25 +71,22 @@ def _curve_points(pred: DataFrame, by: Sequence[str]) -> DataFrame:
         fp.alias("fp"),
         (tp.cast("double") / (tp + fp)).alias("precision"),
         recall.alias("recall"),
+        ((tp == F.col("pos")) & (fp == F.col("neg"))).alias("last"),
     )
 
 
 def pr_curve(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One point per distinct score (``score >= threshold`` counts as class 1), plus the end point.
 
-    The end point has precision 1, recall 0 and no threshold.
+    The end point has precision 1, recall 0 and no threshold; the row of the highest
+    score brings it along.
     """
-    points = _curve_points(pred, by)
-    end = pred.groupBy(*by).agg(F.lit(0).cast("bigint").alias("tp"), F.lit(0).cast("bigint").alias("fp"))
-    end = end.select(
-        *by,
-        F.lit(None).cast("double").alias("threshold"),
-        "tp",
-        "fp",
-        F.lit(1.0).alias("precision"),
-        F.lit(0.0).alias("recall"),
-    )
-    return points.unionByName(end)
+    none, zero = F.lit(None).cast("double"), F.lit(0).cast("bigint")
+    names = ("threshold", "tp", "fp", "precision", "recall")
+    point = F.struct(*names)
+    end = F.struct(*[v.alias(n) for n, v in zip(names, (none, zero, zero, F.lit(1.0), F.lit(0.0)), strict=True)])
+    points = F.when(F.col("last"), F.array(point, end)).otherwise(F.array(point))
+    return _curve_points(pred, by).select(*by, F.inline(points))
 
 
 def optimal_threshold(pred: DataFrame, target_recall: float = 0.98, by: Sequence[str] = ()) -> DataFrame:
@@ -97,12 +95,11 @@ def optimal_threshold(pred: DataFrame, target_recall: float = 0.98, by: Sequence
     Ties take the lowest threshold. When the target is out of reach, the point of
     highest recall. Null without positives.
     """
-    points = _curve_points(pred, by).where(F.col("recall").isNotNull())
     reaches = F.col("recall") >= F.lit(float(target_recall))
     low_first = (-F.col("threshold")).alias("neg")
-    best = points.groupBy(*by).agg(
+    best = _curve_points(pred, by).groupBy(*by).agg(
         F.max(F.when(reaches, F.struct("precision", low_first, "recall"))).alias("hit"),
-        F.max(F.struct("recall", low_first, "precision")).alias("fallback"),
+        F.max(F.when(F.col("recall").isNotNull(), F.struct("recall", low_first, "precision"))).alias("fallback"),
     )
 
     def pick(field: str):
@@ -110,12 +107,6 @@ def optimal_threshold(pred: DataFrame, target_recall: float = 0.98, by: Sequence
 
     p, r = pick("precision"), pick("recall")
     f1 = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.when((p + r).isNotNull(), F.lit(0.0)))
-    found = best.select(
+    return best.select(
         *by, (-pick("neg")).alias("threshold"), r.alias("recall"), p.alias("precision"), f1.alias("f1")
     )
-    if not by:
-        return found
-    groups = pred.select(*by).distinct()
-    return groups.alias("g").join(found.alias("f"), same_keys("g", "f", by), "left").select(
-        "g.*", "f.threshold", "f.recall", "f.precision", "f.f1"
-    )

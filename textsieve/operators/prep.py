@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.labels import filename_label
 from ..functions.text import pct, token_count
-from .ranks import quantiles_of_histogram
+from .ranks import interpolate, prefix_sums, quantile_aggs
 
 # Columns a labelled corpus does not keep, and the token limit.
 DROPPED_COLUMNS = ("dump", "url", "date")
@@ -75,36 +75,46 @@ def filter_max_tokens(df: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
 def length_stats(df: DataFrame, max_tokens: int | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Mean, median and maximum token length, and what a limit would remove.
 
-    One pass builds the histogram of lengths; everything else reads that.
+    The rows are read once, into a histogram of lengths. Unknown lengths and those
+    over the limit stay in it with a zero count, since a filter on the histogram would
+    be pushed down into a second scan.
     """
-    hist = df.groupBy(*by, F.col("token_length").alias("value")).agg(F.count("*").alias("n"))
-    kept = F.lit(True) if max_tokens is None else F.coalesce(F.col("value") <= max_tokens, F.lit(False))
-    known = F.col("value").isNotNull()
-    weight, value = F.col("n"), F.col("value").cast("double")
-    stats = hist.groupBy(*by).agg(
-        F.sum("n").alias("rows_before"),
-        (F.sum(value * weight) / F.sum(F.when(known, weight))).alias("mean_before"),
-        F.max("value").alias("max_before"),
-        F.coalesce(F.sum(F.when(kept, weight)), F.lit(0)).alias("rows_after"),
-        (F.sum(F.when(kept, value * weight)) / F.sum(F.when(kept & known, weight))).alias("mean_after"),
-        F.max(F.when(kept, F.col("value"))).alias("max_after"),
-        F.coalesce(F.sum(F.when(F.col("value") > (max_tokens or 0), weight)), F.lit(0)).alias("rows_over_limit"),
-    )
-    removed = F.col("rows_before") - F.col("rows_after")
-    stats = stats.withColumns(
+    length = F.col("token_length").cast("bigint")
+    hist = df.groupBy(*by, length.alias("value")).agg(F.count("*").alias("n"))
+    value, n = F.col("value"), F.col("n")
+    limited = max_tokens is not None
+    kept = value <= max_tokens if limited else value.isNotNull()
+    hist = hist.withColumns(
         {
-            "removed": removed,
-            "removed_pct": F.coalesce(pct(removed, F.col("rows_before")), F.lit(0.0)),
+            "_key": F.coalesce(value, F.lit(-1)),
+            "n_known": F.when(value.isNotNull(), n).otherwise(0),
+            "n_kept": F.when(kept, n).otherwise(0),
+        }
+    )
+    ranked = prefix_sums(hist, "_key", ["n_known", "n_kept"], by)
+
+    def mean(weight: str) -> Column:
+        total = F.sum(weight)
+        return F.when(total > 0, F.sum(value * F.col(weight)).cast("double") / total)
+
+    rows, rows_kept = (F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "n_kept"))
+    stats = {"rows_before": rows, "mean_before": mean("n_known"), "max_before": F.max("value")}
+    medians = {"median_before": "n_known"}
+    if limited:
+        stats |= {
+            "rows_after": rows_kept,
+            "mean_after": mean("n_kept"),
+            "max_after": F.max(F.when(kept, value)),
+            "rows_over_limit": F.coalesce(F.sum(F.when(value > max_tokens, n)), F.lit(0)),
+            "removed": rows - rows_kept,
+            "removed_pct": F.coalesce(pct(rows - rows_kept, rows), F.lit(0.0)),
         }
+        medians |= {"median_after": "n_kept"}
+    found = ranked.groupBy(*by).agg(
+        *[c.alias(name) for name, c in stats.items()],
+        *[a for name, count in medians.items() for a in quantile_aggs({name: 0.5}, value, count)],
     )
-    if max_tokens is None:
-        stats = stats.drop("rows_over_limit", "removed", "removed_pct", "rows_after", "mean_after", "max_after")
-    medians = quantiles_of_histogram(hist.where(known), "value", "n", {"median_before": 0.5}, by)
-    out = _join_by(stats, medians, by)
-    if max_tokens is not None:
-        after = quantiles_of_histogram(hist.where(kept & known), "value", "n", {"median_after": 0.5}, by)
-        out = _join_by(out, after, by)
-    return out
+    return found.select(*by, *stats, *[interpolate(name) for name in medians])
 
 
 def _join_by(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -52,25 +52,32 @@ def prefix_sums(hist: DataFrame, key: str, sums: Sequence[str], by: Sequence[str
     """Add, per row, ``<sum>_before`` (smaller keys of the group) and ``<sum>_total`` (whole group).
 
     ``hist`` has one row per group and key; ``key`` is a bigint that is never null.
+    The group travels as one struct: it is never null, even where its fields are, so
+    the joins are plain equality on the columns the windows are partitioned by.
     """
-    roots, nodes, leaves = _levels(hist, key, sums, by)
-    whole = Window.partitionBy(*by)
+    group = ["_group"] if by else []
+    keyed = hist.withColumn("_group", F.struct(*by)) if by else hist
+    roots, nodes, leaves = _levels(keyed, key, sums, group)
+    whole = Window.partitionBy(*group)
     roots = roots.withColumns(
-        {**_before(sums, by, "_hi"), **{f"_t_{s}": F.sum(s).over(whole) for s in sums}}
+        {**_before(sums, group, "_hi"), **{f"_t_{s}": F.sum(s).over(whole) for s in sums}}
     )
-    nodes = nodes.withColumns(_before(sums, [*by, "_hi"], "_mid"))
-    leaves = leaves.withColumns(_before(sums, [*by, "_hi", "_mid"], key))
-    n = nodes.alias("n").join(roots.alias("r"), same_keys("n", "r", [*by, "_hi"]))
-    n = n.select(
-        *[F.col(f"n.{c}") for c in (*by, "_hi", "_mid")],
-        *[(F.col(f"n._b_{s}") + F.col(f"r._b_{s}")).alias(f"_b_{s}") for s in sums],
-        *[F.col(f"r._t_{s}") for s in sums],
+    nodes = nodes.withColumns(_before(sums, [*group, "_hi"], "_mid"))
+    leaves = leaves.withColumns(_before(sums, [*group, "_hi", "_mid"], key))
+    upper = roots.select(
+        *group, "_hi", *[F.col(f"_b_{s}").alias(f"_u_{s}") for s in sums], *[f"_t_{s}" for s in sums]
     )
-    joined = leaves.alias("l").join(n.alias("n"), same_keys("l", "n", [*by, "_hi", "_mid"]))
-    return joined.select(
-        *[F.col(f"l.{c}") for c in hist.columns],
-        *[(F.col(f"l._b_{s}") + F.col(f"n._b_{s}")).alias(f"{s}_before") for s in sums],
-        *[F.col(f"n._t_{s}").alias(f"{s}_total") for s in sums],
+    offsets = nodes.join(upper, [*group, "_hi"]).select(
+        *group,
+        "_hi",
+        "_mid",
+        *[(F.col(f"_b_{s}") + F.col(f"_u_{s}")).alias(f"_o_{s}") for s in sums],
+        *[f"_t_{s}" for s in sums],
+    )
+    return leaves.join(offsets, [*group, "_hi", "_mid"]).select(
+        *hist.columns,
+        *[(F.col(f"_b_{s}") + F.col(f"_o_{s}")).alias(f"{s}_before") for s in sums],
+        *[F.col(f"_t_{s}").alias(f"{s}_total") for s in sums],
     )
 
 
@@ -101,25 +108,36 @@ def value_key(df: DataFrame, col: str) -> Column:
     return ordered_key(F.col(col).cast("double"))
 
 
+def quantile_aggs(probs: Mapping[str, float], value: Column, count: str) -> list[Column]:
+    """Aggregates over ``prefix_sums`` rows that ``interpolate`` turns into exact quantiles.
+
+    ``count`` names the summed column; rows with a zero count take no part.
+    """
+    aggs = []
+    n, before, total = F.col(count), F.col(f"{count}_before"), F.col(f"{count}_total")
+    for name, q in probs.items():
+        place = (total - 1) * F.lit(float(q))
+        for side, rank in (("lo", F.floor(place)), ("hi", F.ceil(place))):
+            here = (before <= rank) & (rank < before + n)
+            aggs.append(F.max(F.when(here, value.cast("double"))).alias(f"_{side}_{name}"))
+        aggs.append(F.max(place - F.floor(place)).alias(f"_part_{name}"))
+    return aggs
+
+
+def interpolate(name: str) -> Column:
+    """The quantile ``name``, linear between its two neighbours."""
+    low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+    return (low + (high - low) * F.col(f"_part_{name}")).alias(name)
+
+
 def quantiles_of_histogram(
     hist: DataFrame, value: str, count: str, probs: Mapping[str, float], by: Sequence[str] = ()
 ) -> DataFrame:
-    """Exact quantiles with linear interpolation from ``(group, value, count)`` rows."""
+    """Exact quantiles from ``(group, value, count)`` rows."""
     keyed = hist.select(*by, value, F.col(count).alias("_n")).withColumn("_key", value_key(hist, value))
     ranked = prefix_sums(keyed.where(F.col("_key").isNotNull()), "_key", ["_n"], by)
-    aggs = []
-    for name, q in probs.items():
-        place = (F.col("_n_total") - 1) * F.lit(float(q))
-        for side, rank in (("lo", F.floor(place)), ("hi", F.ceil(place))):
-            here = (F.col("_n_before") <= rank) & (rank < F.col("_n_before") + F.col("_n"))
-            aggs.append(F.max(F.when(here, F.col(value).cast("double"))).alias(f"_{side}_{name}"))
-    found = ranked.groupBy(*by).agg(*aggs, F.max("_n_total").alias("_total"))
-    out = []
-    for name, q in probs.items():
-        place = (F.col("_total") - 1) * F.lit(float(q))
-        low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        out.append((low + (high - low) * (place - F.floor(place))).alias(name))
-    return found.select(*by, *out)
+    found = ranked.groupBy(*by).agg(*quantile_aggs(probs, F.col(value), "_n"))
+    return found.select(*by, *[interpolate(name) for name in probs])
 
 
 def upper_median(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
