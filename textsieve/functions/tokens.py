@@ -20,10 +20,14 @@ def _starts(ids: Column, needle: Sequence[int]) -> Column:
     Shifted copies are zipped together, so that no lambda reaches back into ``ids``:
     a computed array would be computed again for every element.
     """
+
+    def extend(hits: Column, shift: int, token: int) -> Column:
+        rest = F.slice(ids, shift, F.size(ids))
+        return F.zip_with(hits, rest, lambda h, x: h & F.coalesce(x == token, F.lit(False)))
+
     hits = F.transform(ids, lambda x: x == needle[0])
     for shift, token in enumerate(needle[1:], 2):
-        rest = F.slice(ids, shift, F.size(ids))
-        hits = F.zip_with(hits, rest, lambda h, x, t=token: h & F.coalesce(x == t, F.lit(False)))
+        hits = extend(hits, shift, token)
     return hits
 
 
