@@ -41,12 +41,17 @@ def read_corpus(
 
 
 def read_csv_split(spark: SparkSession, path: str, schema: T.StructType = SPLIT_SCHEMA) -> DataFrame:
-    """A CSV split. Texts hold newlines and quotes, hence multiLine and the doubled-quote escape."""
+    """A CSV split. Texts hold newlines and quotes, hence multiLine and the doubled-quote escape.
+
+    An empty field is null and a quoted empty one an empty text. The reader only tells
+    them apart when its null marker is something else, here a character no text has.
+    """
     return (
         spark.read.option("header", True)
         .option("multiLine", True)
         .option("quote", '"')
         .option("escape", '"')
+        .option("nullValue", "\x00")
         .schema(schema)
         .csv(path)
     )

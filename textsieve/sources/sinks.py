@@ -41,9 +41,10 @@ def write_csv(
     (
         out.write.mode(mode)
         .option("header", True)
-        .option("quoteAll", True)
         .option("quote", '"')
         .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .option("maxRecordsPerFile", max_records_per_file)
         .csv(path)
     )
