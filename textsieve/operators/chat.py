@@ -25,13 +25,14 @@ def render_chat(
     other turn. After it, turns must alternate and start with the user; where they
     do not, ``prompt`` is null and ``ok`` false, to be parted with ``split_rejects``.
     So is a conversation too large for one string: its size is summed up first, and
-    its turns are never gathered.
+    its turns are never gathered. There are at most as many such conversations as
+    ``max_bytes`` goes into all text, so their ids can be broadcast.
     """
     sizes = df.groupBy(F.col(conv).alias("_conv")).agg(
         F.sum(F.octet_length(F.coalesce(text, F.lit(""))) + 64).alias("_bytes")
     )
     too_large = sizes.where(F.col("_bytes") > max_bytes).select("_conv")
-    fitting = df.join(too_large, F.col(conv).eqNullSafe(F.col("_conv")), "left_anti")
+    fitting = df.join(F.broadcast(too_large), F.col(conv).eqNullSafe(F.col("_conv")), "left_anti")
 
     turns = F.array_sort(
         F.collect_list(F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")))

@@ -98,33 +98,29 @@ def value_counts(df: DataFrame, cols: Sequence[str] | None = None, top: int = 5)
     """
     if cols is None:
         cols = [f.name for f in df.schema.fields if _is_category(f.dataType)]
-    best = _top_values(_category_counts(df, cols), top)
-    text_cols = [c for c in cols if dict(df.dtypes)[c] == "string"]
-    if not text_cols:
-        return best.select("column", "rank", F.col("short").alias("value"), "count")
+    w = Window.partitionBy("column").orderBy(F.desc("count"), "hash")
+    ranks = _category_counts(df, cols).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    found = _with_values(df, cols, ranks)
+    return found.select("column", "rank", "value", "count")
 
-    def long_cell(c: str) -> Column:
-        text = F.col(f"`{c}`")
-        return F.struct(
-            F.lit(c).alias("_column"), F.when(F.length(text) > _SHORT, F.sha2(text, 256)).alias("_hash"), text.alias("_text")
-        )
 
-    wanted = best.where(F.col("short").isNull()).select("column", "hash", "rank", "count")
-    long_cells = _melt(df, text_cols, long_cell).where(F.col("_hash").isNotNull())
-    # At most `top` rows per column.
-    found = long_cells.join(
-        F.broadcast(wanted), (F.col("_column") == F.col("column")) & (F.col("_hash") == F.col("hash"))
-    )
-    long_values = found.groupBy("column", "rank", "count").agg(F.first("_text").alias("value"))
-    short_values = best.where(F.col("short").isNotNull()).select(
-        "column", "rank", "count", F.col("short").alias("value")
-    )
-    return short_values.unionByName(long_values).select("column", "rank", "value", "count")
+def _with_values(df: DataFrame, cols: Sequence[str], winners: DataFrame) -> DataFrame:
+    """Add ``value`` to a few ``(column, hash, short, ...)`` rows, a fixed number per column."""
+    texts = [c for c in cols if dict(df.dtypes)[c] == "string"]
+    short = winners.where(F.col("short").isNotNull()).withColumn("value", F.col("short"))
+    if not texts:
+        return short
 
+    def cell(c: str) -> Column:
+        text = F.col(f"`{c}`")
+        long_hash = F.when(F.length(text) > _SHORT, F.sha2(text, 256))
+        return F.struct(F.lit(c).alias("_column"), long_hash.alias("_hash"), text.alias("_text"))
 
-def _top_values(counts: DataFrame, top: int) -> DataFrame:
-    w = Window.partitionBy("column").orderBy(F.desc("count"), "hash")
-    return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    wanted = winners.where(F.col("short").isNull())
+    cells = _melt(df, texts, cell).where(F.col("_hash").isNotNull())
+    same = (F.col("_column") == F.col("column")) & (F.col("_hash") == F.col("hash"))
+    found = cells.join(F.broadcast(wanted), same).groupBy(*winners.columns).agg(F.first("_text").alias("value"))
+    return short.unionByName(found)
 
 
 def profile(df: DataFrame, approx: bool = False) -> DataFrame:
@@ -165,10 +161,8 @@ def profile(df: DataFrame, approx: bool = False) -> DataFrame:
     out = df.agg(*aggs).select(F.inline(F.array(*[_cell(*c) for c in cells])))
     if numbers and not approx:
         out = out.unionByName(_quartiles(df, numbers))
-    if categories and not approx:
-        out = out.unionByName(_unique(df, categories))
     if categories:
-        out = out.unionByName(_top(df, categories))
+        out = out.unionByName(_category_stats(df, categories, exact=not approx))
     return out
 
 
@@ -196,18 +190,16 @@ def _quartiles(df: DataFrame, numbers: Sequence[str]) -> DataFrame:
     return q.select(F.inline(F.array(*stats)))
 
 
-def _unique(df: DataFrame, categories: Sequence[str]) -> DataFrame:
-    per = _category_counts(df, categories).groupBy("column").agg(F.count("*").alias("n"))
-    return per.select(F.inline(F.array(_cell(F.col("column"), "unique", F.col("n"), F.lit(None)))))
-
-
-def _top(df: DataFrame, categories: Sequence[str]) -> DataFrame:
-    best = value_counts(df, categories, top=1)
-    return best.select(
-        F.inline(
-            F.array(
-                _cell(F.col("column"), "top", F.lit(None), F.col("value")),
-                _cell(F.col("column"), "freq", F.col("count"), F.lit(None)),
-            )
-        )
-    )
+def _category_stats(df: DataFrame, categories: Sequence[str], exact: bool) -> DataFrame:
+    """Distinct values, the most frequent one and how often it occurs."""
+    first = F.min(F.struct((-F.col("count")).alias("n"), "hash", "short"))
+    best = _category_counts(df, categories).groupBy("column").agg(F.count("*").alias("unique"), first.alias("_first"))
+    best = best.select("column", "unique", "_first.hash", "_first.short", (-F.col("_first.n")).alias("count"))
+    none = F.lit(None)
+    stats = [
+        _cell(F.col("column"), "top", none, F.col("value")),
+        _cell(F.col("column"), "freq", F.col("count"), none),
+    ]
+    if exact:
+        stats.append(_cell(F.col("column"), "unique", F.col("unique"), none))
+    return _with_values(df, categories, best).select(F.inline(F.array(*stats)))
