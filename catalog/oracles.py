@@ -282,6 +282,14 @@ SELECT doc_id, round(CASE WHEN k = 0 THEN 0.5e0 WHEN k = 1 THEN 1 - p ELSE p END
   CASE WHEN k < 2 THEN 'nonai' ELSE 'ai' END AS top_label, round(p, 6) AS top_confidence FROM q""")
 put("score_documents", """SELECT doc_id, CASE WHEN length(text) % 17 = 0 THEN 0.5e0 ELSE (length(text) % 101) / 100e0 END AS ai_probability,
   CASE WHEN length(text) % 17 = 0 THEN 'ERROR: unlucky length' END AS error FROM documents""")
+ANSWERED = """q AS (SELECT doc_id, text, length(text) % 17 = 0 AS bad, length(text) % 3 > 0 AS sure,
+    ((8 - length(text) % 8) % 8) / 4e0 AS no FROM documents),
+a AS (SELECT *, CASE WHEN bad THEN 'ERROR: no route' WHEN sure THEN 'Yes' ELSE 'maybe no' END AS response FROM q)"""
+put("score_replies", f"""WITH {ANSWERED} SELECT doc_id, response, CASE WHEN bad THEN response END AS error,
+  round(CASE WHEN bad THEN 0.5e0 WHEN sure THEN exp(-0.25e0) / (exp(-0.25e0) + exp(no)) ELSE 0e0 END, 6) AS ai_probability FROM a""")
+put("reply_classification", f"""WITH {ANSWERED}, e AS (SELECT md5(text) AS text_full, CASE quality WHEN 1 THEN 'yes' ELSE 'no' END AS label, response,
+    CASE WHEN response = 'Yes' THEN 'yes' ELSE 'no' END AS extracted FROM a JOIN labels USING (doc_id))
+SELECT *, label = extracted AS is_correct FROM e""")
 put("cached_predictions", f"""WITH {LABELLED} SELECT CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS text,
   label AS true_label, source AS dataset_name,
   CASE WHEN length(text) % 17 = 0 THEN 0.5e0 ELSE (length(text) % 101) / 100e0 END AS ai_probability FROM labelled""")
@@ -457,7 +465,7 @@ def masked(at: str) -> str:
 
 
 put("truncate_tokens", f"WITH {IDS} SELECT doc_id, array_to_string(ids[1:100], ',') AS ids FROM ids")
-put("mask_labels", f"WITH {POSITIONS} SELECT doc_id, {masked('last_at')} AS last, {masked('first_at')} AS first  FROM spots")
+put("mask_labels", f"WITH {POSITIONS} SELECT doc_id, {masked('last_at')} AS last, {masked('first_at')} AS first, (CASE WHEN found THEN last_at ELSE 0 END)::INT AS masked FROM spots")
 put("pad_batch", f"""WITH {IDS}, b AS (SELECT doc_id, doc_id // 16 AS batch, ids[1:100] AS ids, ids[1:50] AS labels FROM ids),
 m AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) AS li, max(len(labels)) OVER (PARTITION BY batch) AS ll FROM b)
 SELECT doc_id, array_to_string(list_concat(ids, list_transform(range(0, li - len(ids)), lambda x: 0)), ',') AS ids,

@@ -12,7 +12,7 @@ from textsieve.functions import text as tx
 from textsieve.functions import tokens as tk
 from textsieve.operators import chat, cost, curves, evaluate, keywords, model, prep, profile, scoring, sequences, split
 from textsieve.operators import replies as rep
-from textsieve.plans.evaluation import predict_and_cache
+from textsieve.plans.evaluation import classify_by_reply, predict_and_cache
 from textsieve.plans.training import run_pipeline
 from textsieve.session import fresh_path
 from textsieve.sources import gates, readers, sinks
@@ -345,6 +345,30 @@ def score_documents(spark, d):
     return scoring.score_documents(docs, _length_scorer).select("doc_id", "ai_probability", "error")
 
 
+def _length_replier():
+    def reply(texts):
+        if any(len(t) % 17 == 0 for t in texts):
+            raise ValueError("no route")
+        return [("Yes", [("Yes", -0.25), ("No", -len(t) % 8 / 4)]) if len(t) % 3 else "maybe no" for t in texts]
+
+    return reply
+
+
+@query
+def score_replies(spark, d):
+    docs = src.table(spark, d, "documents").select("doc_id", "text")
+    replied = scoring.reply_documents(docs, _length_replier)
+    return rounded(replied.select("doc_id", "response", "error", "ai_probability"))
+
+
+@query
+def reply_classification(spark, d):
+    docs = src.labelled(spark, d).select("text", "label")
+    rows, _summary = classify_by_reply(docs, _length_replier, fresh_path(spark, "replies"))
+    full = rows.select("text_full", "label", "response", "extracted", "is_correct")
+    return full.withColumn("text_full", F.md5("text_full"))
+
+
 @query
 def cached_predictions(spark, d):
     docs = src.labelled(spark, d).select("text", "label", "source")
@@ -640,10 +664,16 @@ def truncate_tokens(spark, d):
 
 @query
 def mask_labels(spark, d):
-    return src.token_ids(spark, d).select(
+    masked = src.token_ids(spark, d).select(
+        "doc_id",
+        tk.mask_prompt(F.col("input_ids"), [3], [2]).alias("last"),
+        tk.mask_prompt(F.col("input_ids"), [3], [2], "first").alias("first"),
+    )
+    return masked.select(
         "doc_id",
-        _digest(tk.mask_prompt(F.col("input_ids"), [3], [2])).alias("last"),
-        _digest(tk.mask_prompt(F.col("input_ids"), [3], [2], "first")).alias("first"),
+        _digest(F.col("last")).alias("last"),
+        _digest(F.col("first")).alias("first"),
+        tk.mask_counts(F.col("last"))["masked"].alias("masked"),
     )
 
 

@@ -309,3 +309,29 @@ def test_cost_projection(spark):
     assert got[1]["cost"] == got[4]["cost"] == pytest.approx(2.0)
     assert cost.best_config(runs).first()["batch_size"] == 8
     assert cost.speedup(runs.where("batch_size = 1"), runs).first()["speedup"] == 2.0
+
+
+def _replier():
+    def reply(texts):
+        if "bad" in texts:
+            raise RuntimeError("no route")
+        return [("Yes ", [("Yes", -0.5), ("No", -1.5)]) if t == "ai" else "no" for t in texts]
+
+    return reply
+
+
+def test_replies_carry_logprobs_and_errors(spark):
+    df = spark.createDataFrame([("ai",), ("bad",), ("food",)], "text string").coalesce(1)
+    got = {r["text"]: r for r in scoring.reply_documents(df, _replier).collect()}
+    assert got["ai"]["response"] == "Yes" and got["ai"]["ai_probability"] == pytest.approx(1 / (1 + 2.718281828459045**-1))
+    assert got["bad"]["response"] == got["bad"]["error"] == "ERROR: no route" and got["bad"]["ai_probability"] == 0.5
+    assert got["food"]["top_logprobs"] == [] and got["food"]["ai_probability"] == 0.0
+
+
+def test_value_counts_are_cut_before_the_shuffle(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = plan_of(profile.value_counts(docs))
+    assert "WindowGroupLimit" in plan
+    for line in plan.splitlines():
+        if "Exchange hashpartitioning" in line:
+            assert "text#" not in line

@@ -8,7 +8,7 @@ from textsieve.operators import model, prep
 from textsieve.operators.curves import roc_auc
 from textsieve.operators.model import attach_weights, class_weights, load_model, predict, save_model
 from textsieve.plans.corpus import build_corpus
-from textsieve.plans.evaluation import predict_and_cache, write_evaluation, write_threshold_evaluation
+from textsieve.plans.evaluation import classify_by_reply, predict_and_cache, write_evaluation, write_threshold_evaluation
 from textsieve.plans.training import run_pipeline
 
 
@@ -142,3 +142,25 @@ def test_functions_accept_a_stream(spark, tmp_path):
     query.awaitTermination(120)
     got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()))
     assert got == sorted(map(tuple, work(batch).collect()))
+
+
+def _replier():
+    return lambda texts: ["Yes" if "model" in t else "no idea" if "dog" in t else "hm" for t in texts]
+
+
+def test_reply_classification(spark, tmp_path):
+    rows = [("a model", 1), ("a dog", 1), ("a cat", 0), ("x" * 300 + " dog", 0)]
+    df = spark.createDataFrame(rows, "text string, label int")
+    judged, summary = classify_by_reply(df, _replier, str(tmp_path / "r"), template="<{text}>")
+    got = {r["text_full"]: (r["label"], r["extracted"], r["is_correct"]) for r in judged.collect()}
+    assert got["a model"] == ("yes", "yes", True) and got["a dog"] == ("yes", "no", False)
+    assert got["a cat"] == ("no", "unknown", None)
+    s = summary.first()
+    assert (s["correct"], s["incorrect"], s["unknown"], s["accuracy"]) == (2, 1, 1, pytest.approx(200 / 3))
+    short = spark.read.option("header", True).csv(str(tmp_path / "r" / "results"))
+    assert short.columns == ["text", "label", "response", "extracted", "is_correct"] and short.count() == 4
+    with pytest.warns(UserWarning):
+        unlabelled, counts = classify_by_reply(df.drop("label"), _replier, str(tmp_path / "u"))
+    assert counts.first()["accuracy"] is None and unlabelled.where("label IS NOT NULL").count() == 0
+    with pytest.raises(ValueError):
+        classify_by_reply(df.drop("text"), _replier, str(tmp_path / "v"))

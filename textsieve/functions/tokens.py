@@ -55,6 +55,12 @@ def mask_prompt(
     return F.concat(F.array_repeat(F.lit(IGNORED), at), F.slice(ids, at + 1, F.size(ids)))
 
 
+def mask_counts(labels: Column) -> Column:
+    """Struct of how many tokens are masked and how many are trained on."""
+    masked = F.size(F.filter(labels, lambda x: x == IGNORED))
+    return F.struct(masked.alias("masked"), (F.size(labels) - masked).alias("trained"))
+
+
 def answer_position(labels: Column, yes_id: int) -> Column:
     """Struct of the first unmasked 0-based position, its token and the class; null when all is masked."""
     at = F.array_position(F.transform(labels, lambda x: x != IGNORED), True)

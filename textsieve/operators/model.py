@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import StorageLevel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer, SQLTransformer
 from pyspark.ml.functions import vector_to_array
@@ -53,7 +54,11 @@ def train_text_classifier(
     max_iter: int = EPOCHS,
     reg: float = 1e-4,
 ) -> PipelineModel:
-    """Fit hashed word 1..n-grams with logistic regression. Runs jobs."""
+    """Fit hashed word 1..n-grams with logistic regression. Runs jobs.
+
+    The learner reads its input twice before it iterates on its own blocks, so the
+    hashed features are kept until it is done; what is lost is computed again.
+    """
     stages = [RegexTokenizer(inputCol=text, outputCol="_w1", pattern=r"\s+", toLowercase=False)]
     stages += [NGram(n=n, inputCol="_w1", outputCol=f"_w{n}") for n in range(2, ngrams + 1)]
     grams = ", ".join(f"_w{n}" for n in range(1, ngrams + 1))
@@ -72,7 +77,14 @@ def train_text_classifier(
     if weights:
         data = attach_weights(data, label)
         learner = learner.setWeightCol("weight")
-    return Pipeline(stages=[*stages, learner]).fit(data)
+    features = PipelineModel(stages)
+    inputs = ["_features", "_label", *(["weight"] if weights else [])]
+    hashed = features.transform(data).select(*inputs).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        fitted = learner.fit(hashed)
+    finally:
+        hashed.unpersist()
+    return PipelineModel([*stages, fitted])
 
 
 def predict(model: PipelineModel, df: DataFrame, threshold: float = 0.5) -> DataFrame:

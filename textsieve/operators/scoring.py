@@ -1,4 +1,4 @@
-"""Scorer plug-ins: any function from texts to probabilities, run in Arrow batches."""
+"""Plug-ins: any function from texts to probabilities or replies, run in Arrow batches."""
 
 from __future__ import annotations
 
@@ -7,7 +7,13 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..functions.scores import prob_from_logprobs
+
+# A scorer maps texts to probabilities.
 Scorer = Callable[[Sequence[str]], Sequence[float]]
+# A replier maps texts to replies: a string, or a string with its top (token, logprob) pairs.
+Reply = str | tuple[str, Sequence[tuple[str, float]]]
+Replier = Callable[[Sequence[str]], Sequence[Reply]]
 
 
 def score_documents(df: DataFrame, scorer_factory: Callable[[], Scorer], text: str = "text") -> DataFrame:
@@ -21,36 +27,58 @@ def score_documents(df: DataFrame, scorer_factory: Callable[[], Scorer], text: s
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = scorer_factory()
         for batch in batches:
-            probs, errors = _score_batch(scorer, batch[text].tolist())
-            yield batch.assign(ai_probability=probs, error=errors)
-
-    schema = T.StructType(
-        [
-            *df.schema.fields,
-            T.StructField("ai_probability", T.DoubleType()),
-            T.StructField("error", T.StringType()),
-        ]
-    )
-    return df.mapInPandas(run, schema)
+            results = _call(scorer, batch[text].tolist())
+            yield batch.assign(
+                ai_probability=[0.5 if e is not None else float(p) for p, e in results],
+                error=[e for _, e in results],
+            )
+
+    return df.mapInPandas(run, _with(df, "ai_probability double, error string"))
+
+
+def reply_documents(df: DataFrame, replier_factory: Callable[[], Replier], text: str = "text") -> DataFrame:
+    """Add ``response``, ``top_logprobs``, ``error`` and the ``ai_probability`` they imply.
+
+    Failures are handled as in ``score_documents``; the error text is the response.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        replier = replier_factory()
+        for batch in batches:
+            response, top, errors = [], [], []
+            for result, error in _call(replier, batch[text].tolist()):
+                words, pairs = (result, ()) if isinstance(result, str) else (result or (error, ()))
+                response.append(words.strip())
+                top.append([{"token": t, "logprob": float(p)} for t, p in pairs])
+                errors.append(error)
+            yield batch.assign(response=response, top_logprobs=top, error=errors)
+
+    added = "response string, top_logprobs array<struct<token:string,logprob:double>>, error string"
+    replied = df.mapInPandas(run, _with(df, added))
+    p = prob_from_logprobs(F.col("top_logprobs"), F.col("response"), F.col("error"))
+    return replied.withColumn("ai_probability", p)
+
+
+def _with(df: DataFrame, added: str) -> T.StructType:
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(added).fields])
 
 
-def _score_batch(scorer: Scorer, texts: list[str]) -> tuple[list[float], list[str | None]]:
+def _call(function: Callable, texts: list[str]) -> list[tuple[object, str | None]]:
+    """``(result, error)`` per text: in one call, or one by one when that fails."""
     try:
-        probs = [float(p) for p in scorer(texts)]
-        if len(probs) == len(texts):
-            return probs, [None] * len(texts)
-    except Exception:  # noqa: BLE001 - a scorer may raise anything; find the rows at fault below
+        results = list(function(texts))
+        if len(results) == len(texts):
+            return [(r, None) for r in results]
+    except Exception:  # noqa: BLE001 - a plug-in may raise anything; find the rows at fault below
         pass
-    probs, errors = [], []
+    out: list[tuple[object, str | None]] = []
     for one in texts:
         try:
-            (p,) = scorer([one])
-            probs.append(float(p))
-            errors.append(None)
+            (result,) = function([one])
+            out.append((result, None))
         except Exception as failure:  # noqa: BLE001
-            probs.append(0.5)
-            errors.append(f"ERROR: {failure}")
-    return probs, errors
+            out.append((None, f"ERROR: {failure}"))
+    return out
 
 
 def cache_predictions(df: DataFrame, path: str) -> DataFrame:

@@ -19,7 +19,8 @@ from ..operators.evaluate import (
     with_decision,
 )
 from ..operators.profile import dataset_counts
-from ..operators.scoring import Scorer, cache_predictions, score_documents
+from ..operators.replies import evaluate_replies, reply_summary
+from ..operators.scoring import Replier, Scorer, cache_predictions, reply_documents, score_documents
 from ..sources.gates import require_columns
 from ..sources.sinks import write_csv, write_json_report, write_parquet, write_text_report
 
@@ -89,3 +90,32 @@ def write_threshold_evaluation(pred: DataFrame, path: str, threshold: float = 0.
             "dataset_name",
         ),
     }
+
+
+def classify_by_reply(
+    df: DataFrame,
+    replier_factory: Callable[[], Replier],
+    path: str,
+    text: str = "text",
+    template: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Ask for a yes/no reply per document; the evaluated rows and their summary.
+
+    A missing text column is an error; without labels the replies are only counted.
+    Rows are written once, then as CSV with short and with full texts.
+    """
+    require_columns(df, [text])
+    label = "label" if require_columns(df, ["label"], on_missing="skip") is not None else None
+    full = df[text]
+    rows = df.select(
+        preview(full).alias("text"),
+        full.alias("text_full"),
+        *([df["label"]] if label else []),
+        (full if template is None else fill_template(full, template)).alias("prompt"),
+    )
+    replied = reply_documents(rows, replier_factory, "prompt").drop("prompt", "top_logprobs", "ai_probability")
+    judged = evaluate_replies(replied, label=label).drop("label").withColumnRenamed("expected", "label")
+    cached = cache_predictions(judged, f"{path}/replies")
+    write_csv(cached, f"{path}/results", ["text", "label", "response", "extracted", "is_correct"])
+    write_csv(cached, f"{path}/results_full", ["text", "text_full", "label", "response", "extracted", "is_correct"])
+    return cached, reply_summary(cached.withColumnRenamed("label", "expected"))
