@@ -153,3 +153,12 @@ def test_windows_stay_inside_tree_nodes(spark):
     plan = curves.pr_curve(_frame(spark, [("a", 1, 0.1)]), ["dataset_name"])._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     assert "ai_probability" not in "".join(line for line in plan.splitlines() if "windowspecdefinition" in line)
+
+
+def test_large_roots_are_divided(spark, monkeypatch):
+    """The same results when nearly every root is split by the middle digit."""
+    monkeypatch.setattr("textsieve.operators.ranks._ROOT_KEYS", 3)
+    test_prefix_sums_equal_a_sort(spark)
+    test_ordered_pairs_equal_brute_force(spark)
+    test_pr_curve_and_threshold_equal_brute_force(spark)
+    test_auc_equals_pairs(spark, 5)

@@ -9,7 +9,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from .profile import scope_name
 from .ranks import ordered_pairs, prefix_sums, same_keys, value_key
 
 
@@ -52,9 +51,13 @@ def roc_auc(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def roc_auc_report(pred: DataFrame, by: str = "dataset_name") -> DataFrame:
     """ROC-AUC per dataset and combined, from one pass over the predictions."""
-    hist = score_histogram(pred, [by]).groupingSets([[by, "score", "_key"], ["score", "_key"]], by, "score", "_key")
-    both = hist.agg(F.grouping(by).alias("_all"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    return _auc(both.withColumn("scope", scope_name()).drop("_all"), ["scope", by])
+    hist = score_histogram(pred, [by])
+    merged = hist.groupBy("score", "_key").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    each = _auc(hist, [by]).select(F.lit("dataset").alias("scope"), "*")
+    combined = _auc(merged, []).select(
+        F.lit("combined").alias("scope"), F.lit(None).cast(pred.schema[by].dataType).alias(by), "*"
+    )
+    return each.unionByName(combined)
 
 
 def _curve_points(pred: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -2,9 +2,10 @@
 
 A window over all rows, or over a handful of groups, would sort everything in one
 or a few tasks. Here values are first counted, so equal ones become one row, and each
-value gets an order-preserving 64-bit key. The key is read as three digits. Sums are
-rolled up digit by digit, every window runs inside one node of that tree, and no node
-has more children than a digit has values, however the data is distributed.
+value gets an order-preserving 64-bit key. The key is read as three digits: a root of
+the digit tree holds the keys with one top digit, and a root with many keys is split
+again by the middle digit. Sums are rolled up along the tree and every window runs
+inside one node, which is bounded in size however the data is distributed.
 """
 
 from __future__ import annotations
@@ -16,16 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.keys import ordered_key
 
 _BITS = 21  # two low digits of 21 bits; the top digit holds the rest
-
-
-def _digits(df: DataFrame, key: str) -> DataFrame:
-    low = (1 << _BITS) - 1
-    return df.withColumns(
-        {
-            "_hi": F.shiftright(key, 2 * _BITS),
-            "_mid": F.shiftright(key, _BITS).bitwiseAND(F.lit(low)),
-        }
-    )
+_ROOT_KEYS = 1_000_000  # a root with more keys than this is split by the middle digit
 
 
 def same_keys(left: str, right: str, keys: Sequence[str]) -> Column:
@@ -40,23 +32,41 @@ def _before(sums: Sequence[str], partition: Sequence[str], order: str) -> dict[s
     return {f"_b_{s}": F.coalesce(F.sum(s).over(w), F.lit(0)) for s in sums}
 
 
-def _levels(hist: DataFrame, key: str, sums: Sequence[str], by: Sequence[str]):
-    leaves = _digits(hist, key)
+def _levels(hist: DataFrame, key: str, sums: Sequence[str], group: Sequence[str]):
+    """Roots, nodes and leaves of the digit tree; an undivided root is its own node, with ``_mid`` -1."""
+    leaves = hist.withColumn("_hi", F.shiftright(key, 2 * _BITS))
     totals = [F.sum(s).alias(s) for s in sums]
-    nodes = leaves.groupBy(*by, "_hi", "_mid").agg(*totals)
-    roots = nodes.groupBy(*by, "_hi").agg(*totals)
-    return roots, nodes, leaves
+    sizes = leaves.groupBy(*group, "_hi").agg(F.count("*").alias("_keys"), *totals)
+    # Always true; all users of the sizes then ask for the same columns and share one shuffle.
+    present = F.concat(*[F.col(s).cast("string") for s in sums]).isNotNull()
+    sizes = sizes.where((F.col("_keys") > 0) & present)
+    is_large = F.col("_keys") > _ROOT_KEYS
+    # There is at most one large root per _ROOT_KEYS keys.
+    large = F.broadcast(sizes.where(is_large).select(*group, "_hi", F.lit(True).alias("_split")))
+    middle = F.shiftright(key, _BITS).bitwiseAND(F.lit((1 << _BITS) - 1))
+    divided = leaves.join(large, [*group, "_hi"]).withColumn("_mid", middle)
+    nodes = sizes.where(~is_large).select(*group, "_hi", F.lit(-1).cast("bigint").alias("_mid"), *sums)
+    nodes = nodes.unionByName(divided.groupBy(*group, "_hi", "_mid").agg(*totals))
+    leaves = (
+        leaves.join(large, [*group, "_hi"], "left")
+        .withColumn("_mid", F.when(F.col("_split"), middle).otherwise(F.lit(-1).cast("bigint")))
+        .drop("_split")
+    )
+    return sizes.select(*group, "_hi", *sums), nodes, leaves
+
+
+def _grouped(hist: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """The group as one struct: it is never null, even where its fields are, so plain equality joins it."""
+    return (hist.withColumn("_group", F.struct(*by)), ["_group"]) if by else (hist, [])
 
 
 def prefix_sums(hist: DataFrame, key: str, sums: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Add, per row, ``<sum>_before`` (smaller keys of the group) and ``<sum>_total`` (whole group).
 
     ``hist`` has one row per group and key; ``key`` is a bigint that is never null.
-    The group travels as one struct: it is never null, even where its fields are, so
-    the joins are plain equality on the columns the windows are partitioned by.
+    The joins are on the columns the windows are partitioned by.
     """
-    group = ["_group"] if by else []
-    keyed = hist.withColumn("_group", F.struct(*by)) if by else hist
+    keyed, group = _grouped(hist, by)
     roots, nodes, leaves = _levels(keyed, key, sums, group)
     whole = Window.partitionBy(*group)
     roots = roots.withColumns(
@@ -87,17 +97,19 @@ def ordered_pairs(hist: DataFrame, key: str, low: str, high: str, by: Sequence[s
     Two keys part at exactly one node of the digit tree, so pairs are counted there
     and nothing is joined back. Counts are doubles: they pass 64 bits at scale.
     """
+    keyed, group = _grouped(hist, by)
     parts = []
     for level, (partition, order) in zip(
-        _levels(hist, key, (low, high), by),
-        (([*by], "_hi"), ([*by, "_hi"], "_mid"), ([*by, "_hi", "_mid"], key)),
+        _levels(keyed, key, (low, high), group),
+        ((group, "_hi"), ([*group, "_hi"], "_mid"), ([*group, "_hi", "_mid"], key)),
         strict=True,
     ):
         below = level.withColumns(_before([low], partition, order))
         product = F.col(f"_b_{low}").cast("double") * F.col(high)
-        parts.append(below.groupBy(*by).agg(F.sum(product).alias("pairs")))
+        parts.append(below.groupBy(*group).agg(F.sum(product).alias("pairs")))
     merged = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return merged.groupBy(*by).agg(F.sum("pairs").alias("pairs"))
+    pairs = merged.groupBy(*group).agg(F.sum("pairs").alias("pairs"))
+    return pairs.select(*[F.col(f"_group.{b}").alias(b) for b in by], "pairs")
 
 
 def value_key(df: DataFrame, col: str) -> Column:
