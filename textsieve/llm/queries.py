@@ -8,15 +8,23 @@ from pyspark.sql import functions as F
 
 from ..session import fresh_path
 from .decontaminate import mark_contaminated
+from .near_dedup import near_duplicates
 from .token_counts import count_tokens
 from .token_files import read_token_index, write_token_files
 from .topk import top_products
+from .toxicity import fit, score_documents
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs, _table(spark, sf_dir, "labels"))
+    return score_documents(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = mark_contaminated(docs, _table(spark, sf_dir, "benchmark"))
@@ -39,11 +47,17 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op5_decontaminate": op5_decontaminate,
     "op6_token_files": op6_token_files,
     "op7_top_products": op7_top_products,
     "op8_token_counts": op8_token_counts,
+    "op9_near_duplicates": op9_near_duplicates,
 }
 
 ORACLES: dict[str, str] = {}
