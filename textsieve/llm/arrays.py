@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+import types
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,14 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def kept(key: tuple, make: Callable):
+    """An object that the Python worker keeps for its later tasks, made at the first use of ``key``."""
+    store = vars(sys.modules.setdefault("_textsieve_kept", types.ModuleType("_textsieve_kept")))
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts as one byte array, and the offsets of the texts in it; null reads as empty."""
     if isinstance(texts, pa.ChunkedArray):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..session import fresh_path
 from .decontaminate import mark_contaminated
 from .near_dedup import near_duplicates
+from .repeats import remove_repeats
 from .token_counts import count_tokens
 from .token_files import read_token_index, write_token_files
 from .topk import top_products
@@ -19,6 +20,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(_table(spark, sf_dir, "documents"), 50)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, _table(spark, sf_dir, "labels"))
@@ -52,6 +58,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_repeats": op1_repeats,
     "op2_toxicity": op2_toxicity,
     "op5_decontaminate": op5_decontaminate,
     "op6_token_files": op6_token_files,

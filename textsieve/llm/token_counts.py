@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .arrays import kept
+
 #: Bytes of words handed to the tokenizer at once, and words remembered by one task.
 BATCH_BYTES, REMEMBERED = 1 << 18, 300_000
 
@@ -109,7 +111,7 @@ def count_column(text: Column, model: str) -> Column:
 
     @F.arrow_udf(T.LongType())
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        counter = WordCounter(model)
+        counter = kept(("counter", model), lambda: WordCounter(model))
         for texts in batches:
             yield pa.array([n for group in _text_batches(texts) for n in counter.counts(group)], pa.int64())
 

@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .arrays import kept
 from .token_counts import REMEMBERED, byte_batches
 
 #: Ids in a block before it is closed after the current document.
@@ -175,7 +176,7 @@ class WordEncoder:
 
 def _encode_blocks(path: str, end_id: int, block_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = kept(("encoder", path), lambda: WordEncoder(path))
         width, shard = bit_width(encoder.vocabulary), TaskContext.get().partitionId()
         end = np.asarray([end_id], encoder.dtype).tobytes()
         docs, lengths, held, before, number = [], [], [], 0, 0
