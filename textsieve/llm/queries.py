@@ -14,6 +14,15 @@ from .token_counts import count_tokens
 from .token_files import read_token_index, write_token_files
 from .topk import top_products
 from .toxicity import fit, score_documents
+from .urls import Rule, judge_urls
+
+RULES = [
+    Rule("org", "/", True),
+    Rule("example.org", "/es/", False),
+    Rule("example.org", "/en/1", False),
+    Rule("com", "/fr/", True),
+    Rule("com", "/de/", False),
+]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +40,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_urls(_table(spark, sf_dir, "pages"), RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = mark_contaminated(docs, _table(spark, sf_dir, "benchmark"))
@@ -60,6 +74,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_repeats": op1_repeats,
     "op2_toxicity": op2_toxicity,
+    "op3_urls": op3_urls,
     "op5_decontaminate": op5_decontaminate,
     "op6_token_files": op6_token_files,
     "op7_top_products": op7_top_products,

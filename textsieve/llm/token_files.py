@@ -257,7 +257,7 @@ def _read_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def read_token_index(spark: SparkSession, path: str) -> DataFrame:
     """Per document of the files: its first id's place, its number of ids, and their checksum."""
     blocks = spark.read.schema(BLOCKS).parquet(path)
-    placed = blocks.join(shard_starts(blocks), "shard")
+    placed = blocks.join(F.broadcast(shard_starts(blocks)), "shard")  # a row per write task
     return placed.select("shard_start", "first_id", "n_ids", "width", "doc_ids", "lengths", "packed").mapInArrow(
         _read_documents, "doc_id long, start long, n_tokens long, ids_crc32 long"
     )
