@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import fresh_path
+from . import pii
 from .decontaminate import mark_contaminated
 from .near_dedup import near_duplicates
 from .repeats import remove_repeats
@@ -71,6 +72,17 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.with_spans(docs, pii.fit(docs))
+    return found.select(
+        "doc_id",
+        *(pii.counted("base", kind).alias(f"n_{kind}") for kind in pii.KINDS),
+        F.sha2(pii.listed("base"), 256).alias("base_sha256"),
+        pii.listed("spans").alias("spans"),
+    )
+
+
 QUERIES = {
     "op1_repeats": op1_repeats,
     "op2_toxicity": op2_toxicity,
@@ -80,6 +92,7 @@ QUERIES = {
     "op7_top_products": op7_top_products,
     "op8_token_counts": op8_token_counts,
     "op9_near_duplicates": op9_near_duplicates,
+    "op10_personal_data": op10_personal_data,
 }
 
 ORACLES: dict[str, str] = {}
