@@ -35,7 +35,7 @@ COORDINATES = BANDS * ROWS
 #: Agreeing coordinates that make a pair a candidate, and that let a member leave with its leader.
 NEAR, CLOSE = COORDINATES // 2, int(COORDINATES * 0.86)
 #: Members of a block: signatures in a bucket, shingle sets in a group.
-BUCKET_BLOCK, SET_BLOCK = 1_024, 256
+BUCKET_BLOCK, SET_BLOCK = 2_048, 1_024
 CHUNK_BYTES = 1 << 20
 
 _U32, _U64 = np.uint32, np.uint64
@@ -144,6 +144,7 @@ def _near_in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         sketch = np.frombuffer(b"".join(table.column(4).to_pylist()), "<u2").reshape(len(node), COORDINATES)
         group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(node))))
         left = np.arange(len(node))
+        joined = np.arange(len(node))  # members with equal numbers are connected
         found = set()
         while len(left):
             first = np.flatnonzero(np.append(True, group[left][1:] != group[left][:-1]))
@@ -154,9 +155,17 @@ def _near_in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             for i in range(0, len(left), 1 << 14):
                 s = slice(i, i + (1 << 14))
                 agree[s] = (sketch[left[s]] == sketch[leader[s]]).sum(axis=1)
-            near = agree >= NEAR
-            found.update(zip(node[leader[near]].tolist(), node[left[near]].tolist(), strict=True))
-            left = left[agree < CLOSE]
+            near = (agree >= NEAR) & (joined[left] != joined[leader])
+            # One edge for each part that the leader's part takes in.
+            parts, one = np.unique(joined[left[near]], return_index=True)
+            a, b = leader[near][one], left[near][one]
+            found.update(zip(node[a].tolist(), node[b].tolist(), strict=True))
+            number = np.arange(len(node))
+            number[parts] = joined[a]
+            joined = number[joined]
+            lowest = np.minimum.reduceat(joined, starts)
+            whole = lowest == np.maximum.reduceat(joined, starts)
+            left = left[(agree < CLOSE) & ~whole[group[left]]]
         if found:
             a, b = zip(*found, strict=True)
             yield _edges(np.asarray(a), np.asarray(b))
@@ -174,7 +183,7 @@ def links(sets: list[np.ndarray], limit: int = 75) -> np.ndarray:
     shared = np.bincount(column)[column] > 1
     row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
     common = np.zeros((len(sets), len(sets)), np.int64)
-    step = 8192
+    step = 2048
     cuts = np.searchsorted(column, np.arange(0, (column[-1] + 1 if len(column) else 0) + step, step))
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         if a < b:

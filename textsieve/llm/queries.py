@@ -11,6 +11,7 @@ from . import pii
 from .decontaminate import mark_contaminated
 from .near_dedup import near_duplicates
 from .repeats import remove_repeats
+from .sampling import sample_segmentations
 from .token_counts import count_tokens
 from .token_files import read_token_index, write_token_files
 from .topk import top_products
@@ -46,6 +47,11 @@ def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sample_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"), k=2, with_ids=False).drop("ids")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = mark_contaminated(docs, _table(spark, sf_dir, "benchmark"))
@@ -87,6 +93,7 @@ QUERIES = {
     "op1_repeats": op1_repeats,
     "op2_toxicity": op2_toxicity,
     "op3_urls": op3_urls,
+    "op4_segmentations": op4_segmentations,
     "op5_decontaminate": op5_decontaminate,
     "op6_token_files": op6_token_files,
     "op7_top_products": op7_top_products,

@@ -36,7 +36,7 @@ from .arrays import kept, mixed
 from .token_counts import space_words
 
 #: Characters of text whose words share a lattice, offset of Zipf's law, log-odds of a byte piece.
-BATCH_CHARS, ZIPF, BYTE_WEIGHT = 1 << 18, 10.0, 1e-6
+BATCH_CHARS, ZIPF, BYTE_WEIGHT = 1 << 19, 10.0, 1e-6
 _U64 = np.uint64
 _SPACE = "▁"
 _M = _U64(0x9E3779B97F4A7C15 | 1)
@@ -68,16 +68,18 @@ class Vocabulary:
                 self.bytes[value] = i
                 self.raw[i] = bytes([value])
         self.longest = max(len(self.pieces[i]) for i in normal)
-        whole: list[list] = [[] for _ in range(self.longest + 1)]
-        prefix: list[set] = [set() for _ in range(self.longest + 1)]
+        # Per length the sorted hashes of all beginnings of pieces, and the piece that one is, or -1.
+        known: list[dict[int, int]] = [{} for _ in range(self.longest + 1)]
         for i in normal:
             h = 0
             for length, c in enumerate(self.pieces[i], 1):
                 h = (h * int(_M) + ord(c) + 1) & (1 << 64) - 1
-                prefix[length].add(h)
-            whole[len(self.pieces[i])].append((h, i))
-        self.whole = [tuple(np.asarray(x, t) for x, t in zip(zip(*sorted(w), strict=True), (_U64, np.int64), strict=True)) if w else None for w in whole]
-        self.prefix = [np.asarray(sorted(p), _U64) for p in prefix]
+                known[length].setdefault(h, -1)
+            known[len(self.pieces[i])][h] = i
+        self.known = []
+        for table in known:
+            hashes = np.asarray(sorted(table), _U64)
+            self.known.append((hashes, np.asarray([table[h] for h in hashes.tolist()], np.int64)))
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: pieces joined, the space before the first taken off."""
@@ -101,25 +103,23 @@ class Lattice:
             if not len(alive):
                 break
             h[alive] = h[alive] * _M + chars[alive + n - 1].astype(_U64) + _U64(1)
-            known = v.prefix[n]
-            at = np.minimum(np.searchsorted(known, h[alive]), len(known) - 1)
-            alive = alive[known[at] == h[alive]]
-            if v.whole[n] is not None and len(alive):
-                hashes, ids = v.whole[n]
-                at = np.minimum(np.searchsorted(hashes, h[alive]), len(hashes) - 1)
-                found = hashes[at] == h[alive]
-                starts.append(alive[found])
-                lengths.append(np.full(found.sum(), n))
-                pieces.append(ids[at[found]])
+            hashes, ids = v.known[n]
+            at = np.minimum(np.searchsorted(hashes, h[alive]), len(hashes) - 1)
+            begins = hashes[at] == h[alive]
+            alive, piece = alive[begins], ids[at[begins]]
+            whole = piece >= 0
+            starts.append(alive[whole])
+            lengths.append(np.full(whole.sum(), n))
+            pieces.append(piece[whole])
         single = np.zeros(len(chars), bool)
         if starts:
-            single[starts[0]] = lengths[0][0] == 1 if len(lengths[0]) else False
+            single[starts[0]] = True
         rest = np.flatnonzero(~single)  # characters without a piece of their own: their bytes
         starts.append(rest)
         lengths.append(np.ones(len(rest), np.int64))
         pieces.append(-1 - chars[rest].astype(np.int64))
         start, length, piece = (np.concatenate(x) for x in (starts, lengths, pieces))
-        by = np.lexsort((length, start))
+        by = np.argsort(start, kind="stable")  # a merge of sorted runs
         self.length, self.piece, start = length[by], piece[by], start[by]
         code = -1 - self.piece
         n_bytes = 1 + (code >= 0x80).astype(int) + (code >= 0x800) + (code >= 0x10000)
@@ -129,7 +129,8 @@ class Lattice:
         # Log-sums to the right, from the words' ends to their fronts.
         ahead = np.zeros(len(chars) + 1)
         own_left = left[start]
-        order = np.argsort(own_left, kind="stable")
+        small = own_left.astype(np.uint16) if int(own_left.max(initial=0)) < 1 << 16 else own_left
+        order = np.argsort(small, kind="stable")
         cuts = np.searchsorted(own_left[order], np.arange(1, int(own_left.max(initial=0)) + 2))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             e = order[a:b]
@@ -143,11 +144,15 @@ class Lattice:
         self.chance = weight + rest_of - ahead[start]
 
 
-def _noise(*parts: np.ndarray) -> np.ndarray:
-    """Gumbel noise from a hash of the parts."""
-    h = np.zeros(len(parts[-1]), _U64)
+def _hashed(*parts: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(parts[0]), _U64)
     for part in parts:
         h = mixed(h + np.asarray(part).astype(_U64) + _U64(0x632BE59BD9B4E019))
+    return h
+
+
+def _noise(h: np.ndarray) -> np.ndarray:
+    """Gumbel noise from hashes."""
     uniform = ((h >> _U64(11)).astype(np.float64) + 0.5) * 2.0**-53
     return -np.log(-np.log(uniform))
 
@@ -169,30 +174,29 @@ class Search:
     def _walk(self, words: np.ndarray, places: np.ndarray, steps: np.ndarray, turn: int):
         """Sample from ``places`` to the words' ends; the chosen edges, and those passed over."""
         lattice, chosen, passed = self.lattice, [], []
+        seed = _hashed(self.keys[self.doc[words]], np.full(len(words), turn), self.place_in_doc[words])
         while len(words):
             first = lattice.edges[places]
             n = lattice.edges[places + 1] - first
             edge = _expand(first, n)
-            at = np.repeat(np.arange(len(words)), n)
-            ordinal = edge - np.repeat(first, n)
             offset = lattice.left[places]
-            noise = _noise(
-                self.keys[self.doc[words]][at], np.full(len(at), turn), self.place_in_doc[words][at], offset[at], ordinal
-            )
-            value = lattice.chance[edge] + noise
+            own = seed + offset.astype(_U64) * _U64(0xD6E8FEB86659FD93)
+            salt = np.repeat(own - first.astype(_U64) * _U64(0xA0761D6478BD642F), n) + edge.astype(_U64) * _U64(0xA0761D6478BD642F)
+            value = lattice.chance[edge] + _noise(mixed(salt))  # salted with the edge's number at its place
             starts = np.cumsum(n) - n
             best = np.maximum.reduceat(value, starts)
-            top = np.full(len(words), len(edge))
-            hit = np.flatnonzero(value == best[at])
-            np.minimum.at(top, at[hit], hit)
-            other = np.ones(len(edge), bool)
-            other[top] = False
-            picked = edge[top]
+            hit = np.flatnonzero(value == np.repeat(best, n))
+            if len(hit) > len(words):  # equal values: the first counts
+                hit = hit[np.unique(np.searchsorted(starts, hit, "right"), return_index=True)[1]]
+            picked = edge[hit]
             chosen.append((words, steps, picked))
-            passed.append((words[at[other]], steps[at[other]], edge[other], value[other], best[at[other]]))
+            value[hit] = -np.inf
+            other = np.flatnonzero(value > -np.inf)
+            m = n - 1
+            passed.append((np.repeat(words, m), np.repeat(steps, m), edge[other], value[other], np.repeat(best, m)))
             length = lattice.length[picked]
             going = length < offset
-            words, places, steps = words[going], (places + length)[going], steps[going] + 1
+            words, places, steps, seed = words[going], (places + length)[going], steps[going] + 1, seed[going]
         none = np.empty(0, np.int64)
         join = lambda parts, i: np.concatenate([p[i] for p in parts]) if parts else none
         return tuple(join(chosen, i) for i in range(3)), tuple(join(passed, i) for i in range(5))
@@ -201,7 +205,7 @@ class Search:
         """Per document up to ``k`` + 1 entries (log p, value, edges); the last may lack edges."""
         docs = len(self.counts)
         out: list[list] = [[] for _ in range(docs)]
-        value = _noise(self.keys, np.full(docs, 1 << 40))
+        value = _noise(_hashed(self.keys, np.full(docs, 1 << 40)))
         active = np.arange(docs)
         every = np.arange(len(self.word))
         copied = (np.empty(0, np.int64),) * 3
@@ -238,11 +242,16 @@ class Search:
         own = prefix + perturbed
         below = value[doc] - own + np.log1p(-np.exp(np.minimum(perturbed - best, -1e-300)))
         limited = value[doc] - np.maximum(below, 0.0) - np.log1p(np.exp(-np.abs(below)))
-        by = np.lexsort((-limited, doc))
+        # Few entries are needed; most documents have them close below their value.
+        wanted = self.k + 1 - turn
+        close = limited > value[doc] - 8.0
+        few = np.bincount(doc[close], minlength=len(self.counts)) < wanted
+        some = np.flatnonzero(close | few[doc])
+        by = some[np.lexsort((-limited[some], doc[some]))]
         doc, ranked = doc[by], np.arange(len(by))
         new = np.append(True, doc[1:] != doc[:-1])
         rank = ranked - np.maximum.accumulate(np.where(new, ranked, 0))
-        by = by[rank < self.k + 1 - turn]
+        by = by[rank < wanted]
         for d, *entry in zip(self.doc[word[by]].tolist(), limited[by].tolist(), [turn] * len(by), word[by].tolist(), step[by].tolist(), edge[by].tolist(), strict=True):
             self.frontier[d].append(tuple(entry))
 
@@ -287,20 +296,27 @@ class Search:
         return np.asarray(active), value, copied, join(words), join(places), join(steps)
 
 
+class _Numbers(dict):
+    """Numbers in order of first use."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 def segmentations(texts: list[str], keys: np.ndarray, v: Vocabulary, k: int) -> list[list[tuple[float, float, float, np.ndarray]]]:
     """Per text up to ``k`` of (log p, perturbed value, inclusion, ids)."""
-    numbers: dict[str, int] = {}
+    numbers = _Numbers()
     word, counts = [], []
     for text in texts:
         units: list[str] = text.split(" ") if text else []
         trailing = 0
         if "" in units:
             units, trailing = space_words(text)
-        own = [numbers.setdefault(u, len(numbers)) for u in units]
+        word += map(numbers.__getitem__, units)
         if trailing:
-            own.append(numbers.setdefault("\0" + " " * trailing, len(numbers)))
-        word += own
-        counts.append(len(own))
+            word.append(numbers["\0" + " " * trailing])
+        counts.append(len(units) + bool(trailing))
     signed = [(u[1:] if u[:1] == "\0" and u.strip("\0 ") == "" and len(u) > 1 else " " + u).replace(" ", _SPACE) for u in numbers]
     lattice = Lattice(signed, v)
     found = Search(np.asarray(word, np.int64), np.asarray(counts, np.int64), keys, lattice, k).run()
@@ -310,7 +326,10 @@ def segmentations(texts: list[str], keys: np.ndarray, v: Vocabulary, k: int) ->
         rows = []
         for log_p, value, edges in own[:k]:
             pieces = lattice.piece[edges]
-            if len(pieces) and pieces.min() < 0:
+            least = pieces.min() if len(pieces) else 0
+            if -129 < least < 0:
+                pieces = np.where(pieces < 0, v.bytes[np.maximum(-1 - pieces, 0) & 127], pieces)
+            elif least < 0:
                 ids = []
                 for p in pieces.tolist():
                     ids += [p] if p >= 0 else v.bytes[list(chr(-1 - p).encode("utf-8", "surrogatepass"))].tolist()
