@@ -141,23 +141,26 @@ def _send_prints(shards: int, length: int):
     return run
 
 
-def _answer_prints(key: tuple, table: pa.Table) -> pa.Table:
-    """Of every block's fingerprints those that other documents hold, and the widely shared ones."""
-    sent = table.to_pylist()
-    rows = [tuple(r.values()) for r in sent if r["kind"] != PRINTS]
-    asked = [r for r in sent if r["kind"] == PRINTS]
-    if asked:
-        every = np.sort(np.concatenate([np.frombuffer(r["a"], "<u4") for r in asked]))
-        new = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
-        count, value = np.diff(np.append(new, len(every))), every[new]
-        shared, wide = value[count > 1], value[count > WIDE]
-        for r in asked:
-            own = np.unique(np.frombuffer(r["a"], "<u4"))
-            own = own[np.isin(own, shared, assume_unique=True)]
-            if len(own):
-                is_wide = np.isin(own, wide, assume_unique=True).astype(np.uint8)
-                rows.append((r["shard"], r["block"], PRINTS, own.tobytes(), is_wide.tobytes(), None, None))
-    return _messages(rows)
+def _answer_prints(limit: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        """Of every block's fingerprints those that other documents hold, and the widely shared ones."""
+        sent = table.to_pylist()
+        rows = [tuple(r.values()) for r in sent if r["kind"] != PRINTS]
+        asked = [r for r in sent if r["kind"] == PRINTS]
+        if asked:
+            every = np.sort(np.concatenate([np.frombuffer(r["a"], "<u4") for r in asked]))
+            new = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+            count, value = np.diff(np.append(new, len(every))), every[new]
+            shared, wide = value[count > 1], value[count > limit]
+            for r in asked:
+                own = np.unique(np.frombuffer(r["a"], "<u4"))
+                own = own[np.isin(own, shared, assume_unique=True)]
+                if len(own):
+                    is_wide = np.isin(own, wide, assume_unique=True).astype(np.uint8)
+                    rows.append((r["shard"], r["block"], PRINTS, own.tobytes(), is_wide.tobytes(), None, None))
+        return _messages(rows)
+
+    return run
 
 
 def _windows_of(data: np.ndarray, starts: np.ndarray, before: np.ndarray, sizes: np.ndarray, width: int) -> np.ndarray:
@@ -448,14 +451,16 @@ def _count_of(size: int, unit: int) -> int:
     return max(1, -(-size // unit))
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text: str = "text", wide: int = WIDE, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     """Per document the bytes covered by ``length``-byte strings that start in a smaller document too.
 
     Returns ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans``.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks, shards = _count_of(size, BLOCK_BYTES), _count_of(size, SHARD_BYTES)
+    blocks, shards = _count_of(size, block_bytes), _count_of(size, SHARD_BYTES)
 
     def block_of(name: str) -> Column:
         return F.pmod(F.xxhash64(name), F.lit(blocks)).alias("block")
@@ -468,7 +473,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", te
     copies = digests.join(least, "digest").where(F.col("copy") > F.col("least")).select("copy", block_of("copy"))
 
     asked = ids.cogroup(copies.groupBy("block")).applyInArrow(_with_ids(_send_prints(shards, length)), _MESSAGE)
-    answers = asked.groupBy("shard").applyInArrow(_answer_prints, _MESSAGE)
+    answers = asked.groupBy("shard").applyInArrow(_answer_prints(wide), _MESSAGE)
     sent = ids.cogroup(answers.groupBy("block")).applyInArrow(_with_ids(_send_contexts(shards, length)), _MESSAGE)
     spans = sent.groupBy("shard").applyInArrow(_answer_contexts(length), _MESSAGE)
     return ids.cogroup(spans.groupBy("block")).applyInArrow(_remove, _RESULT)

@@ -221,7 +221,10 @@ class Search:
             total = np.concatenate([[0.0], np.cumsum(chance)])
             owner = self.doc[words]
             cut = np.searchsorted(owner, np.arange(docs + 1))
-            log_p = total[cut[1:]] - total[cut[:-1]]
+            log_p = np.zeros(docs)
+            held = np.flatnonzero(cut[1:] > cut[:-1])
+            if len(held):
+                log_p[held] = np.add.reduceat(chance, cut[held])
             for d in active.tolist():
                 out[d].append((float(log_p[d]), float(value[d]), edges[cut[d] : cut[d + 1]]))
             self._open(turn, words, steps, total, cut, passed, value)
