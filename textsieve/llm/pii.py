@@ -79,22 +79,23 @@ def match_places(text: Column, pattern: str, hint: str) -> Column:
         F.length(x["g"]).alias("g"), (F.length(x["g"]) + F.length(x["m"])).alias("step"), x["m"].alias("m"),
     ))
 
-    def placed(rows: Column) -> Column:
-        steps = F.transform(rows, lambda r: r["step"])
-        blocks = F.sequence(F.lit(0), F.floor(F.size(rows) / _BLOCK).cast("int"))
+    # Each value that is used more than once is bound by a transform over an array of one.
+    def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+        return F.transform(F.array(value), use)[0]
+
+    def with_sums(rows: Column, steps: Column) -> Column:
         before = F.aggregate(
-            blocks, F.array(F.lit(0)),
+            F.sequence(F.lit(0), F.floor(F.size(rows) / _BLOCK).cast("int")), F.array(F.lit(0)),
             lambda a, b: F.array_append(a, F.element_at(a, -1) + _sum(F.slice(steps, b * _BLOCK + 1, _BLOCK))),
         )
+        return bound(before, lambda sums: F.transform(rows, lambda r, i: place(steps, sums, r, i)))
 
-        def place(r: Column, i: Column) -> Column:
-            block = F.floor(i / _BLOCK).cast("int")
-            start = F.element_at(before, block + 1) + _sum(F.slice(steps, block * _BLOCK + 1, i % _BLOCK)) + r["g"]
-            return F.struct(start.alias("start"), (start + F.length(r["m"])).alias("end"), r["m"].alias("match"))
-
-        return F.transform(rows, place)
+    def place(steps: Column, sums: Column, r: Column, i: Column) -> Column:
+        block = F.floor(i / _BLOCK).cast("int")
+        start = F.element_at(sums, block + 1) + _sum(F.slice(steps, block * _BLOCK + 1, i % _BLOCK)) + r["g"]
+        return bound(start, lambda s: F.struct(s.alias("start"), (s + F.length(r["m"])).alias("end"), r["m"].alias("match")))
 
-    found = F.transform(F.array(measured), placed)[0]  # the array is bound once for all uses
+    found = bound(measured, lambda rows: bound(F.transform(rows, lambda r: r["step"]), lambda steps: with_sums(rows, steps)))
     return F.when(text.rlike(hint) & text.rlike(pattern), found).otherwise(none)
 
 

@@ -35,7 +35,9 @@ from .arrays import gram_hashes, groups_of_bytes, mixed, text_bytes
 
 #: Bytes of an anchor; documents that make one widely shared; bytes of text in a block and a shard.
 GRAM, WIDE = 20, 4_000
-BLOCK_BYTES, SHARD_BYTES, CHUNK_BYTES = 4 << 20, 32 << 20, 1 << 20
+BLOCK_BYTES, SHARD_BYTES, CHUNK_BYTES = 2 << 20, 8 << 20, 1 << 19
+#: Contexts under one suffix array, if their anchors allow; rows of a matrix that is built at once.
+ARRAY_CONTEXTS, ROWS = 4_000, 1 << 14
 
 _U32, _U64 = np.uint32, np.uint64
 #: Kinds of messages: fingerprints, contexts, spans that are settled, documents that are copies.
@@ -165,10 +167,12 @@ def _answer_prints(limit: int):
 
 def _windows_of(data: np.ndarray, starts: np.ndarray, before: np.ndarray, sizes: np.ndarray, width: int) -> np.ndarray:
     """Bytes [start, start + size) as rows of ``width`` bytes, zero filled; 4 bytes of length, 1 of ``before``."""
-    at = starts[:, None] + np.arange(width)
-    held = np.arange(width) < sizes[:, None]
     out = np.zeros((len(starts), width + 2), np.uint8)
-    out[:, :width] = np.where(held, data[np.minimum(at, len(data) - 1)], 0)
+    for i in range(0, len(starts), ROWS):
+        part = slice(i, i + ROWS)
+        at = starts[part, None] + np.arange(width)
+        held = np.arange(width) < sizes[part, None]
+        out[part, :width] = np.where(held, data[np.minimum(at, len(data) - 1)], 0)
     out[:, width], out[:, width + 1] = sizes, before
     return out
 
@@ -187,6 +191,18 @@ def _send_contexts(shards: int, length: int):
         span_ids, span_from, span_to = [ids[whole]], [np.zeros(len(whole), np.int64)], [size[whole]]
         shared = {r["shard"]: (np.frombuffer(r["a"], "<u4"), np.frombuffer(r["b"], np.uint8)) for r in answers if r["kind"] == PRINTS}
         asked: dict[int, list[tuple]] = {}
+
+        def settle(text: np.ndarray, own: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Rows whose bytes no smaller document of this block has; the spans of the others are known."""
+            order, group = _grouped(text, own)
+            text, own, start = text[order], own[order], start[order]
+            first = np.append(True, group[1:] != group[:-1])
+            later = ids[own] > ids[own][first][group]
+            span_ids.append(ids[own][later])
+            span_from.append(start[later])
+            span_to.append((start + text[:, -2].astype(np.int64))[later])
+            return text[~later], own[~later], start[~later]
+
         for row, place, hashes in _document_anchors(data, offsets, skip, length) if shared else ():
             shard, prints = _shard_and_print(hashes, shards)
             keep, wide = np.zeros(len(row), bool), np.zeros(len(row), bool)
@@ -215,20 +231,15 @@ def _send_contexts(shards: int, length: int):
                 # The byte before matters only inside a context; at its front any suffix counts as diverse.
                 text = _windows_of(data, start, np.zeros(len(start), np.uint8), stop - start, length + reach)
                 text = np.concatenate([np.ascontiguousarray(name).view(np.uint8).reshape(-1, 8), text], axis=1)
+                start -= offsets[own]
+                if not narrow:
+                    text, own, start = settle(text, own, start)
+                    to = _shard_and_print(np.ascontiguousarray(text[:, :8]).view(_U64).ravel(), shards)[0]
                 for s, here in _by_shard(to):
-                    asked.setdefault(s, []).append((text[here], own[here], start[here] - offsets[own[here]]))
+                    asked.setdefault(s, []).append((text[here], own[here], start[here]))
         rows = []
         for s, parts in asked.items():
-            text, own, start = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order, group = _grouped(text, own)
-            text, own, start = text[order], own[order], start[order]
-            first = np.append(True, group[1:] != group[:-1])
-            least = ids[own][first][np.cumsum(first) - 1]
-            later = ids[own] > least  # a smaller document of this block has the same bytes
-            span_ids.append(ids[own][later])
-            span_from.append(start[later])
-            span_to.append((start + text[:, -2].astype(np.int64))[later])
-            text, own, start = text[~later], own[~later], start[~later]
+            text, own, start = settle(*(np.concatenate(x) for x in zip(*parts, strict=True)))
             rows.append((s, block, CONTEXTS, text.tobytes(), ids[own].astype("<i8").tobytes(), start.astype("<i8").tobytes(), None))
         settled = _spans(np.concatenate(span_ids), np.concatenate(span_from), np.concatenate(span_to))
         if len(settled[0]):
@@ -396,12 +407,21 @@ def _answer_contexts(length: int):
         # A context alone under its anchor repeats as a whole or not at all.
         _, name, count = np.unique(np.ascontiguousarray(text[first, :8]).view(_U64).ravel(), return_inverse=True, return_counts=True)
         chosen = np.flatnonzero(count[name] > 1)
-        array = EnhancedSuffixArray(text[first[chosen], 8:-2], text[first[chosen], -2].astype(np.int64), length)
-        classes, low, high = covered_suffixes(array, ids[first[chosen]], length)
+        chosen = chosen[np.argsort(name[chosen], kind="stable")]
+        found = []
+        cut = np.flatnonzero(np.append(True, name[chosen][1:] != name[chosen][:-1]))
+        while len(cut):  # whole anchors, so that all that may be equal is in one array
+            n = max(1, int(np.searchsorted(cut, cut[0] + ARRAY_CONTEXTS, "right")) - 1)
+            part = chosen[cut[0] : cut[n] if n < len(cut) else len(chosen)]
+            array = EnhancedSuffixArray(text[first[part], 8:-2], text[first[part], -2].astype(np.int64), length)
+            context, low, high = covered_suffixes(array, ids[first[part]], length)
+            found.append((part[context], low, high))
+            cut = cut[n:]
+        classes, low, high = (np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in range(3))
         # Spans of a class hold for each of its places in its smallest document.
         places = np.flatnonzero(own)
-        from_ = np.searchsorted(group[places], chosen[classes])
-        n = np.searchsorted(group[places], chosen[classes], "right") - from_
+        from_ = np.searchsorted(group[places], classes)
+        n = np.searchsorted(group[places], classes, "right") - from_
         at = places[np.repeat(from_ - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         low, high = start[at] + np.repeat(low, n), start[at] + np.repeat(high, n)
         at, low, high = np.append(covered[0], at), np.append(covered[1], low), np.append(covered[2], high)
