@@ -244,6 +244,9 @@ FROM c LEFT JOIN bodies USING (conv_id)""")
 put("chat_violations", f"""WITH {chat_sql("SELECT * FROM conversations WHERE NOT (conv_id % 3 = 0 AND turn = 1)")}
 SELECT conv_id, 'roles do not alternate' AS reason FROM bodies WHERE NOT ok""")
 
+put("chat_null_turns", """SELECT DISTINCT conv_id, 'a turn has no text' AS reason FROM conversations
+WHERE conv_id % 4 = 0 AND turn = conv_id % 3""")
+
 # --- replies ---------------------------------------------------------------------------
 
 put("extract_yes_no", f"""WITH {JUDGED} SELECT doc_id, extracted, expected, is_correct,
@@ -466,7 +469,7 @@ def masked(at: str) -> str:
 
 put("truncate_tokens", f"WITH {IDS} SELECT doc_id, array_to_string(ids[1:100], ',') AS ids FROM ids")
 put("mask_labels", f"WITH {POSITIONS} SELECT doc_id, {masked('last_at')} AS last, {masked('first_at')} AS first, (CASE WHEN found THEN last_at ELSE 0 END)::INT AS masked FROM spots")
-put("pad_batch", f"""WITH {IDS}, b AS (SELECT doc_id, doc_id // 16 AS batch, ids[1:100] AS ids, ids[1:50] AS labels FROM ids),
+put("pad_batch", f"""WITH {IDS}, b AS (SELECT doc_id, doc_id // 16 AS batch, ids, ids[1:len(ids) // 2] AS labels FROM ids),
 m AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) AS li, max(len(labels)) OVER (PARTITION BY batch) AS ll FROM b)
 SELECT doc_id, array_to_string(list_concat(ids, list_transform(range(0, li - len(ids)), lambda x: 0)), ',') AS ids,
   array_to_string(list_concat(labels, list_transform(range(0, ll - len(labels)), lambda x: -100)), ',') AS labels FROM m""")
@@ -503,3 +506,6 @@ WEIGHTS = f"""{LABELLED}, c AS (SELECT label, count(*) AS count FROM labelled GR
 w AS (SELECT label, count, sum(count) OVER () / (count(*) OVER () * count) AS weight FROM c)"""
 put("class_weights", f"WITH {WEIGHTS} SELECT label, count, round(weight, 6) AS weight FROM w")
 put("weight_ratio", f"WITH {WEIGHTS} SELECT round(max(weight) FILTER (label = 1) / max(weight) FILTER (label = 0), 6) AS ratio FROM w")
+
+put("sample_rows", """SELECT doc_id, text[1:500] AS text, lang[1:500] AS lang, source[1:500] AS source, n_chars
+FROM documents ORDER BY doc_id LIMIT 3""")

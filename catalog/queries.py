@@ -253,6 +253,15 @@ def chat_violations(spark, d):
     return bad.select("conv_id", "reason")
 
 
+@query
+def chat_null_turns(spark, d):
+    """Conversations of which one turn has lost its text."""
+    turns = src.table(spark, d, "conversations")
+    hole = (F.col("conv_id") % 4 == 0) & (F.col("turn") == F.col("conv_id") % 3)
+    _good, bad = gates.split_rejects(chat.render_chat(turns.withColumn("text", F.when(~hole, F.col("text")))), "ok")
+    return bad.select("conv_id", "reason")
+
+
 # --- replies ---------------------------------------------------------------------------
 
 
@@ -543,7 +552,7 @@ def value_counts_top5(spark, d):
 
 @query
 def sample_rows(spark, d):
-    return profile.sample_rows(src.table(spark, d, "documents"), 3, chars=500)
+    return profile.sample_rows(src.table(spark, d, "documents"), 3, chars=500, order="doc_id")
 
 
 # --- keywords --------------------------------------------------------------------------
@@ -680,9 +689,8 @@ def mask_labels(spark, d):
 @query
 def pad_batch(spark, d):
     ids = src.token_ids(spark, d).withColumns(
-        {"input_ids": tk.truncate_tokens(F.col("input_ids"), 100), "batch": F.floor(F.col("doc_id") / 16.0)}
+        {"batch": F.floor(F.col("doc_id") / 16.0), "labels": F.slice("input_ids", 1, F.floor(F.size("input_ids") / 2).cast("int"))}
     )
-    ids = ids.withColumn("labels", F.slice("input_ids", 1, 50))
     padded = sequences.pad_batch(ids, "batch")
     return padded.select("doc_id", _digest(F.col("input_ids")).alias("ids"), _digest(F.col("labels")).alias("labels"))
 
@@ -753,9 +761,6 @@ def weight_ratio(spark, d):
     return rounded(model.weight_ratio(model.class_weights(src.labelled(spark, d))))
 
 
-BUCKETS = 2**18  # fewer hash buckets than the default: the test tables are small
-
-
 def _split_docs(spark, d) -> dict[str, DataFrame]:
     docs = src.labelled(spark, d).select("doc_id", "text", "label")
     parts = split.stratified_split(docs, "label", "doc_id", {"train": 0.6, "val": 0.2, "test": 0.2})
@@ -767,14 +772,14 @@ def _split_docs(spark, d) -> dict[str, DataFrame]:
 @query
 def train_predict(spark, d):
     parts = _split_docs(spark, d)
-    fitted = model.train_text_classifier(parts["train"], buckets=BUCKETS)
+    fitted = model.train_text_classifier(parts["train"])
     return model.predict(fitted, parts["test"]).drop("text")
 
 
 @query
 def model_reload(spark, d):
     parts = _split_docs(spark, d)
-    fitted = model.train_text_classifier(parts["train"], buckets=BUCKETS)
+    fitted = model.train_text_classifier(parts["train"])
     threshold = curves.optimal_threshold(
         model.predict(fitted, parts["val"]).withColumnRenamed("label", "true_label"), 0.95
     )
@@ -786,5 +791,5 @@ def model_reload(spark, d):
 @query
 def train_evaluate(spark, d):
     parts = _split_docs(spark, d)
-    result = run_pipeline(parts["train"], parts["val"], parts["test"], fresh_path(spark, "trained"), buckets=BUCKETS)
+    result = run_pipeline(parts["train"], parts["val"], parts["test"], fresh_path(spark, "trained"))
     return result["grid"]

@@ -276,14 +276,44 @@ def test_chat_violations_are_rejects(spark, roles):
     assert bad.first()["reason"] == "roles do not alternate" and bad.first()["prompt"] is None
 
 
-def test_chat_larger_than_a_string_is_a_reject(spark):
-    rows = [(1, 0, "user", "x" * 100), (2, 0, "user", "y"), (None, 0, "user", "z")]
+def test_chat_without_text_is_a_reject(spark):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", None), (1, 2, "user", "b"), (2, 0, "system", None), (2, 1, "user", "x"), (3, 0, "user", "c")]
     df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
-    got = {r["conv_id"]: r["reason"] for r in chat.render_chat(df, max_bytes=120).collect()}
-    assert got == {1: "too large for one string", 2: None, None: None}
+    got = {r["conv_id"]: (r["ok"], r["reason"]) for r in chat.render_chat(df).collect()}
+    assert got == {1: (False, "a turn has no text"), 2: (False, "a turn has no text"), 3: (True, None)}
 
 
-# --- scoring and cost ------------------------------------------------------------------
+def test_scores_keep_ids_and_isolate_rows(spark):
+    big = 9007199254740993
+    df = spark.createDataFrame([(big, "a"), (None, "none"), (3, "boom"), (4, "word")], "id long, text string")
+    calls = []
+
+    def factory():
+        def score(texts):
+            calls.append(len(texts))
+            if any(t == "boom" for t in texts):
+                raise ValueError("boom")
+            return [None if t == "none" else "x" if t == "word" else 0.25 for t in texts]
+
+        return score
+
+    got = {r["text"]: (r["id"], r["ai_probability"], r["error"] is None) for r in scoring.score_documents(df.coalesce(1), factory).collect()}
+    assert got == {"a": (big, 0.25, True), "none": (None, 0.5, False), "boom": (3, 0.5, False), "word": (4, 0.5, False)}
+
+
+def test_confidence_counts_scored_rows_only(spark):
+    df = spark.createDataFrame([("d", 1, 0.75), ("d", 1, None), ("d", 1, float("nan"))], "dataset_name string, true_label int, ai_probability double")
+    row = evaluate.evaluate_thresholds(df, [0.5], None).first()
+    other = evaluate.mean_confidence(evaluate.with_decision(df, 0.5)).first()
+    assert row["mean_confidence_overall"] == other["mean_confidence_overall"] == 0.75
+
+
+def test_equal_base_names_need_paths(spark):
+    df = spark.createDataFrame([("file:///x/t.parquet",), ("file:///y/t.parquet",)], "path string")
+    with pytest.raises(ValueError, match="one name"):
+        evaluate.attach_dataset_names(df, ["/x/t.parquet", "/y/t.parquet"], ["X", "Y"])
+    got = evaluate.attach_dataset_names(df, ["/x/t.parquet", "/y/t.parquet"], ["X", "Y"], path_col="path").collect()
+    assert {(r["path"], r["dataset_name"]) for r in got} == {("file:///x/t.parquet", "X"), ("file:///y/t.parquet", "Y")}
 
 
 def _fragile():

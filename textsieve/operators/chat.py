@@ -6,10 +6,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import BOS, TURN_START, chat_turn, py_strip
 
-# A rendered conversation is one string, and one string cannot pass this many bytes.
-MAX_RENDERED_BYTES = 512 * 1024 * 1024
-
-
 def render_chat(
     df: DataFrame,
     add_generation_prompt: bool = False,
@@ -17,27 +13,18 @@ def render_chat(
     turn: str = "turn",
     role: str = "role",
     text: str = "text",
-    max_bytes: int = MAX_RENDERED_BYTES,
 ) -> DataFrame:
     """``(conv_id, prompt, ok, reason)``, one row per conversation.
 
     A leading system message goes, with a blank line, before the text of the first
-    other turn. After it, turns must alternate and start with the user; where they
-    do not, ``prompt`` is null and ``ok`` false, to be parted with ``split_rejects``.
-    So is a conversation too large for one string: its size is summed up first, and
-    its turns are never gathered. There are at most as many such conversations as
-    ``max_bytes`` goes into all text, so their ids can be broadcast.
+    other turn. After it, turns must alternate and start with the user, and no turn may
+    lack its text; where that fails, ``prompt`` is null, ``ok`` false and ``reason`` says
+    why, to be parted with ``split_rejects``.
     """
-    sizes = df.groupBy(F.col(conv).alias("_conv")).agg(
-        F.sum(F.octet_length(F.coalesce(text, F.lit(""))) + 64).alias("_bytes")
-    )
-    too_large = sizes.where(F.col("_bytes") > max_bytes).select("_conv")
-    fitting = df.join(F.broadcast(too_large), F.col(conv).eqNullSafe(F.col("_conv")), "left_anti")
-
     turns = F.array_sort(
         F.collect_list(F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")))
     )
-    gathered = fitting.groupBy(conv).agg(turns.alias("_turns"))
+    gathered = df.groupBy(conv).agg(turns.alias("_turns"))
     opens_with_system = F.coalesce(F.get("_turns", F.lit(0))["role"] == "system", F.lit(False))
     skip = opens_with_system.cast("int")
     gathered = gathered.withColumns(
@@ -45,6 +32,7 @@ def render_chat(
             "_prefix": F.when(opens_with_system, F.concat(F.get("_turns", F.lit(0))["text"], F.lit("\n\n"))).otherwise(
                 F.lit("")
             ),
+            "_holed": F.exists("_turns", lambda t: t["text"].isNull()),
             "_turns": F.slice("_turns", skip + 1, F.size("_turns")),
         }
     )
@@ -61,17 +49,7 @@ def render_chat(
         F.array_join(pieces, ""),
         F.lit(f"{TURN_START}model\n" if add_generation_prompt else ""),
     )
-    ok = F.forall(fine, lambda x: x)
-    rendered = gathered.select(
-        conv,
-        F.when(ok, prompt).alias("prompt"),
-        ok.alias("ok"),
-        F.when(~ok, F.lit("roles do not alternate")).alias("reason"),
-    )
-    oversized = too_large.select(
-        F.col("_conv").alias(conv),
-        F.lit(None).cast("string").alias("prompt"),
-        F.lit(False).alias("ok"),
-        F.lit("too large for one string").alias("reason"),
-    )
-    return rendered.unionByName(oversized)
+    alternate = F.forall(fine, lambda x: x)
+    ok = alternate & ~F.col("_holed")
+    reason = F.when(F.col("_holed"), F.lit("a turn has no text")).when(~alternate, F.lit("roles do not alternate"))
+    return gathered.select(conv, F.when(ok, prompt).alias("prompt"), ok.alias("ok"), reason.alias("reason"))

@@ -7,6 +7,7 @@ row (with a null dataset) over all of them.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -80,8 +81,9 @@ def bin_scores(pred: DataFrame, thresholds: Sequence[float], by: Sequence[str] =
     for t in sorted(set(thresholds)):
         hit = (p >= float(t)) & ~F.isnan(p)
         reached = reached + F.coalesce(hit, F.lit(False)).cast("int")
+    usable = F.when(~F.isnan(p), p)
     return pred.groupBy(*by, "true_label", reached.alias("bin")).agg(
-        F.count("*").alias("n"), F.sum(p).alias("sum_p")
+        F.count("*").alias("n"), F.count(usable).alias("n_scored"), F.sum(usable).alias("sum_p")
     )
 
 
@@ -97,7 +99,7 @@ def _threshold_cells(pred: DataFrame, thresholds: Sequence[float], by: str | Non
         return cross_thresholds(bin_scores(pred, thresholds), thresholds)
     binned = bin_scores(pred, thresholds, [by])
     both = binned.groupingSets([[by, "true_label", "bin"], ["true_label", "bin"]], by, "true_label", "bin").agg(
-        F.grouping(by).alias("_all"), F.sum("n").alias("n"), F.sum("sum_p").alias("sum_p")
+        F.grouping(by).alias("_all"), F.sum("n").alias("n"), F.sum("n_scored").alias("n_scored"), F.sum("sum_p").alias("sum_p")
     )
     return cross_thresholds(both.withColumn("scope", scope_name()).drop("_all"), thresholds)
 
@@ -108,13 +110,14 @@ def evaluate_thresholds(
     """All metrics and mean confidences for every threshold, per dataset and combined, from one pass."""
     cells = _threshold_cells(pred, thresholds, by)
     n, right = F.col("n"), F.col("pred") == F.col("true_label")
-    sure = F.when(F.col("pred") == 1, F.col("sum_p")).otherwise(n - F.col("sum_p"))
+    scored = F.col("n_scored")  # rows without a usable score are decided, but have no confidence
+    sure = F.when(F.col("pred") == 1, F.col("sum_p")).otherwise(scored - F.col("sum_p"))
     keys = ["threshold"] if by is None else ["scope", by, "threshold"]
     totals = cells.groupBy(*keys).agg(
         *_cells(F.col("true_label"), F.col("pred"), n),
-        F.coalesce(F.sum(F.when(right, n)), F.lit(0)).alias("_n_right"),
+        F.coalesce(F.sum(F.when(right, scored)), F.lit(0)).alias("_n_right"),
         F.coalesce(F.sum(F.when(right, sure)), F.lit(0.0)).alias("_sure_right"),
-        F.coalesce(F.sum(F.when(~right, n)), F.lit(0)).alias("_n_wrong"),
+        F.coalesce(F.sum(F.when(~right, scored)), F.lit(0)).alias("_n_wrong"),
         F.coalesce(F.sum(F.when(~right, sure)), F.lit(0.0)).alias("_sure_wrong"),
     )
     out = class_metrics(totals).withColumns(
@@ -138,8 +141,8 @@ def with_decision(pred: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def mean_confidence(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Mean confidence in the predicted class over correct, incorrect and all rows; 0.0 over none."""
-    p = F.col("ai_probability")
+    """Mean confidence in the predicted class over correct, incorrect and all scored rows; 0.0 over none."""
+    p = F.when(~F.isnan("ai_probability"), F.col("ai_probability"))
     sure = F.when(F.col("predicted_label") == 1, p).otherwise(F.lit(1.0) - p)
     right = F.col("predicted_label") == F.col("true_label")
     return pred.groupBy(*by).agg(
@@ -260,13 +263,24 @@ def top1_metrics(df: DataFrame, y: str = "true_label", pred: str = "predicted_la
 
 
 def attach_dataset_names(
-    df: DataFrame, paths: Sequence[str], names: Sequence[str], name_col: str = "file_name"
+    df: DataFrame, paths: Sequence[str], names: Sequence[str], name_col: str = "file_name", path_col: str | None = None
 ) -> DataFrame:
-    """Pair files with dataset names by position; rows of files that are not listed go."""
+    """Pair files with dataset names by position; rows of files that are not listed go.
+
+    Base names are matched with ``name_col``, and must differ; or whole paths with ``path_col``.
+    """
     if len(paths) != len(names):
         raise ValueError(f"{len(paths)} paths but {len(names)} names")
-    pairs = [(path.rstrip("/").rsplit("/", 1)[-1], name) for path, name in zip(paths, names, strict=True)]
+    plain = [re.sub(r"^[a-z]+:/*(?=/)", "", path.rstrip("/")) for path in paths]
+    keys = plain if path_col else [path.rsplit("/", 1)[-1] for path in plain]
+    if len(set(keys)) != len(keys):
+        raise ValueError("two files have one name; match whole paths with path_col")
+    pairs = list(zip(keys, names, strict=True))
     spark: SparkSession = df.sparkSession
     table = spark.createDataFrame(pairs, f"{name_col} string, dataset_name string")
     # A list the caller typed: one row per file.
-    return df.join(F.broadcast(table), name_col)
+    if path_col is None:
+        return df.join(F.broadcast(table), name_col)
+    own = F.regexp_replace(F.col(path_col), "^[a-z]+:/*(?=/)", "")
+    table = table.withColumnRenamed(name_col, "_path")
+    return df.join(F.broadcast(table), own == F.col("_path")).drop("_path")

@@ -52,9 +52,9 @@ def scope_name(flag: str = "_all") -> Column:
     return F.when(F.col(flag) == 1, F.lit("combined")).otherwise(F.lit("dataset"))
 
 
-def sample_rows(df: DataFrame, n: int = 3, chars: int | None = None) -> DataFrame:
-    """Any ``n`` rows, texts cut to ``chars`` characters when given."""
-    head = df.limit(n)
+def sample_rows(df: DataFrame, n: int = 3, chars: int | None = None, order: str | None = None) -> DataFrame:
+    """The first ``n`` rows by ``order``, any without it; texts cut to ``chars`` characters when given."""
+    head = (df if order is None else df.orderBy(order)).limit(n)
     if chars is None:
         return head
     return head.select(

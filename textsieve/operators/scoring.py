@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scores import prob_from_logprobs
 
@@ -17,23 +17,32 @@ Replier = Callable[[Sequence[str]], Sequence[Reply]]
 
 
 def score_documents(df: DataFrame, scorer_factory: Callable[[], Scorer], text: str = "text") -> DataFrame:
-    """Add ``ai_probability`` and ``error``.
+    """Add ``ai_probability`` and ``error``; only the text column goes to Python.
 
-    Each task calls the factory once and feeds the scorer Arrow batches of texts. When
-    a batch fails its rows are scored one by one, and only those that fail again get
-    probability 0.5 and the error text; the job goes on.
+    Each task calls the factory once and feeds the scorer Arrow batches of texts. A batch that fails
+    is halved until the rows at fault stand alone, and those get probability 0.5 and the error text;
+    so do rows whose result is no number. The job goes on.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("struct<ai_probability:double,error:string>")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = scorer_factory()
-        for batch in batches:
-            results = _call(scorer, batch[text].tolist())
-            yield batch.assign(
-                ai_probability=[0.5 if e is not None else float(p) for p, e in results],
-                error=[e for _, e in results],
+        for texts in batches:
+            results = _call(scorer, texts.tolist(), float)
+            yield pd.DataFrame(
+                {
+                    "ai_probability": [0.5 if e is not None else p for p, e in results],
+                    "error": [e for _, e in results],
+                }
             )
 
-    return df.mapInPandas(run, _with(df, "ai_probability double, error string"))
+    scored = df.withColumn("_scored", score(F.col(text)))
+    return scored.withColumns({"ai_probability": F.col("_scored.ai_probability"), "error": F.col("_scored.error")}).drop("_scored")
+
+
+def _reply(result: Reply) -> tuple[str, list[dict]]:
+    words, pairs = (result, ()) if isinstance(result, str) else result
+    return words.strip(), [{"token": str(t), "logprob": float(p)} for t, p in pairs]
 
 
 def reply_documents(df: DataFrame, replier_factory: Callable[[], Replier], text: str = "text") -> DataFrame:
@@ -42,56 +51,43 @@ def reply_documents(df: DataFrame, replier_factory: Callable[[], Replier], text:
     Failures are handled as in ``score_documents``; the error text is the response.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("struct<response:string,top_logprobs:array<struct<token:string,logprob:double>>,error:string>")
+    def reply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         replier = replier_factory()
-        for batch in batches:
-            response, top, errors = [], [], []
-            for result, error in _call(replier, batch[text].tolist()):
-                words, pairs = (result, ()) if isinstance(result, str) else (result or (error, ()))
-                response.append(words.strip())
-                top.append([{"token": t, "logprob": float(p)} for t, p in pairs])
-                errors.append(error)
-            yield batch.assign(response=response, top_logprobs=top, error=errors)
-
-    added = "response string, top_logprobs array<struct<token:string,logprob:double>>, error string"
-    replied = df.mapInPandas(run, _with(df, added))
+        for texts in batches:
+            results = _call(replier, texts.tolist(), _reply)
+            yield pd.DataFrame(
+                {
+                    "response": [e.strip() if e is not None else r[0] for r, e in results],
+                    "top_logprobs": [[] if e is not None else r[1] for r, e in results],
+                    "error": [e for _, e in results],
+                }
+            )
+
+    added = ("response", "top_logprobs", "error")
+    replied = df.withColumn("_replied", reply(F.col(text)))
+    replied = replied.withColumns({c: F.col(f"_replied.{c}") for c in added}).drop("_replied")
     p = prob_from_logprobs(F.col("top_logprobs"), F.col("response"), F.col("error"))
     return replied.withColumn("ai_probability", p)
 
 
-def _with(df: DataFrame, added: str) -> T.StructType:
-    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(added).fields])
-
-
-def _call(function: Callable, texts: list[str]) -> list[tuple[object, str | None]]:
-    """``(result, error)`` per text: in one call, or one by one when that fails."""
+def _call(function: Callable, texts: list[str], convert: Callable) -> list[tuple[object, str | None]]:
+    """``(converted result, error)`` per text; a failed call is halved down to the texts at fault."""
+    if not texts:
+        return []
     try:
         results = list(function(texts))
-        if len(results) == len(texts):
-            return [(r, None) for r in results]
-    except Exception:  # noqa: BLE001 - a plug-in may raise anything; find the rows at fault below
-        pass
-    out: list[tuple[object, str | None]] = []
-    for one in texts:
-        try:
-            (result,) = function([one])
-            out.append((result, None))
-        except Exception as failure:  # noqa: BLE001
-            out.append((None, f"ERROR: {failure}"))
-    return out
+        if len(results) != len(texts):
+            raise ValueError(f"{len(results)} results for {len(texts)} texts")
+        return [(convert(r), None) for r in results]
+    except Exception as failure:  # noqa: BLE001 - a plug-in may raise anything
+        if len(texts) == 1:
+            return [(None, f"ERROR: {failure}")]
+    half = len(texts) // 2
+    return _call(function, texts[:half], convert) + _call(function, texts[half:], convert)
 
 
 def cache_predictions(df: DataFrame, path: str) -> DataFrame:
     """Write predictions once and read them back, so that scoring never runs twice."""
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.parquet(path)
-
-
-def prediction_columns(df: DataFrame, label: str, dataset: str, text: str = "text") -> DataFrame:
-    """The prediction table: full text, true label, probability, dataset."""
-    return df.select(
-        F.col(text).alias("text"),
-        F.col(label).cast("int").alias("true_label"),
-        "ai_probability",
-        F.col(dataset).alias("dataset_name"),
-    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import pct
 from ..functions.tokens import IGNORED, chunk_array
@@ -20,21 +20,17 @@ def pad_batch(
     pad_id: int = 0,
     label_pad: int = IGNORED,
 ) -> DataFrame:
-    """Pad ids and labels to the longest ones of their batch.
+    """Pad ids and labels to the longest ones of their batch, rows without a batch among themselves.
 
-    The lengths are joined back instead of a window over the rows, so the arrays of
-    a batch need not come together in one task.
+    One window over the batch: the arrays of a batch meet in one task, as they do in the batch.
     """
-    longest = df.groupBy(F.col(batch_col).alias("_batch")).agg(
-        F.max(F.size(ids)).alias("_ids"), F.max(F.size(labels)).alias("_labels")
-    )
-    joined = df.join(longest, F.col(batch_col).eqNullSafe(F.col("_batch")))
-    return joined.withColumns(
-        {
-            ids: F.concat(ids, F.array_repeat(F.lit(pad_id), F.col("_ids") - F.size(ids))),
-            labels: F.concat(labels, F.array_repeat(F.lit(label_pad), F.col("_labels") - F.size(labels))),
-        }
-    ).select(*df.columns)
+    batch = Window.partitionBy(batch_col)
+
+    def padded(column: str, fill: int) -> Column:
+        longest = F.max(F.size(column)).over(batch)
+        return F.concat(column, F.array_repeat(F.lit(fill), longest - F.size(column)))
+
+    return df.withColumns({ids: padded(ids, pad_id), labels: padded(labels, label_pad)})
 
 
 def chunk_tokens(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.labels import normalize_label
 from ..functions.text import fill_template, preview
@@ -79,13 +79,14 @@ def write_threshold_evaluation(pred: DataFrame, path: str, threshold: float = 0.
     decided = with_decision(pred, threshold)
     cm = confusion_matrix(decided, by=["dataset_name"])
     metrics = class_metrics(cm)
+    full = F.col("text_full" if "text_full" in pred.columns else "text")
     return {
         "metrics": write_json_report(metrics, f"{path}/metrics", {"threshold": threshold}),
         "summary": write_csv(metrics, f"{path}/summary"),
         "report": write_json_report(classification_report(cm), f"{path}/report"),
         "text": write_text_report(metrics, f"{path}/text"),
         "errors": write_parquet(
-            decided.select("text", "true_label", "predicted_label", "ai_probability", "is_correct", "dataset_name"),
+            decided.select(full.alias("text"), "true_label", "predicted_label", "ai_probability", "is_correct", "dataset_name"),
             f"{path}/errors",
             "dataset_name",
         ),

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 def require_columns(df: DataFrame, cols: Sequence[str], on_missing: str = "error") -> DataFrame | None:
     """The frame itself when all columns are there; else what ``on_missing`` says.
 
-    ``error`` raises, ``skip`` warns and gives None, ``unlabelled`` warns and adds the
-    missing columns as nulls.
+    ``error`` raises, ``skip`` warns and gives None, ``unlabelled`` warns and adds a missing
+    ``label`` as nulls; any other missing column is an error there.
     """
     if on_missing not in ("error", "skip", "unlabelled"):
         raise ValueError(f"unknown on_missing {on_missing!r}")
@@ -20,12 +20,12 @@ def require_columns(df: DataFrame, cols: Sequence[str], on_missing: str = "error
     if not missing:
         return df
     message = f"missing columns {missing}; available: {df.columns}"
-    if on_missing == "error":
+    if on_missing == "error" or on_missing == "unlabelled" and missing != ["label"]:
         raise ValueError(message)
     warnings.warn(message, stacklevel=2)
     if on_missing == "skip":
         return None
-    return df.withColumns({c: F.lit(None).cast("int") for c in missing})
+    return df.withColumn("label", F.lit(None).cast("int"))
 
 
 def split_rejects(df: DataFrame, ok_col: str) -> tuple[DataFrame, DataFrame]:
