@@ -162,3 +162,12 @@ def test_large_roots_are_divided(spark, monkeypatch):
     test_ordered_pairs_equal_brute_force(spark)
     test_pr_curve_and_threshold_equal_brute_force(spark)
     test_auc_equals_pairs(spark, 5)
+
+
+def test_unusable_scores_count_as_misses(spark):
+    rows = [(1, 0.9), (1, None), (1, float("nan")), (0, 0.2)]
+    pred = spark.createDataFrame(rows, "true_label int, ai_probability double")
+    best = curves.optimal_threshold(pred, 0.98).first()
+    assert best["threshold"] == 0.2 and best["recall"] == pytest.approx(1 / 3)
+    points = {r["threshold"]: (r["tp"], r["fp"]) for r in curves.pr_curve(pred).collect()}
+    assert points == {0.2: (1, 1), 0.9: (1, 0), None: (0, 0)}

@@ -58,9 +58,14 @@ def roc_auc_report(pred: DataFrame, by: str = "dataset_name") -> DataFrame:
 
 
 def _curve_points(pred: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Cumulative counts, precision and recall per distinct score; ``last`` marks the highest score."""
-    hist = score_histogram(pred, by).where(F.col("_key").isNotNull())
-    ranked = prefix_sums(hist, "_key", ["pos", "neg"], by)
+    """Cumulative counts, precision and recall per distinct score; ``last`` marks the highest score.
+
+    Null and NaN scores are no points, but lie below every threshold: they count in the totals.
+    """
+    hist = score_histogram(pred, by)
+    below_all = F.lit(-(2**63)).cast("bigint")
+    ranked = prefix_sums(hist.withColumn("_key", F.coalesce("_key", below_all)), "_key", ["pos", "neg"], by)
+    ranked = ranked.where(F.col("_key") != below_all)
     tp = F.col("pos_total") - F.col("pos_before")
     fp = F.col("neg_total") - F.col("neg_before")
     recall = F.when(F.col("pos_total") > 0, tp.cast("double") / F.col("pos_total"))
