@@ -123,6 +123,10 @@ def _span(kind: str) -> Callable[[Column], Column]:
     return lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"))
 
 
+def _is_kind(kind: str) -> Callable[[Column], Column]:
+    return lambda s: s["kind"] == kind
+
+
 def with_base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add ``base``: array of (kind, start, end), by kind as listed, then start."""
     whole = F.coalesce(F.col(text), F.lit(""))
@@ -239,7 +243,7 @@ def with_spans(docs: DataFrame, model: Boosted | None, text: str = "text") -> Da
         F.filter("candidates", model.selects), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))
     )
     docs = docs.withColumn("added", added)
-    by_kind = [F.array_sort(F.filter(F.concat("base", "added"), lambda s, k=kind: s["kind"] == k)) for kind in KINDS]
+    by_kind = [F.array_sort(F.filter(F.concat("base", "added"), _is_kind(kind))) for kind in KINDS]
     spans = F.when(F.size("added") == 0, F.col("base")).otherwise(F.concat(*by_kind))
     return docs.withColumn("spans", spans).drop("candidates", "added")
 
@@ -250,7 +254,7 @@ def listed(spans: str) -> Column:
 
 
 def counted(spans: str, kind: str) -> Column:
-    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+    return F.size(F.filter(spans, _is_kind(kind))).cast("long")
 
 
 def redacted(text: str, spans: str) -> Column:
