@@ -34,12 +34,12 @@ BLOCK_IDS = 1 << 18
 BLOCKS = (
     "shard int, block int, first_id long, n_ids long, width int, doc_ids array<bigint>, lengths array<bigint>, packed binary"
 )
-_SPACED = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r"(?= \S)")
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _WORD = re.compile(rf"[{_LETTERS}]+")
 _MARKS = ((", ", " \x01, "), (". ", " \x01. "), (".\n", " \x01.\n \x02"))
-_OWN_MARKS = re.compile("[\x01\x02]")
+#: Words of letters that are joined into one text to be encoded.
+JOINED = 4_096
 
 
 def bit_width(vocabulary: int) -> int:
@@ -113,7 +113,7 @@ class WordEncoder:
         self._leads = np.zeros(self.vocabulary, bool)  # tokens that start with a space
         for token, i in self._tokenizer.get_vocab().items():
             self._leads[i] = token.startswith("Ġ")
-        self._units, self._odd = Remembered(), set()
+        self._units, self._odd, self._cut_wrong = Remembered(), set(), set()
 
     def _encode(self, texts: list[str]) -> Iterator[bytes]:
         for batch in byte_batches(texts):
@@ -122,7 +122,8 @@ class WordEncoder:
 
     def _encode_spaced(self, words: list[str]) -> Iterator[bytes]:
         """Words of letters after a space, many in one text; a token that starts with a space starts a word."""
-        for batch in byte_batches(words, 1 << 16):
+        for i in range(0, len(words), JOINED):
+            batch = words[i : i + JOINED]
             joined = " " + " ".join(batch)
             ids = np.asarray(self._tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int64)
             starts = np.flatnonzero(self._leads[ids])
@@ -143,12 +144,16 @@ class WordEncoder:
             if len(self._odd) > REMEMBERED:
                 self._odd.clear()
                 other += [u for u in self._units if not _WORD.fullmatch(u)]
+            self._cut_wrong.update(u for u in other if not u or u[0].isspace())
             self._odd.update(u for u in other if u[:1] != "\x01" and not _WORD.match(u[-1:]))
+            self._odd |= self._cut_wrong
 
     def _unsafe(self, units: list[str]) -> bool:
-        """Whether a cut-off mark follows something other than a letter."""
+        """Whether a cut is wrong: before white space, or a mark cut off something other than a letter."""
         odd = self._odd
-        return not odd.isdisjoint(units) and any(b[:1] == "\x01" and a in odd for a, b in pairwise(units))
+        if odd.isdisjoint(units):
+            return False
+        return not self._cut_wrong.isdisjoint(units) or any(b[:1] == "\x01" and a in odd for a, b in pairwise(units))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self._by_word:
@@ -156,7 +161,7 @@ class WordEncoder:
         self._units.age()
         split: list[list[str] | None] = []
         for text in texts:
-            if not text or _SPACED.search(text) or _OWN_MARKS.search(text):
+            if not text or "\x01" in text or "\x02" in text:
                 split.append(None)
                 continue
             text = "\x02" + text
