@@ -265,7 +265,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, limit: int = 75, doc_id: st
     groups = written(connected_components(near), "groups")
 
     sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
-    chosen = groups.join(sizes, "component").join(own, F.col("node") == F.col("doc_id")).select("component", "size", "node", "text")
+    chosen = groups.join(sizes, "component").join(own.hint("merge"), F.col("node") == F.col("doc_id")).select("component", "size", "node", "text")
     sets = chosen.mapInArrow(_sets_of(words), "component long, size long, node long, shingles binary")
     sets = block_pairs(sets, F.col("size"), SET_BLOCK, "node").select("component", "_i", "_j", "node", "shingles")
     sets = sets.repartition("component", "_i", "_j").sortWithinPartitions("component", "_i", "_j", "node")
