@@ -36,7 +36,7 @@ from .arrays import kept, mixed
 from .token_counts import space_words
 
 #: Characters of text whose words share a lattice, offset of Zipf's law, log-odds of a byte piece.
-BATCH_CHARS, ZIPF, BYTE_WEIGHT = 1 << 19, 10.0, 1e-6
+BATCH_CHARS, ZIPF, BYTE_WEIGHT = 1 << 20, 10.0, 1e-6
 _U64 = np.uint64
 _SPACE = "▁"
 _M = _U64(0x9E3779B97F4A7C15 | 1)
