@@ -169,8 +169,9 @@ def test_personal_data(spark):
         assert [tuple(x) for x in got[i]["base"]] == expected, t[:80]
         assert got[i]["s"] == ",".join(f"{k}:{a}:{b}" for k, a, b in expected)
     assert len(got[None]["base"]) == 1
-    model = pii.fit(table)
-    for r in pii.with_spans(table, model).select("text", "spans", pii.redacted("text", "spans").alias("clean"), pii.counted("spans", "email").alias("n")).collect():
+    short = table.where("text is null or length(text) < 500")
+    model = pii.fit(short)
+    for r in pii.with_spans(short, model).select("text", "spans", pii.redacted("text", "spans").alias("clean"), pii.counted("spans", "email").alias("n")).collect():
         spans, base = [tuple(x) for x in r["spans"]], brute_spans(r["text"])
         assert set(base) <= set(spans) and spans == sorted(spans, key=lambda s: (pii.KINDS.index(s[0]), s[1:]))
         assert r["n"] == sum(s[0] == "email" for s in spans)
