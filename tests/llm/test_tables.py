@@ -199,6 +199,29 @@ def test_trees_are_expressions(spark):
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
+def test_personal_data_thresholds_cover_all_documents(spark):
+    """A kind that is rare in the sample gets a threshold from the rest, and new spans of its format are no errors."""
+    rng = random.Random(2)
+    rows = []
+    for i in range(4_000):
+        number = f"{rng.randint(10, 99)} {rng.randint(10, 99)} {rng.randint(10**6, 10**7 - 1)}"
+        phone = f"call {'+' if i % 40 else ''}{number} now" if i % 20 == 0 or i % 40 == 1 else "no number"
+        rows.append((i, f"document {i % 7} {phone} of {rng.randint(10**6, 10**7)},{rng.randint(10**6, 10**7)} end"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pii.fit(docs, sample_docs=400)
+    assert "phone" in model.thresholds
+    found = pii.with_spans(docs, model).select(F.size("base").alias("b"), F.size("spans").alias("s"), F.instr("text", "call").alias("c"))
+    added = {r["c"]: r["count"] for r in found.where("s > b").groupBy(F.expr("c > 0").alias("c")).count().collect()}
+    assert added.get(True, 0) > 0 and False not in added, (model.thresholds, added)
+
+
+def test_personal_data_errors():
+    """Known errors bar a threshold; open spans only where the base share falls below that of the surest ones."""
+    assert pii.thresholds([("card", 0.6, 40, 30, 10)]) == {}
+    assert pii.thresholds([("ip", 0.9, 400, 200, 0), ("ip", 0.1, 400, 4, 0)]) == {"ip": 0.9}
+    assert pii.thresholds([("phone", 0.9, 19, 19, 0)]) == {}
+
+
 def test_pipeline(spark):
     import corpus_pipeline as pipeline
 

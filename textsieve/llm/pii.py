@@ -5,7 +5,8 @@ High-recall generators then propose overlapping spans of each kind; boosted tree
 format and context, and a threshold per kind, calibrated for precision, selects those that are added.
 
 The trees learn from generated spans that overlap a base span of their kind against those that do
-not, in a bounded sample of documents (``SAMPLE_DOCS``, by hash). What only the base pattern tells
+not, in a bounded sample of documents (``SAMPLE_DOCS``, by hash). Thresholds come from all other
+documents. What only the base pattern tells
 (the leading ``+``, the check digit) is no feature, so the same format elsewhere can be found.
 
 Everything is DataFrame functions: match places come from the gaps that ``split`` leaves, the trees
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .graph import written
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents to learn from, trees, their depth, and the precision that a threshold must reach.
+#: Documents to learn from, trees, their depth, the precision that a threshold must reach, and the least spans it rests on.
 SAMPLE_DOCS, TREES, DEPTH, PRECISION, LEAST_FOUND = 5_000, 8, 3, 0.98, 20
 
 # The base patterns. Possessive repeats and starts at run borders (or where the last
@@ -157,7 +158,7 @@ def features(kind: str, whole: Column, x: Column) -> Column:
 
 
 def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``candidates``: array of (kind, start, end, base, f); ``base`` tells whether a base span of the kind overlaps."""
+    """Add ``candidates``: array of (kind, start, end, base, taken, match, f); ``base`` tells whether a base span of the kind overlaps."""
     whole = F.coalesce(F.col(text), F.lit(""))
     for kind in KINDS:
         docs = docs.withColumn(f"_m_{kind}", match_places(whole, GENERATORS[kind], _GENERATOR_HINT[kind]))
@@ -168,7 +169,7 @@ def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
             taken = F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
             return F.struct(
                 F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), overlaps.alias("base"),
-                taken.alias("taken"), features(kind, whole, x).alias("f"),
+                taken.alias("taken"), x["match"].alias("match"), features(kind, whole, x).alias("f"),
             )
 
         return build
@@ -205,14 +206,46 @@ class Boosted:
         return chosen & ~c["taken"]
 
 
+def thresholds(bins: list[tuple[str, float, int, int, int]]) -> dict[str, float]:
+    """Least probability of each kind, from counts (kind, probability, candidates, right, wrong).
+
+    Right ones overlap a base span of their kind, wrong ones are known not to be of it, the others
+    are open. Where all are right, the share of right ones among right and open is what the base
+    patterns find of the kind: the highest share of the surest candidates that hold at least half of
+    the right ones. Open ones that this share does not explain count as errors.
+    """
+    least = {}
+    for kind in KINDS:
+        surest, known, found, possible = [], 0, 0, 0
+        for p, n, y, w in sorted((r[1:] for r in bins if r[0] == kind), reverse=True):
+            known, found, possible = known + y, found + n, possible + n - w
+            surest.append((p, known, found, possible))
+        enough = max(LEAST_FOUND, known / 2)
+        share = max((y / m for _, y, _, m in surest if y >= enough), default=None)
+        if share is not None:
+            precise = [p for p, y, n, m in surest if n >= LEAST_FOUND and min(m, y / share) >= PRECISION * n]
+            least |= {kind: min(precise)} if precise else {}
+    return least
+
+
+def _is_wrong(c: Column) -> Column:
+    """Whether a candidate lies on another kind's base span, or has the form of its own base pattern but failed the check."""
+    own = F.lit(False)
+    for kind in KINDS:
+        own = own | ((c["kind"] == kind) & c["match"].rlike(f"^(?:{BASE[kind]})$"))
+    return ~c["base"] & (c["taken"] | own)
+
+
 def fit(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS) -> Boosted | None:
-    """Learn trees and thresholds from about ``sample_docs`` documents chosen by the hash of their text."""
+    """Learn trees from about ``sample_docs`` documents chosen by the hash of their text, thresholds from all others.
+
+    Of fewer than twice as many documents, half are learned from. Equal texts count once in the thresholds.
+    """
     n = docs.count()
-    share = F.pmod(F.xxhash64(text), F.lit(max(1, n // sample_docs))) == 0
-    sample = with_candidates(with_base_spans(docs.where(share).select(text), text), text)
-    rows = sample.select(F.crc32(F.col(text).cast("binary")).alias("h"), F.inline("candidates"))
-    rows = written(rows.select("h", "kind", F.col("base").cast("double").alias("label"), "f"), "spans-sample")
-    train, held = rows.where("h % 2 = 0"), rows.where("h % 2 = 1")
+    hashed = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    learned = F.pmod(hashed, F.lit(max(2, n // sample_docs))) == 0
+    sample = with_candidates(with_base_spans(docs.where(learned).select(text), text), text).select(F.inline("candidates"))
+    train = written(sample.select(F.col("base").cast("double").alias("label"), "f"), "spans-sample")
     kinds = {r["label"] for r in train.groupBy("label").count().collect()}
     if kinds != {0.0, 1.0}:
         return None
@@ -220,16 +253,15 @@ def fit(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS) ->
     model = gbt.fit(train.select("label", array_to_vector("f").alias("x")))
     trees = [t._call_java("rootNode") for t in model.trees]
     boosted = Boosted(trees, list(model.treeWeights), {})
-    binned = held.withColumn("p", F.floor(boosted.probability(F.col("f")) * 200) / 200).groupBy("kind", "p")
-    bins = binned.agg(F.count("*").alias("n"), F.sum("label").alias("y")).collect()
-    for kind in KINDS:
-        found = right = 0
-        for r in sorted((r for r in bins if r["kind"] == kind), key=lambda r: -r["p"]):
-            found, right = found + r["n"], right + r["y"]
-            if found >= LEAST_FOUND and right < PRECISION * found:
-                break
-            if found >= LEAST_FOUND:
-                boosted.thresholds[kind] = r["p"]
+    held = with_candidates(with_base_spans(docs.where(~learned).select(text), text), text)
+    judged = F.transform("candidates", lambda c: F.struct(
+        c["kind"].alias("kind"), c["start"].alias("start"), c["base"].alias("base"), _is_wrong(c).alias("wrong"), c["f"].alias("f"),
+    ))
+    rows = held.select(hashed.alias("h"), F.inline(judged))
+    rows = rows.select("h", "kind", "start", "base", "wrong", (F.floor(boosted.probability(F.col("f")) * 200) / 200).alias("p")).distinct()
+    counts = (F.count("*").alias("n"), F.count_if("base").alias("y"), F.count_if("wrong").alias("w"))
+    bins = rows.groupBy("kind", "p").agg(*counts).collect()
+    boosted.thresholds = thresholds([(r["kind"], r["p"], r["n"], r["y"], r["w"]) for r in bins])
     return boosted
 
 
