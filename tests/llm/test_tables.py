@@ -130,6 +130,19 @@ def test_urls(spark):
     assert urls.judge_urls(table.limit(0), RULES).count() == 0
 
 
+def test_whole_urls_are_read(spark):
+    """What stands after ``?``, and in urls without ``://``, decides a verdict that no rule gives."""
+    rows = [f"http://a.org/p{i}?ref=newsletter" for i in range(60)] + [f"http://b.com/de/p{i}?ref=casino" for i in range(60)]
+    asked = ["http://q.net/x?ref=newsletter", "http://q.net/x?ref=casino", "q.net?ref=newsletter", "q.net?ref=casino", None]
+    table = spark.createDataFrame(list(enumerate(rows + asked)), "page_id long, url string")
+    got = {r["page_id"]: r for r in urls.judge_urls(table, RULES, whole=True).collect()}
+    first, second, third, fourth, _ = (got[len(rows) + i] for i in range(5))
+    assert len(got) == len(rows) + len(asked)
+    assert (first["host"], first["path"]) == (second["host"], second["path"]) == ("q.net", "/x") and first["ratio"] > second["ratio"]
+    assert third["host"] == "" and third["ratio"] > fourth["ratio"]
+    assert first["verdict"] == "allow" and fourth["verdict"] == "block"
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",

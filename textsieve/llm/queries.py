@@ -43,7 +43,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = judge_urls(_table(spark, sf_dir, "pages"), RULES)
+    judged = judge_urls(_table(spark, sf_dir, "pages"), RULES, whole=True)
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 

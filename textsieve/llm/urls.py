@@ -5,7 +5,7 @@ URLs: contexts of 0 to ``ORDER`` characters, interpolated after Witten and Bell.
 other URL is its mean log ratio per character against a threshold calibrated on a held-out fifth of
 the decided URLs. All of it is joins and aggregates over distinct URLs and distinct character grams.
 
-Edge cases: a null url, or one without ``://``, has an empty host and path; repeated rows, null ids
+Edge cases: a null url reads as empty; it, or one without ``://``, has an empty host and path; repeated rows, null ids
 and equal urls are judged alike; without decided urls of both kinds the threshold is 0 and a ratio
 of 0 allows. Columns other than the id and the url are not read.
 """
@@ -57,10 +57,10 @@ def _fitting(rules: list[Rule], host: Column, path: Column, value) -> Column:
     return chosen
 
 
-def _grams() -> Column:
-    """All windows of ORDER + 1 characters of the padded URL, one per character and its end."""
+def _grams(read: str) -> Column:
+    """All windows of ORDER + 1 characters of the padded column, one per character and its end."""
     pad, end = F.array_repeat(F.lit("\x02"), ORDER), F.array(F.lit("\x03"))
-    characters = F.concat(pad, F.filter(F.split(F.concat("host", "path"), ""), lambda c: c != ""), end)
+    characters = F.concat(pad, F.filter(F.split(read, ""), lambda c: c != ""), end)
     return F.transform(
         F.sequence(F.lit(1), F.size(characters) - ORDER), lambda i: F.array_join(F.slice(characters, i, ORDER + 1), "")
     )
@@ -102,11 +102,11 @@ def gram_ratios(grams: DataFrame, trained: DataFrame) -> DataFrame:
 
 
 def url_ratios(urls: DataFrame) -> DataFrame:
-    """``host, path, ratio``: mean log ratio per character of distinct ``urls`` (host, path, n, allow).
+    """``read, ratio``: mean log ratio per character of distinct ``urls`` (read, n, allow, fold).
 
     Models learn from decided urls outside the calibration fold, each counted ``n`` times.
     """
-    exploded = urls.select("host", "path", "n", "allow", "fold", F.explode(_grams()).alias("gram"))
+    exploded = urls.select("read", "n", "allow", "fold", F.explode(_grams("read")).alias("gram"))
 
     def counted(allow: bool) -> Column:
         return F.sum(F.when(F.col("allow") == allow, F.col("n")).otherwise(0))
@@ -114,7 +114,7 @@ def url_ratios(urls: DataFrame) -> DataFrame:
     trained = exploded.where(F.col("allow").isNotNull() & (F.col("fold") != 0)).groupBy("gram")
     trained = trained.agg(counted(True).alias("a"), counted(False).alias("r"))
     ratios = gram_ratios(exploded.select("gram").distinct(), trained)
-    return exploded.select("host", "path", "gram").join(ratios, "gram").groupBy("host", "path").agg(F.avg("ratio").alias("ratio"))
+    return exploded.select("read", "gram").join(ratios, "gram").groupBy("read").agg(F.avg("ratio").alias("ratio"))
 
 
 def threshold_of(scored: DataFrame) -> float:
@@ -137,16 +137,22 @@ def threshold_of(scored: DataFrame) -> float:
     return min(max(shifted, mean[False]), mean[True])
 
 
-def judge_urls(pages: DataFrame, rules: list[Rule], page_id: str = "page_id", url: str = "url") -> DataFrame:
-    """``page_id, host, path, rule, verdict, ratio`` of every page."""
-    own = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    urls = own.groupBy("host", "path").agg(F.count("*").alias("n"))
+def judge_urls(pages: DataFrame, rules: list[Rule], page_id: str = "page_id", url: str = "url", whole: bool = False) -> DataFrame:
+    """``page_id, host, path, rule, verdict, ratio`` of every page.
+
+    Models, calibration and ratios read the whole url if ``whole``, else host and path only, which
+    judges urls that differ after ``?`` or ``#``, and all urls without ``://``, alike.
+    """
+    host, path = host_of(F.col("_url")), path_of(F.col("_url"))
+    own = pages.select(F.col(page_id).alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("_url"))
+    own = own.select("page_id", host.alias("host"), path.alias("path"), (F.col("_url") if whole else F.concat(host, path)).alias("read"))
+    urls = own.groupBy("read", "host", "path").agg(F.count("*").alias("n"))
     allow = _fitting(rules, F.col("host"), F.col("path"), lambda r: r.allow).cast("boolean")
-    fold = F.pmod(F.crc32(F.concat("host", "path").cast("binary")), F.lit(CALIBRATE))
+    fold = F.pmod(F.crc32(F.col("read").cast("binary")), F.lit(CALIBRATE))
     urls = written(urls.withColumns({"allow": allow, "fold": fold}), "urls")
-    scored = written(urls.join(url_ratios(urls), ["host", "path"]), "url-ratios")
+    scored = written(urls.join(url_ratios(urls), "read"), "url-ratios")
     threshold = threshold_of(scored)
-    judged = own.join(scored.select("host", "path", "allow", "ratio"), ["host", "path"])
+    judged = own.join(scored.select("read", "host", "path", "allow", "ratio"), ["read", "host", "path"])
     rule = _fitting(rules, F.col("host"), F.col("path"), lambda r: r.name).cast("string")
     verdict = F.when(F.coalesce("allow", F.col("ratio") >= threshold), F.lit("allow")).otherwise(F.lit("block"))
     return judged.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), "ratio")
