@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import fresh_path
-from . import pii
+from . import oracles, pii
 from .decontaminate import mark_contaminated
+from .line_dedup import dedup_lines, kept_text
 from .near_dedup import near_duplicates
 from .repeats import remove_repeats
 from .sampling import sample_segmentations
@@ -89,6 +90,11 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_lines(_table(spark, sf_dir, "documents"), min_length=40, min_docs=5)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(kept_text(), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_repeats": op1_repeats,
     "op2_toxicity": op2_toxicity,
@@ -100,6 +106,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_personal_data": op10_personal_data,
+    "op12_line_dedup": op12_line_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_line_dedup": oracles.LINE_DEDUP}
