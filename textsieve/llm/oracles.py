@@ -22,3 +22,42 @@ select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
 from marked group by doc_id
 """
+
+COLLOCATIONS = f"""
+with pieces as (
+  select coalesce(lang, 'und') as lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')) as piece
+  from documents
+), split as (
+  select lang, list_filter(regexp_split_to_array(piece, '[ \\t]+'), lambda w: w <> '') as words from pieces
+), starts as (
+  select lang, words, unnest(range(1, len(words) + 1)) as i from split
+), grams as (
+  select lang, unnest(list_transform(range(0, least(5, len(words) - i + 1)), lambda k: words[i:i + k])) as gram from starts
+), f as (
+  select lang, array_to_string(gram, ' ') as phrase, len(gram) as k, count(*) as f from grams group by lang, gram
+), totals as (
+  select lang, sum(f)::bigint as n from f where k = 1 group by lang
+), candidates as (
+  select lang, phrase, string_split(phrase, ' ') as words, k, f as a from f where k > 1 and f >= 100
+), inner_phrases as (
+  select c.lang, array_to_string(c.words[i:j], ' ') as phrase, max(c.a) as longer
+  from candidates c, range(1, 6) s(i), range(1, 6) e(j)
+  where j > i and j <= c.k and j - i + 1 < c.k group by all
+), kept as (
+  select c.* from candidates c left join inner_phrases p on c.lang = p.lang and c.phrase = p.phrase
+  where p.longer is null or 100 * p.longer < 100 * c.a
+), cuts as (
+  select c.lang, c.phrase, c.a, c.k, cut, array_to_string(c.words[1:cut], ' ') as first_part, array_to_string(c.words[cut + 1:], ' ') as rest
+  from kept c, range(1, 5) r(cut) where cut < c.k
+), scored as (
+  select cuts.lang, cuts.phrase, a, cut, x.f as l, y.f as r, n,
+    ((1000::hugeint * a * n) // (x.f::hugeint * y.f))::bigint as score
+  from cuts join f x on x.lang = cuts.lang and x.phrase = first_part
+  join f y on y.lang = cuts.lang and y.phrase = rest join totals on totals.lang = cuts.lang
+), lowest as (
+  select * from scored qualify row_number() over (partition by lang, phrase order by score, cut) = 1
+)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+from lowest qualify rank <= 2000
+"""

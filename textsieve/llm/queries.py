@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..session import fresh_path
 from . import oracles, pii
+from .collocations import collocations
 from .decontaminate import mark_contaminated
 from .line_dedup import dedup_lines, kept_text
 from .near_dedup import near_duplicates
@@ -90,6 +91,10 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"), least=100, longest=5, top=2000)
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_lines(_table(spark, sf_dir, "documents"), min_length=40, min_docs=5)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(kept_text(), 256).alias("kept_sha256"))
@@ -106,7 +111,11 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_personal_data": op10_personal_data,
+    "op11_collocations": op11_collocations,
     "op12_line_dedup": op12_line_dedup,
 }
 
-ORACLES: dict[str, str] = {"op12_line_dedup": oracles.LINE_DEDUP}
+ORACLES: dict[str, str] = {
+    "op11_collocations": oracles.COLLOCATIONS,
+    "op12_line_dedup": oracles.LINE_DEDUP,
+}
