@@ -6,13 +6,13 @@ order of piece and place, and the blocks of all lengths are the same. So both si
 an occurrence of length k with the word k places on are sorted alike and lie in the same row; the join is
 a shift of one array against the other. What crosses the cluster are counts:
 
-1. ``occurrences``: texts to blocks; a position holds the number of its word in the block's vocabulary.
-2. ``count_words`` / ``count_pairs``: a block sends each of its different phrases once with its count; sums
-   give the frequent groups, which get ids. Counting by key is therefore pre-aggregated: a word that
-   is a third of all words is one row per block.
-3. The semi-join: a block gets back which of its phrases are frequent and their ids.
-4. ``extend``: the merge-join of frequent occurrences with the words that follow. It also asks that the
-   phrase one place on is frequent, as otherwise the extension cannot be. Back to 2.
+1. ``occurrences``: texts to blocks; a place holds the number of its word in the block's vocabulary.
+2. ``count_words`` / ``count_pairs``: a block merge-joins its frequent occurrences with the words that follow
+   (where the phrase one place on is frequent too, as otherwise the extension cannot be) and sends each
+   different phrase once with its count; sums give the frequent groups, which get ids. Counting is
+   therefore pre-aggregated: a word that is a third of all words is one row per block.
+3. The semi-join: a block gets back which of its phrases are frequent, keeps only those occurrences and the
+   words they cover as the relation of the next length, and goes on at 2.
 
 Phrases of two words and more are counted as pairs (id of the frequent phrase without its last word, id of
 the last word), so no hash decides about equality. Pairs go to shards of about ``SHARD_PAIRS``; those of a
@@ -38,7 +38,7 @@ from .arrays import mixed, text_bytes
 from .graph import written
 
 #: Bytes of text in a block before it is closed at the end of a piece.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Pairs that one shard counts, about.
 SHARD_PAIRS = 1 << 19
 #: Parts that a ranking is dealt into before the last one.
@@ -52,12 +52,28 @@ _CLASS[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = _END
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
-_FIRST = "block long, lang string, n_words long, words array<string>, counts array<bigint>, at binary"
-_NEXT = "block long, n_pairs long, heads binary, tails binary, counts binary, at binary, words binary, word_ids binary"
+_FIRST = "block long, lang string, n_words long, size int, words array<string>, counts array<bigint>, at binary"
+_STATE = "block long, n_found long, size int, at binary, ids binary, words binary, word_ids binary"
 _MESSAGE = "shard int, block long, n int, pairs binary"
 _COUNTED = "block long, places binary, ids binary, head long, tail long, f long, id long"
 
 
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Integers byte by byte of the same weight, compressed."""
+    flat = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T
+    return pa.compress(np.ascontiguousarray(flat).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(packed: bytes, n: int, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    raw = np.frombuffer(pa.decompress(packed, decompressed_size=n * size, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
+
+
 # ---- occurrences of words
 
 
@@ -104,8 +120,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal made
         n, words, counts, at = _block_row(data)
         made += 1
-        columns = [[(part << 32) + made], [lang], [n], pa.array([words.to_pylist()], pa.list_(pa.string())), [counts.tolist()], [at.tobytes()]]
-        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], _FIRST_NAMES)
+        words = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string()))
+        counts = pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), pa.array(counts, pa.int64()))
+        columns = [pa.array([(part << 32) + made]), pa.array([lang]), pa.array([n]), pa.array([len(at)], pa.int32()), words, counts]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([_pack(at)], pa.binary())], _names(_FIRST))
 
     for batch in batches:
         langs = pc.fill_null(batch.column(1), "und")
@@ -124,12 +142,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield row(lang, np.concatenate(pieces))
 
 
-_FIRST_NAMES = [c.split()[0] for c in _FIRST.split(", ")]
-
-
 def occurrences(docs: DataFrame) -> DataFrame:
     """The relation of length 1 as a written table of blocks; ``docs`` has ``text`` and ``lang``."""
-    return written(docs.select("text", "lang").mapInArrow(_blocks, _FIRST), "occurrences-1")
+    return written(docs.select("text", "lang").mapInArrow(_blocks, _FIRST), "words-of-blocks")
 
 
 def count_words(blocks: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
@@ -145,49 +160,74 @@ def count_words(blocks: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
 # ---- extension
 
 
-def _ids(size: int, places: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    out = np.full(size + 1, -1, np.int64)  # the last one answers for place -1
-    out[places] = ids
-    return out
+def _state(block: int, at: np.ndarray, ids: np.ndarray, words: np.ndarray, word_ids: np.ndarray) -> pa.Table:
+    """A row of a relation: for each place the frequent phrase that starts there and the word there (-1: none)."""
+    n = int((at >= 0).sum())
+    packed = [pa.array([_pack(c)], pa.binary()) for c in (at.astype(np.int32), ids, words.astype(np.int32), word_ids)]
+    row = [pa.array([block]), pa.array([n]), pa.array([len(at)], pa.int32()), packed[0], packed[1], packed[2], packed[3]]
+    return pa.table(row if n else [c.slice(0, 0) for c in row], _names(_STATE))
 
 
-def _extended(block: int, k: int, at: np.ndarray, ids: np.ndarray, words: np.ndarray, word_ids: np.ndarray) -> pa.Table:
-    """Merge-join of the frequent occurrences of length ``k`` with the words ``k`` places on."""
-    found = ids[at] >= 0
-    both = np.flatnonzero(found[: len(at) - k] & found[1 : len(at) - k + 1]) if len(at) > k else np.empty(0, np.int64)
-    pair = at[both].astype(np.int64) * len(word_ids) + words[both + k]
-    pairs, place, counts = np.unique(pair, return_inverse=True, return_counts=True)
-    heads, tails = ids[pairs // len(word_ids)], word_ids[pairs % len(word_ids)]
-    next_at = np.full(len(at), -1, np.int32)
-    next_at[both] = place
-    if k == 1:  # from now on only frequent words matter
-        words = np.where(found, words, -1).astype(np.int32)
-    columns = [heads, tails, counts.astype(np.int64), next_at, words, word_ids]
-    row = [pa.array([block]), pa.array([len(pairs)]), *(pa.array([c.tobytes()], pa.binary()) for c in columns)]
-    return pa.table(row if len(pairs) else [c.slice(0, 0) for c in row], _NEXT_NAMES)
+def _no_state() -> pa.Table:
+    return _state(0, *[np.empty(0, np.int64)] * 4)
+
 
+def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    at, words = (_unpack(row[c], row["size"], np.int32) for c in ("at", "words"))
+    ids = _unpack(row["ids"], int(at.max()) + 1, np.int64)
+    return at, ids, words, _unpack(row["word_ids"], int(words.max()) + 1, np.int64)
 
-_NEXT_NAMES = [c.split()[0] for c in _NEXT.split(", ")]
 
+def _merged(k: int, at: np.ndarray, words: np.ndarray, n_words: int) -> tuple[np.ndarray, ...]:
+    """Merge-join of the occurrences of length ``k`` with the words ``k`` places on.
 
-def _extend_words(left: pa.Table, right: pa.Table) -> pa.Table:
+    The places, the different pairs (phrase * words + word) in order, which of them is at each place, and
+    how often each one is.
+    """
+    found = at >= 0
+    both = np.flatnonzero(found[: len(at) - k] & found[1 : len(at) - k + 1]) if len(at) > k else np.empty(0, np.int64)
+    return both, *np.unique(at[both].astype(np.int64) * n_words + words[both + k], return_inverse=True, return_counts=True)
+
+
+def _only_frequent(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Semi-join of a block's words with the frequent ones."""
     if not left.num_rows:
-        return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), *[pa.binary()] * 6)], _NEXT_NAMES)
+        return _no_state()
     row = left.to_pylist()[0]
-    at = np.frombuffer(row["at"], np.int32)
-    ids = _ids(row["size"], right.column("place").to_numpy(), right.column("id").to_numpy())
-    return _extended(row["block"], 1, at, ids, at, ids)
+    places, ids = right.column("place").to_numpy(), right.column("id").to_numpy()
+    number = np.full(row["vocabulary"] + 1, -1, np.int32)  # the last one answers for places between pieces
+    number[places] = np.arange(len(places), dtype=np.int32)
+    at = number[_unpack(row["at"], row["size"], np.int32)]
+    at = at[(at >= 0) | np.r_[True, at[:-1] >= 0]]  # one place without a word parts as well as many
+    return _state(row["block"], at, ids, at, ids)
+
 
+def _extend(k: int):
+    """Occurrences of length ``k + 1`` from those of length ``k`` and the frequent pairs of the block."""
 
-def _extend_pairs(k: int):
     def extend(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), *[pa.binary()] * 6)], _NEXT_NAMES)
+        if not left.num_rows or not right.num_rows:
+            return _no_state()
         row = left.to_pylist()[0]
-        joined = [np.frombuffer(b"".join(right.column(c).to_pylist()), t) for c, t in (("places", np.int32), ("ids", np.int64))]
-        ids = _ids(row["n_pairs"], *joined)
-        at, words = (np.frombuffer(row[c], np.int32) for c in ("at", "words"))
-        return _extended(row["block"], k, at, ids, words, np.frombuffer(row["word_ids"], np.int64))
+        at, _, words, word_ids = _opened(row)
+        both, pairs, place, _ = _merged(k, at, words, len(word_ids))
+        places, ids = (np.frombuffer(b"".join(right.column(c).to_pylist()), t) for c, t in (("places", np.int32), ("ids", np.int64)))
+        number = np.full(len(pairs), -1, np.int64)
+        number[places] = np.arange(len(places))
+        stays = number[place] >= 0
+        both, number = both[stays], number[place][stays]
+        next_at = np.full(len(at) + 1, -1, np.int64)
+        next_at[both] = number
+        # what the next join can meet are the places that such phrases cover, and one place that parts them
+        covered = np.zeros(len(at) + k + 2, np.int64)
+        covered[both] += 1
+        covered[both + k + 1] -= 1
+        covered = np.cumsum(covered)[: len(at) + 1] > 0
+        kept = covered | np.r_[False, covered[:-1]]
+        words = np.where(covered, np.r_[words, -1], -1)
+        used, words_now = np.unique(words[kept], return_inverse=True)
+        words_now = words_now - int(used[0] < 0)
+        return _state(row["block"], next_at[kept], ids, words_now, word_ids[used[used >= 0]])
 
     return extend
 
@@ -195,22 +235,15 @@ def _extend_pairs(k: int):
 # ---- counting pairs
 
 
-def _pack(rows: np.ndarray) -> bytes:
-    """A table of longs, byte by byte of the same weight, compressed."""
-    flat = np.ascontiguousarray(rows).view(np.uint8).reshape(-1, 8).T
-    return pa.compress(np.ascontiguousarray(flat).tobytes(), codec="zstd", asbytes=True)
-
-
-def _unpack(packed: bytes, n: int) -> np.ndarray:
-    raw = np.frombuffer(pa.decompress(packed, decompressed_size=n * 32, codec="zstd"), np.uint8)
-    return np.ascontiguousarray(raw.reshape(8, -1).T).view(np.int64).reshape(4, n)
-
-
-def _messages(shards: int):
+def _messages(shards: int, k: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                heads, tails, counts = (np.frombuffer(row[c], np.int64) for c in ("heads", "tails", "counts"))
+                at, ids, words, word_ids = _opened(row)
+                _, pairs, _, counts = _merged(k, at, words, len(word_ids))
+                if not len(pairs):
+                    continue
+                heads, tails = ids[pairs // len(word_ids)], word_ids[pairs % len(word_ids)]
                 shard = mixed(mixed(heads.astype(np.uint64)) + tails.astype(np.uint64)) % np.uint64(shards)
                 order = np.argsort(shard, kind="stable")
                 shard = shard[order]
@@ -219,7 +252,7 @@ def _messages(shards: int):
                 ends = np.r_[starts[1:], len(shard)]
                 packed = [_pack(rows[:, a:b]) for a, b in zip(starts, ends, strict=True)]
                 columns = [shard[starts].astype(np.int32), np.full(len(starts), row["block"]), (ends - starts).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(packed, pa.binary())], [c.split()[0] for c in _MESSAGE.split(", ")])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(packed, pa.binary())], _names(_MESSAGE))
 
     return send
 
@@ -227,7 +260,7 @@ def _messages(shards: int):
 def _count_shard(least: int):
     def count(messages: pa.Table) -> pa.Table:
         sizes = messages.column("n").to_numpy()
-        rows = [_unpack(p, n) for p, n in zip(messages.column("pairs").to_pylist(), sizes, strict=True)]
+        rows = [_unpack(p, 4 * n, np.int64).reshape(4, n) for p, n in zip(messages.column("pairs").to_pylist(), sizes, strict=True)]
         heads, tails, counts, places = np.concatenate(rows, axis=1)
         sender = np.repeat(np.arange(len(sizes)), sizes)
         order = np.lexsort((tails, heads))
@@ -237,35 +270,29 @@ def _count_shard(least: int):
         frequent = np.flatnonzero(sums >= least)
         shard = int(messages.column("shard")[0].as_py())
         first = order[np.flatnonzero(new)[frequent]]
-        phrase_rows = {"head": heads[first], "tail": tails[first], "f": sums[frequent], "id": (shard << 32) + frequent}
-        table = pa.table({"block": pa.nulls(len(first), pa.int64()), "places": pa.nulls(len(first), pa.binary()), "ids": pa.nulls(len(first), pa.binary()), **phrase_rows})
-        stays = sums[group] >= least
-        mine, ids = order[stays], (shard << 32) + group[stays]
-        by_block = np.argsort(sender[mine], kind="stable")
-        mine, ids = mine[by_block], ids[by_block]
-        who, starts = np.unique(sender[mine], return_index=True)
-        ends = np.r_[starts[1:], len(mine)]
-        cuts = list(zip(starts, ends, strict=True))
-        none = {c: pa.nulls(len(who), pa.int64()) for c in ("head", "tail", "f", "id")}
-        answers = pa.table(
-            {
-                "block": messages.column("block").to_numpy()[who],
-                "places": pa.array([places[mine[a:b]].astype(np.int32).tobytes() for a, b in cuts], pa.binary()),
-                "ids": pa.array([ids[a:b].astype(np.int64).tobytes() for a, b in cuts], pa.binary()),
-                **none,
-            }
-        )
-        return pa.concat_tables([table, answers])
+        none = pa.nulls(len(first), pa.binary())
+        phrases = {"block": pa.nulls(len(first), pa.int64()), "places": none, "ids": none}
+        phrases |= {"head": heads[first], "tail": tails[first], "f": sums[frequent], "id": (shard << 32) + frequent}
+        # the answers: for each block, which of its pairs are frequent
+        mine = np.flatnonzero(sums[group] >= least)
+        mine = mine[np.argsort(sender[order[mine]], kind="stable")]
+        who, starts = np.unique(sender[order[mine]], return_index=True)
+        cuts = list(zip(starts, np.r_[starts[1:], len(mine)], strict=True))
+        answers = {"block": messages.column("block").to_numpy()[who]}
+        answers["places"] = pa.array([places[order[mine[a:b]]].astype(np.int32).tobytes() for a, b in cuts], pa.binary())
+        answers["ids"] = pa.array([((shard << 32) + group[mine[a:b]]).astype(np.int64).tobytes() for a, b in cuts], pa.binary())
+        answers |= {c: pa.nulls(len(who), pa.int64()) for c in ("head", "tail", "f", "id")}
+        return pa.concat_tables([pa.table(phrases), pa.table(answers)])
 
     return count
 
 
-def count_pairs(blocks: DataFrame, least: int, k: int) -> tuple[DataFrame, DataFrame]:
+def count_pairs(states: DataFrame, least: int, k: int) -> tuple[DataFrame, DataFrame]:
     """Frequent pairs (``head, tail, f, id``), and the blocks' pairs among them (``of, places, ids``)."""
-    total = blocks.agg(F.sum("n_pairs")).first()[0] or 0
-    send = _messages(max(1, -(-total // SHARD_PAIRS)))
-    messages = blocks.select("block", "heads", "tails", "counts").mapInArrow(send, _MESSAGE)
-    counted = written(messages.groupBy("shard").applyInArrow(_count_shard(least), _COUNTED), f"counts-{k}")
+    total = states.agg(F.sum("n_found")).first()[0] or 0
+    send = _messages(max(1, -(-total // SHARD_PAIRS)), k)
+    messages = states.mapInArrow(send, _MESSAGE)
+    counted = written(messages.groupBy("shard").applyInArrow(_count_shard(least), _COUNTED), f"counts-{k + 1}")
     frequent = counted.where("block is null").select("head", "tail", "f", "id")
     return frequent, counted.where("block is not null").select(F.col("block").alias("of"), "places", "ids")
 
@@ -296,16 +323,15 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5) -> lis
     totals = blocks.groupBy("lang").agg(F.sum("n_words").alias("n"))
     empty = F.array().cast("array<bigint>")
     tables = [written(words.join(totals, "lang").select("lang", "n", "phrase", "id", "f", empty.alias("lefts"), empty.alias("rights")), "phrases-1")]
-    left = blocks.select("block", F.size("words").alias("size"), "at")
-    step = left.groupBy("block").cogroup(back.groupBy("of")).applyInArrow(_extend_words, _NEXT)
-    for k in range(2, longest + 1):
-        pairs_of = written(step, f"occurrences-{k}")
-        pairs, back = count_pairs(pairs_of, least, k)
-        tables.append(written(_phrases(pairs, tables[-1], tables[0]), f"phrases-{k}"))
-        if k == longest or tables[-1].isEmpty():
+    left = blocks.select("block", F.size("words").alias("vocabulary"), "size", "at")
+    step = left.groupBy("block").cogroup(back.groupBy("of")).applyInArrow(_only_frequent, _STATE)
+    for k in range(1, longest):
+        states = written(step, f"occurrences-{k}")
+        pairs, back = count_pairs(states, least, k)
+        tables.append(written(_phrases(pairs, tables[-1], tables[0]), f"phrases-{k + 1}"))
+        if tables[-1].isEmpty():
             break
-        left = pairs_of.select("block", "n_pairs", "at", "words", "word_ids")
-        step = left.groupBy("block").cogroup(back.groupBy("of")).applyInArrow(_extend_pairs(k), _NEXT)
+        step = states.groupBy("block").cogroup(back.groupBy("of")).applyInArrow(_extend(k), _STATE)
     return tables
 
 
