@@ -112,39 +112,48 @@ def _block_row(data: np.ndarray) -> tuple[int, pa.Array, np.ndarray, np.ndarray]
     return len(starts), coded.dictionary, np.bincount(numbers, minlength=len(coded.dictionary)), at
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, list[np.ndarray]] = {}
-    part, made = TaskContext.get().partitionId(), 0
-
-    def row(lang: str, data: np.ndarray) -> pa.RecordBatch:
-        nonlocal made
-        n, words, counts, at = _block_row(data)
-        made += 1
-        words = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string()))
-        counts = pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), pa.array(counts, pa.int64()))
-        columns = [pa.array([(part << 32) + made]), pa.array([lang]), pa.array([n]), pa.array([len(at)], pa.int32()), words, counts]
-        return pa.RecordBatch.from_arrays([*columns, pa.array([_pack(at)], pa.binary())], _names(_FIRST))
-
-    for batch in batches:
-        langs = pc.fill_null(batch.column(1), "und")
-        for lang in pc.unique(langs).to_pylist():
-            texts = batch.column(0).filter(pc.equal(langs, lang)).drop_null().cast(pa.large_string())
-            data, _ = text_bytes(pc.binary_join_element_wise(texts, pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string())))
-            pieces = held.setdefault(lang, [])
-            pieces.append(data)
-            if sum(map(len, pieces)) >= BLOCK_BYTES:
-                parts = list(_piece_parts(np.concatenate(pieces), BLOCK_BYTES))
-                held[lang] = [parts.pop()] if len(parts[-1]) < BLOCK_BYTES // 2 else []
-                for data in parts:
-                    yield row(lang, data)
-    for lang, pieces in held.items():
-        if sum(map(len, pieces)):
-            yield row(lang, np.concatenate(pieces))
+def _blocks(size: int):
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[np.ndarray]] = {}
+        part, made = TaskContext.get().partitionId(), 0
+
+        def row(lang: str, data: np.ndarray) -> pa.RecordBatch:
+            nonlocal made
+            n, words, counts, at = _block_row(data)
+            made += 1
+            words = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string()))
+            counts = pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), pa.array(counts, pa.int64()))
+            columns = [pa.array([(part << 32) + made]), pa.array([lang]), pa.array([n]), pa.array([len(at)], pa.int32()), words, counts]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([_pack(at)], pa.binary())], _names(_FIRST))
+
+        def rest() -> Iterator[pa.RecordBatch]:
+            for lang, pieces in held.items():
+                if sum(map(len, pieces)):
+                    yield row(lang, np.concatenate(pieces))
+            held.clear()
+
+        for batch in batches:
+            langs = pc.fill_null(batch.column(1), "und")
+            for lang in pc.unique(langs).to_pylist():
+                texts = batch.column(0).filter(pc.equal(langs, lang)).drop_null().cast(pa.large_string())
+                data, _ = text_bytes(pc.binary_join_element_wise(texts, pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string())))
+                pieces = held.setdefault(lang, [])
+                pieces.append(data)
+                if sum(map(len, pieces)) >= size:
+                    parts = list(_piece_parts(np.concatenate(pieces), size))
+                    held[lang] = [parts.pop()] if len(parts[-1]) < size // 2 else []
+                    for data in parts:
+                        yield row(lang, data)
+            if sum(len(x) for pieces in held.values() for x in pieces) >= 4 * size:  # many languages
+                yield from rest()
+        yield from rest()
+
+    return blocks
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
     """The relation of length 1 as a written table of blocks; ``docs`` has ``text`` and ``lang``."""
-    return written(docs.select("text", "lang").mapInArrow(_blocks, _FIRST), "words-of-blocks")
+    return written(docs.select("text", "lang").mapInArrow(_blocks(BLOCK_BYTES), _FIRST), "words-of-blocks")
 
 
 def count_words(blocks: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
@@ -277,7 +286,7 @@ def _count_shard(least: int):
         mine = np.flatnonzero(sums[group] >= least)
         mine = mine[np.argsort(sender[order[mine]], kind="stable")]
         who, starts = np.unique(sender[order[mine]], return_index=True)
-        cuts = list(zip(starts, np.r_[starts[1:], len(mine)], strict=True))
+        cuts = list(zip(starts, np.r_[starts[1:], len(mine)][: len(starts)], strict=True))
         answers = {"block": messages.column("block").to_numpy()[who]}
         answers["places"] = pa.array([places[order[mine[a:b]]].astype(np.int32).tobytes() for a, b in cuts], pa.binary())
         answers["ids"] = pa.array([((shard << 32) + group[mine[a:b]]).astype(np.int64).tobytes() for a, b in cuts], pa.binary())

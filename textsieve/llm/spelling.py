@@ -119,13 +119,14 @@ def _count_group(ids: list, data: np.ndarray, offsets: np.ndarray, every: int, s
 
 def word_counts(docs: DataFrame, shortest: int = 5, least: int = 3, every: int = 97) -> DataFrame:
     """``word, n`` of all words of at least ``shortest`` code points and ``least`` occurrences; ``docs`` has ``doc_id``, ``text``."""
+    size = GROUP_BYTES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, one = batch.column(0).to_pylist(), pa.scalar("\n", pa.large_string())
             texts = pc.fill_null(batch.column(1).cast(pa.large_string()), "")
             data, offsets = text_bytes(pc.binary_join_element_wise(texts, one, pa.scalar("", pa.large_string())))
-            for a, b in groups_of_bytes(offsets, GROUP_BYTES):
+            for a, b in groups_of_bytes(offsets, size):
                 found = _count_group(ids[a:b], data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], every, shortest)
                 yield pa.RecordBatch.from_arrays(list(found), ["word", "n"])
 
