@@ -38,9 +38,11 @@ from .arrays import mixed, text_bytes
 from .graph import written
 
 #: Bytes of text in a block before it is closed at the end of a piece.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+#: Rows of a batch that are turned into bytes at once.
+ROWS = 256
 #: Pairs that one shard counts, about.
-SHARD_PAIRS = 1 << 19
+SHARD_PAIRS = 1 << 18
 #: Parts that a ranking is dealt into before the last one.
 RANK_PARTS = 64
 
@@ -124,7 +126,9 @@ def _blocks(size: int):
             words = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string()))
             counts = pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), pa.array(counts, pa.int64()))
             columns = [pa.array([(part << 32) + made]), pa.array([lang]), pa.array([n]), pa.array([len(at)], pa.int32()), words, counts]
-            return pa.RecordBatch.from_arrays([*columns, pa.array([_pack(at)], pa.binary())], _names(_FIRST))
+            out = pa.RecordBatch.from_arrays([*columns, pa.array([_pack(at)], pa.binary())], _names(_FIRST))
+            pa.default_memory_pool().release_unused()
+            return out
 
         def rest() -> Iterator[pa.RecordBatch]:
             for lang, pieces in held.items():
@@ -132,7 +136,7 @@ def _blocks(size: int):
                     yield row(lang, np.concatenate(pieces))
             held.clear()
 
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             langs = pc.fill_null(batch.column(1), "und")
             for lang in pc.unique(langs).to_pylist():
                 texts = batch.column(0).filter(pc.equal(langs, lang)).drop_null().cast(pa.large_string())
