@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import pct
@@ -48,8 +50,14 @@ def chunk_tokens(
     return pieces.withColumnRenamed("tokens", "chunk_tokens")
 
 
-def vote_chunks(chunks: DataFrame, doc: str = "doc_id", pred: str = "pred", p: str = "p") -> DataFrame:
-    """One verdict per document: class 1 when any chunk says so.
+def vote_chunks(
+    chunks: DataFrame,
+    doc: str = "doc_id",
+    pred: str = "pred",
+    p: str = "p",
+    totals: Mapping[str, Callable[[str], Column]] | None = None,
+) -> DataFrame:
+    """One verdict per document: class 1 when any chunk says so. ``totals`` aggregates further columns.
 
     Confidence is the highest ``p`` among the chunks that agree with the verdict. The
     chunk lists, in chunk order, cannot run away: the chunks of a document come from
@@ -62,6 +70,7 @@ def vote_chunks(chunks: DataFrame, doc: str = "doc_id", pred: str = "pred", p: s
         F.count("*").alias("num_chunks"),
         F.sum(F.col(pred).cast("bigint")).alias("ai_chunks"),
         F.array_sort(F.collect_list(F.struct("chunk", pred, p))).alias("_chunks"),
+        *[total(c).alias(c) for c, total in (totals or {}).items()],
     )
     agreeing = F.when(F.col("prediction") == 1, F.col("_top_yes")).otherwise(F.col("_top_no"))
     return votes.select(
@@ -73,6 +82,7 @@ def vote_chunks(chunks: DataFrame, doc: str = "doc_id", pred: str = "pred", p: s
         (F.col("num_chunks") > 1).alias("used_chunking"),
         F.col(f"_chunks.{pred}").alias("chunk_predictions"),
         F.col(f"_chunks.{p}").alias("chunk_confidences"),
+        *(totals or {}),
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -16,17 +17,32 @@ from ..operators.prep import (
     label_from_filename,
 )
 from ..operators.split import SEED, SPLIT_SIZES, shuffle_hash, stratified_split
-from ..sources.gates import require_columns, split_rejects
-from ..sources.readers import read_corpus
+from ..sources.files import file_ledger, probe_files, read_files
+from ..sources.gates import split_rejects
 from ..sources.sinks import write_parquet
 
+UNLABELLED = "file name holds neither positive nor negative"
+
 
 def label_files(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Label by file name and clean; the second frame lists the files that could not be labelled."""
     good, bad = split_rejects(label_from_filename(raw), "label")
     good = drop_empty_text(drop_if_present(good))
     rejects = bad.groupBy("file_name").agg(F.count("*").alias("rows"))
-    return good, rejects.withColumn("reason", F.lit("file name holds neither positive nor negative"))
+    return good, rejects.withColumn("reason", F.lit(UNLABELLED))
+
+
+def write_ledger(spark: SparkSession, source: str, target: str, glob: str = "*.parquet") -> DataFrame | None:
+    """Probe the files of ``source``; the verdict on each as ``target/ledger``, the rejected ones as ``target/rejects``."""
+    probe = probe_files(spark, source, glob)
+    if probe is None:
+        return None
+    ledger = label_from_filename(file_ledger(probe, ["text"]))
+    reason = F.coalesce("reason", F.when(F.col("label").isNull(), F.lit(UNLABELLED)))
+    ledger = ledger.withColumn("reason", reason).withColumn("used", F.col("reason").isNull()).drop("label")
+    saved = spark.read.parquet(write_parquet(ledger, f"{target}/ledger"))
+    write_parquet(saved.where("NOT used").select("file_name", "path", "rows", "reason"), f"{target}/rejects")
+    return saved
 
 
 def build_corpus(
@@ -40,22 +56,25 @@ def build_corpus(
     seed: int = SEED,
     id_col: str | None = None,
 ) -> DataFrame | None:
-    """Write the corpus partitioned by split, and the rejected files next to it.
+    """Write the corpus partitioned by split, and next to it the ledger of all files and the rejected ones.
 
+    A file that cannot be read, lacks ``text`` or has no label in its name is left out and listed with the
+    reason; the others go on, whatever other columns they have. None when no file is left.
     Token lengths are computed once: the filtered corpus is written before the split,
     which reads only label and id from it until the final pass. Without an ``id_col``
     a row is identified by its file and its position there. Splits are written in
     shuffled order.
     """
-    raw = read_corpus(spark, source, glob)
-    if raw is None or require_columns(raw, ["text"], on_missing="skip") is None:
+    ledger = write_ledger(spark, source, target, glob)
+    if ledger is None:
+        return None
+    place = "row_id" if id_col is None else None
+    raw = read_files(spark, ledger, source, place)
+    if raw is None:
+        warnings.warn(f"no file of {source} can be used; see {target}/ledger", stacklevel=2)
         return None
-    if id_col is None:
-        id_col = "row_id"
-        place = F.concat_ws(":", "_metadata.file_path", F.col("_metadata.row_index").cast("string"))
-        raw = raw.withColumn(id_col, place)
-    good, rejects = label_files(raw)
-    write_parquet(rejects, f"{target}/rejects")
+    id_col = id_col or place
+    good, _ = label_files(raw)
     filtered = write_parquet(
         filter_max_tokens(add_token_length(good, tokenizer), max_tokens), f"{target}/filtered"
     )
