@@ -2,7 +2,8 @@
 
 A SentencePiece model whose pieces hold the space sign only at their front never merges across
 the start of a space run, so the pieces of a text are the pieces of its space-led words. Long
-texts are therefore cut there, whatever their length, and a word met again is not encoded again.
+texts are therefore cut there, whatever their length, and a word met again is not encoded again. A text
+that holds the space sign itself goes whole.
 
 Edge cases: a null or empty text has no bytes and no tokens; a text of spaces alone is one word.
 Existing columns called ``n_bytes``, ``n_tokens`` or ``over_limit`` are replaced, others stay.
@@ -22,6 +23,9 @@ from .arrays import kept
 #: Bytes of words handed to the tokenizer at once, and words remembered by one task.
 BATCH_BYTES, REMEMBERED = 1 << 18, 300_000
 
+#: What the model writes for a space.
+SPACE_SIGN = "\u2581"
+
 
 def byte_batches(words: list[str], size: int = BATCH_BYTES) -> Iterator[list[str]]:
     """Batches of about ``size`` UTF-8 bytes; a longer word is a batch of its own."""
@@ -78,7 +82,9 @@ class WordCounter:
         for text in texts:
             words = text.split(" ") if text else []
             spaces = 0
-            if "" in words:
+            if SPACE_SIGN in text:  # reads as a space, so spaces next to it are no boundaries
+                words = [text]
+            elif "" in words:
                 words, spaces = space_words(text)
             split.append(words)
             trailing.append(spaces)

@@ -5,11 +5,11 @@ hold the vocabulary. A file row is one block of whole documents: ids before it i
 documents' ids and lengths, and the packed bits, so a block is unpacked by numpy alone and found by
 its offset. Shards are numbered in document order; offsets across shards come from their sums.
 
-A word is encoded once per task and remembered: the pre-tokenizer always cuts before a space that
-a non-space follows, so such words can be encoded apart.
+Texts are cut into the pre-tokenizer's units, and a unit is encoded once and remembered by its worker.
 
 Edge cases: a null or empty text is the end id alone; null document ids come first; rows of equal
-id stand next to each other in an undefined but fixed order; an empty table gives no blocks.
+id stand in the order of a hash of their texts (null before all), then of the texts; an empty table gives
+no blocks.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +34,55 @@ BLOCKS = (
     "shard int, block int, first_id long, n_ids long, width int, doc_ids array<bigint>, lengths array<bigint>, packed binary"
 )
 _CUT = re.compile(r"(?= \S)")
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_WORD = re.compile(rf"[{_LETTERS}]+")
-_MARKS = ((", ", " \x01, "), (". ", " \x01. "), (".\n", " \x01.\n \x02"))
+#: Texts of these characters alone are cut into units by numpy: ASCII, Latin letters, general punctuation.
+_PLAIN = re.compile("[\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u023f\u2010-\u2027]*")
+_SPACE, _BREAK, _LETTER, _DIGIT, _OTHER, _BETWEEN = range(6)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[9:14] = _BREAK
+_CLASS[32] = _SPACE
+_CLASS[0] = _BETWEEN  # stands between texts
+_CLASS[48:58] = _DIGIT
+_CLASS[[c for c in range(65, 123) if chr(c).isalpha()]] = _LETTER
+_CLASS[0xC3:0xC9] = _LETTER  # first bytes of U+00C0 to U+023F
+#: Characters of text that are encoded together.
+GROUP_CHARS = 4 << 20
 #: Words of letters that are joined into one text to be encoded.
 JOINED = 4_096
 
 
+def _units(data: np.ndarray) -> np.ndarray:
+    """Where the byte-level pre-tokenizer starts a unit in plain texts with a zero byte behind each.
+
+    A unit is a run of letters, of digits or of other signs, with one space before it if there is one; or a
+    run of white space, without its last character where something else follows; or an apostrophe
+    with s, t, re, ve, m, ll or d, unless a space stands before it. Zero bytes start units, too.
+    """
+    kind = _CLASS[data]
+    after = np.flatnonzero(data >= 0x80)  # a byte after the first one is of the class of the first
+    more = after[(data[after] & 0xC0) == 0x80]
+    kind[more] = kind[more - 1]
+    second = more[data[more - 1] >= 0x80]
+    kind[second] = kind[second - 1]
+    kind = kind.astype(np.int8)
+    white = kind <= _BREAK
+    group = np.where(white, 0, kind)
+    start = np.ones(len(data), bool)
+    start[1:] = (group[1:] != group[:-1]) | (data[1:] == 0)
+    text = ~white & (kind != _BETWEEN)
+    # the last white space before a text starts a unit, and the text does not where that is a space
+    start[:-1] |= white[:-1] & text[1:]
+    start[1:] &= ~(text[1:] & (kind[:-1] == _SPACE))
+    mark = np.flatnonzero((data == 39) & start)
+    mark = mark[mark + 2 < len(data)]
+    first, second = data[mark + 1], data[mark + 2]
+    one = np.isin(first, np.frombuffer(b"stmd", np.uint8))
+    two = ((first == ord("r")) | (first == ord("v"))) & (second == ord("e")) | (first == ord("l")) & (second == ord("l"))
+    start[mark[one | two] + 1] = False
+    for marks, n in ((mark[one], 2), (mark[two], 3)):
+        start[marks + n] |= kind[marks + n] == _LETTER  # else a unit starts there already, or a space does
+    return np.flatnonzero(start)
+
+
 def bit_width(vocabulary: int) -> int:
     """Fewest bits that hold the ids 0 to ``vocabulary`` - 1."""
     return max(1, (vocabulary - 1).bit_length())
@@ -93,10 +134,11 @@ class Remembered(dict):
 
 
 class WordEncoder:
-    """Encodes texts to id bytes with a ``tokenizers`` file; remembers the words it has met.
+    """Encodes texts to ids with a ``tokenizers`` file; remembers the units it has met.
 
-    A comma or stop between a letter and white space is cut off as a unit of its own, marked with
-    \x01, and a word after a line end is marked with \x02, so that few forms of a word are met.
+    With a byte-level pre-tokenizer, texts of plain characters are cut into its units by numpy, and
+    only units that were not met before go to the library. Other texts go there whole, in parts cut before a
+    space that a non-space follows, where the pre-tokenizer always cuts; texts that hold an added token go uncut.
     """
 
     def __init__(self, path: str):
@@ -109,11 +151,13 @@ class WordEncoder:
         self.vocabulary = self._tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if self.vocabulary <= 1 << 16 else np.dtype("<u4")
         described = str(self._tokenizer.pre_tokenizer)
-        self._by_word = "ByteLevel" in described and "add_prefix_space=False" in described and "use_regex=True" in described
+        by_unit = described.startswith("ByteLevel") and "add_prefix_space=False" in described and "use_regex=True" in described
+        self._by_unit = by_unit and self._tokenizer.normalizer is None
+        self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._leads = np.zeros(self.vocabulary, bool)  # tokens that start with a space
         for token, i in self._tokenizer.get_vocab().items():
             self._leads[i] = token.startswith("Ġ")
-        self._units, self._odd, self._cut_wrong = Remembered(), set(), set()
+        self._known = Remembered()
 
     def _encode(self, texts: list[str]) -> Iterator[bytes]:
         for batch in byte_batches(texts):
@@ -121,61 +165,58 @@ class WordEncoder:
                 yield np.asarray(encoding.ids, self.dtype).tobytes()
 
     def _encode_spaced(self, words: list[str]) -> Iterator[bytes]:
-        """Words of letters after a space, many in one text; a token that starts with a space starts a word."""
+        """Words of letters with a space before them, many in one text; a token that starts with a space starts a word."""
         for i in range(0, len(words), JOINED):
             batch = words[i : i + JOINED]
-            joined = " " + " ".join(batch)
-            ids = np.asarray(self._tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int64)
+            ids = np.asarray(self._tokenizer.encode_batch_fast(["".join(batch)], add_special_tokens=False)[0].ids, np.int64)
             starts = np.flatnonzero(self._leads[ids])
             if len(starts) != len(batch):
-                yield from self._encode([" " + w for w in batch])
+                yield from self._encode(batch)
                 continue
             raw, size = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
             ends = [*(starts[1:] * size).tolist(), len(raw)]
             yield from (raw[a:b] for a, b in zip((starts * size).tolist(), ends, strict=True))
 
     def _learn(self, units: list[str]) -> None:
-        plain = [u for u in units if _WORD.fullmatch(u)]
-        self._units.update(zip(plain, self._encode_spaced(plain), strict=True))
-        if len(plain) < len(units):
-            other = [u for u in units if not _WORD.fullmatch(u)]
-            texts = [u[1:] if u[:1] in ("\x01", "\x02") else " " + u for u in other]
-            self._units.update(zip(other, self._encode(texts), strict=True))
-            if len(self._odd) > REMEMBERED:
-                self._odd.clear()
-                other += [u for u in self._units if not _WORD.fullmatch(u)]
-            self._cut_wrong.update(u for u in other if not u or u[0].isspace())
-            self._odd.update(u for u in other if u[:1] != "\x01" and not _WORD.match(u[-1:]))
-            self._odd |= self._cut_wrong
-
-    def _unsafe(self, units: list[str]) -> bool:
-        """Whether a cut is wrong: before white space, or a mark cut off something other than a letter."""
-        odd = self._odd
-        if odd.isdisjoint(units):
-            return False
-        return not self._cut_wrong.isdisjoint(units) or any(b[:1] == "\x01" and a in odd for a, b in pairwise(units))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if not self._by_word:
-            return list(self._encode(texts))
-        self._units.age()
-        split: list[list[str] | None] = []
-        for text in texts:
-            if not text or "\x01" in text or "\x02" in text:
-                split.append(None)
-                continue
-            text = "\x02" + text
-            for mark, cut in _MARKS:
-                text = text.replace(mark, cut)
-            split.append(text.split(" "))
-        self._learn(self._units.missing({u for units in split if units for u in units}))
-        get = self._units.__getitem__
-        out = []
-        for text, units in zip(texts, split, strict=True):
-            if units and not self._unsafe(units):
-                out.append(b"".join(map(get, units)))
+        spaced = [u for u in units if u[0] == " " and u[1:].isalpha()]
+        self._known.update(zip(spaced, self._encode_spaced(spaced), strict=True))
+        if len(spaced) < len(units):
+            other = [u for u in units if not (u[0] == " " and u[1:].isalpha())]
+            self._known.update(zip(other, self._encode(other), strict=True))
+
+    def _encode_plain(self, texts: list[str]) -> Iterator[np.ndarray]:
+        data = np.frombuffer(("\0".join(texts) + "\0").encode(), np.uint8)
+        starts = _units(data)
+        ends_text = data[starts] == 0
+        # the zero bytes are left out: units of no bytes
+        offsets = np.append(starts - np.cumsum(ends_text) + ends_text, len(data) - len(texts))
+        letters = data[data != 0]
+        coded = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(letters)).dictionary_encode()
+        number, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+        self._known.age()
+        self._known[""] = b""
+        self._learn(self._known.missing(set(words)))
+        found = [self._known[w] for w in words]
+        size = np.array([len(f) for f in found], np.int64) // self.dtype.itemsize
+        flat, first = np.frombuffer(b"".join(found), self.dtype), np.cumsum(size) - size
+        counts = size[number]
+        upto = np.cumsum(counts)
+        ids = flat[np.repeat(first[number] - (upto - counts), counts) + np.arange(upto[-1])]
+        yield from np.split(ids, upto[ends_text][:-1])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray | None] = [None] * len(texts)
+        plain = []
+        for i, text in enumerate(texts):
+            if any(added in text for added in self._added) or not self._by_unit:
+                out[i] = np.frombuffer(b"".join(self._encode([text])), self.dtype)
+            elif _PLAIN.fullmatch(text):
+                plain.append(i)
             else:
-                out.append(b"".join(self._encode([p for p in _CUT.split(text) if p])))
+                out[i] = np.frombuffer(b"".join(self._encode([p for p in _CUT.split(text) if p])), self.dtype)
+        if plain:
+            for i, ids in zip(plain, self._encode_plain([texts[i] for i in plain]), strict=True):
+                out[i] = ids
         return out
 
 
@@ -183,12 +224,12 @@ def _encode_blocks(path: str, end_id: int, block_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept(("encoder", path), lambda: WordEncoder(path))
         width, shard = bit_width(encoder.vocabulary), TaskContext.get().partitionId()
-        end = np.asarray([end_id], encoder.dtype).tobytes()
+        end = np.asarray([end_id], encoder.dtype)
         docs, lengths, held, before, number = [], [], [], 0, 0
 
         def close() -> pa.RecordBatch:
             nonlocal docs, lengths, held, before, number
-            ids = np.frombuffer(b"".join(held), encoder.dtype)
+            ids = np.concatenate(held)
             row = {
                 "shard": [shard], "block": [number], "first_id": [before], "n_ids": [len(ids)], "width": [width],
                 "doc_ids": [docs], "lengths": [lengths], "packed": [pack(ids, width)],
@@ -205,12 +246,12 @@ def _encode_blocks(path: str, end_id: int, block_ids: int):
             for i in range(len(texts)):
                 group.append(texts[i].as_py() or "")
                 size += len(group[-1])
-                if size < 1 << 20 and i + 1 < len(texts):
+                if size < GROUP_CHARS and i + 1 < len(texts):
                     continue
                 for name, ids in zip(names[i + 1 - len(group) : i + 1], encoder.encode(group), strict=True):
                     docs.append(name)
                     held += (ids, end)
-                    lengths.append(len(ids) // encoder.dtype.itemsize + 1)
+                    lengths.append(len(ids) + 1)
                     total += lengths[-1]
                     if total >= block_ids:
                         yield close()
@@ -234,7 +275,8 @@ def write_token_files(
 ) -> None:
     """Encode ``docs`` and write their packed blocks in ascending id order below ``path``."""
     ordered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = ordered.withColumn("_tie", F.xxhash64("text"))
+    ordered = ordered.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie", "text").drop("_tie")
     ordered.mapInArrow(_encode_blocks(tokenizer, end_id, block_ids), BLOCKS).write.parquet(path)
 
 
