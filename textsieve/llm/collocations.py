@@ -15,8 +15,9 @@ a shift of one array against the other. What crosses the cluster are counts:
    words they cover as the relation of the next length, and goes on at 2.
 
 Phrases of two words and more are counted as pairs (id of the frequent phrase without its last word, id of
-the last word), so no hash decides about equality. Pairs go to shards of about ``SHARD_PAIRS``; those of a
-block that go to the same shard travel in one row, so there are never more rows than pairs.
+the last word), so no hash decides about equality. Words and pairs go to shards of about ``SHARD_PAIRS``;
+those of a block that go to the same shard travel in one row, and so do the answers, so there are never more
+rows than words or pairs.
 
 Defined results: a null language is ``und``; a null or empty text has no words; repeated rows count each
 time; an empty table gives no phrase; other columns have no part. A piece is never cut, so one piece of
@@ -25,6 +26,7 @@ many megabytes makes one large block. Languages are told apart by their exact st
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,10 +56,12 @@ _CLASS[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = _END
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
-_FIRST = "block long, lang string, n_words long, size int, words array<string>, counts array<bigint>, at binary"
+_FIRST = "block long, lang string, n_words long, vocabulary int, size int, words binary, counts binary, at binary"
 _STATE = "block long, n_found long, size int, at binary, ids binary, words binary, word_ids binary"
+_WORDS = "shard int, block long, lang string, n int, words binary, numbers binary"
+_WORDS_COUNTED = "block long, n int, places binary, ids binary, lang string, phrase string, f long, id long"
 _MESSAGE = "shard int, block long, n int, pairs binary"
-_COUNTED = "block long, places binary, ids binary, head long, tail long, f long, id long"
+_COUNTED = "block long, n int, places binary, ids binary, head long, tail long, f long, id long"
 
 
 def _names(schema: str) -> list[str]:
@@ -76,6 +80,14 @@ def _unpack(packed: bytes, n: int, kind: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
 
 
+def _pack_text(text: bytes) -> bytes:
+    return len(text).to_bytes(8, "little") + pa.compress(text, codec="zstd", asbytes=True)
+
+
+def _unpack_text(packed: bytes) -> bytes:
+    return pa.decompress(packed[8:], decompressed_size=int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
+
+
 # ---- occurrences of words
 
 
@@ -123,10 +135,10 @@ def _blocks(size: int):
             nonlocal made
             n, words, counts, at = _block_row(data)
             made += 1
-            words = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string()))
-            counts = pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), pa.array(counts, pa.int64()))
-            columns = [pa.array([(part << 32) + made]), pa.array([lang]), pa.array([n]), pa.array([len(at)], pa.int32()), words, counts]
-            out = pa.RecordBatch.from_arrays([*columns, pa.array([_pack(at)], pa.binary())], _names(_FIRST))
+            blob = _pack_text(b"\n".join(words.cast(pa.large_binary()).to_pylist()))  # no word holds a line end
+            columns = [[(part << 32) + made], [lang], [n], [len(words)], [len(at)], [blob], [_pack(counts.astype(np.int64))], [_pack(at)]]
+            types = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], _names(_FIRST))
             pa.default_memory_pool().release_unused()
             return out
 
@@ -160,14 +172,88 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return written(docs.select("text", "lang").mapInArrow(_blocks(BLOCK_BYTES), _FIRST), "words-of-blocks")
 
 
+def _word_messages(shards: int):
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                words = np.array(_unpack_text(row["words"]).split(b"\n"), object)
+                seed = zlib.crc32(row["lang"].encode())
+                shard = np.array([zlib.crc32(w, seed) % shards for w in words], np.int32)
+                order = np.argsort(shard, kind="stable")
+                words, shard = words[order], shard[order]
+                numbers = np.stack([_unpack(row["counts"], len(words), np.int64)[order], order])
+                starts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+                cuts = list(zip(starts, np.r_[starts[1:], len(shard)], strict=True))
+                columns = [shard[starts], np.full(len(starts), row["block"]), [row["lang"]] * len(cuts), [b - a for a, b in cuts]]
+                columns += [[_pack_text(b"\n".join(words[a:b])) for a, b in cuts], [_pack(numbers[:, a:b]) for a, b in cuts]]
+                types = [pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], _names(_WORDS))
+
+    return send
+
+
+def _answers(blocks: np.ndarray, sender: np.ndarray, places: np.ndarray, ids: np.ndarray) -> dict:
+    """For each block that sent something frequent a row with its places and their ids."""
+    by_block = np.argsort(sender, kind="stable")
+    who, starts = np.unique(sender[by_block], return_index=True)
+    cuts = [by_block[a:b] for a, b in zip(starts, np.r_[starts[1:], len(sender)][: len(starts)], strict=True)]
+    return {
+        "block": blocks[who],
+        "n": pa.array([len(c) for c in cuts], pa.int32()),
+        "places": pa.array([_pack(places[c].astype(np.int32)) for c in cuts], pa.binary()),
+        "ids": pa.array([_pack(ids[c].astype(np.int64)) for c in cuts], pa.binary()),
+    }
+
+
+def _no_answers(n: int) -> dict:
+    return {"block": pa.nulls(n, pa.int64()), "n": pa.nulls(n, pa.int32()), "places": pa.nulls(n, pa.binary()), "ids": pa.nulls(n, pa.binary())}
+
+
+def _answered(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    sizes = answers.column("n").to_pylist()
+    places, ids = (
+        [_unpack(p, n, kind) for p, n in zip(answers.column(c).to_pylist(), sizes, strict=True)] for c, kind in (("places", np.int32), ("ids", np.int64))
+    )
+    return np.concatenate(places), np.concatenate(ids)
+
+
+def _count_words_of_shard(least: int):
+    def count(messages: pa.Table) -> pa.Table:
+        shard = int(messages.column("shard")[0].as_py())
+        sizes, langs = messages.column("n").to_numpy(), np.array(messages.column("lang").to_pylist(), object)
+        blocks, found, ids_before = messages.column("block").to_numpy(), [], shard << 32
+        for lang in sorted(set(langs)):
+            mine = np.flatnonzero(langs == lang)
+            part = messages.take(mine)
+            words = pa.array([w for p in part.column("words").to_pylist() for w in _unpack_text(p).split(b"\n")], pa.large_binary())
+            numbers = [_unpack(p, 2 * n, np.int64).reshape(2, n) for p, n in zip(part.column("numbers").to_pylist(), sizes[mine], strict=True)]
+            counts, places = np.concatenate(numbers, axis=1)
+            coded = words.dictionary_encode()
+            group = coded.indices.to_numpy(zero_copy_only=False)
+            sums = np.zeros(len(coded.dictionary), np.int64)
+            np.add.at(sums, group, counts)
+            frequent = np.flatnonzero(sums >= least)
+            phrases = coded.dictionary.take(pa.array(frequent)).cast(pa.string())
+            nothing = _no_answers(len(frequent))
+            found.append(pa.table({**nothing, "lang": pa.array([lang] * len(frequent), pa.string()), "phrase": phrases, "f": sums[frequent], "id": ids_before + frequent}))
+            stays = np.flatnonzero(sums[group] >= least)
+            answers = _answers(blocks[mine], np.repeat(np.arange(len(mine)), sizes[mine])[stays], places[stays], ids_before + group[stays])
+            n = len(answers["block"])
+            found.append(pa.table({**answers, "lang": pa.nulls(n, pa.string()), "phrase": pa.nulls(n, pa.string()), "f": pa.nulls(n, pa.int64()), "id": pa.nulls(n, pa.int64())}))
+            ids_before += len(sums)
+        return pa.concat_tables(found)
+
+    return count
+
+
 def count_words(blocks: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """Frequent words (``lang, phrase, id, f``), and for each block its words among them (``of, place, id``)."""
-    zipped = F.posexplode(F.arrays_zip("words", "counts")).alias("place", "_w")
-    sent = blocks.select("block", "lang", zipped).select("block", "lang", "place", F.col("_w.words").alias("phrase"), F.col("_w.counts").alias("c"))
-    sums = sent.groupBy("lang", "phrase").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
-    words = written(sums.withColumn("id", F.monotonically_increasing_id()), "frequent-words")
-    back = sent.join(words.select("lang", "phrase", "id"), ["lang", "phrase"])
-    return words, back.select(F.col("block").alias("of"), "place", "id")
+    """Frequent words (``lang, phrase, id, f``), and for each block its words among them (``of, n, places, ids``)."""
+    total = blocks.agg(F.sum("vocabulary")).first()[0] or 0
+    send = _word_messages(max(1, -(-total // SHARD_PAIRS)))
+    messages = blocks.where("vocabulary > 0").select("block", "lang", "words", "counts").mapInArrow(send, _WORDS)
+    counted = written(messages.groupBy("shard").applyInArrow(_count_words_of_shard(least), _WORDS_COUNTED), "counts-1")
+    words = counted.where("block is null").select("lang", "phrase", "id", "f")
+    return words, counted.where("block is not null").select(F.col("block").alias("of"), "n", "places", "ids")
 
 
 # ---- extension
@@ -176,7 +262,8 @@ def count_words(blocks: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
 def _state(block: int, at: np.ndarray, ids: np.ndarray, words: np.ndarray, word_ids: np.ndarray) -> pa.Table:
     """A row of a relation: for each place the frequent phrase that starts there and the word there (-1: none)."""
     n = int((at >= 0).sum())
-    packed = [pa.array([_pack(c)], pa.binary()) for c in (at.astype(np.int32), ids, words.astype(np.int32), word_ids)]
+    columns = (at.astype(np.int32), ids, words.astype(np.int32), word_ids)
+    packed = [pa.array([_pack(c) if len(c) else b""], pa.binary()) for c in columns]
     row = [pa.array([block]), pa.array([n]), pa.array([len(at)], pa.int32()), packed[0], packed[1], packed[2], packed[3]]
     return pa.table(row if n else [c.slice(0, 0) for c in row], _names(_STATE))
 
@@ -186,8 +273,11 @@ def _no_state() -> pa.Table:
 
 
 def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    at, words = (_unpack(row[c], row["size"], np.int32) for c in ("at", "words"))
+    at = _unpack(row["at"], row["size"], np.int32)
     ids = _unpack(row["ids"], int(at.max()) + 1, np.int64)
+    if not row["words"]:  # of length 1
+        return at, ids, at, ids
+    words = _unpack(row["words"], row["size"], np.int32)
     return at, ids, words, _unpack(row["word_ids"], int(words.max()) + 1, np.int64)
 
 
@@ -204,15 +294,16 @@ def _merged(k: int, at: np.ndarray, words: np.ndarray, n_words: int) -> tuple[np
 
 def _only_frequent(left: pa.Table, right: pa.Table) -> pa.Table:
     """Semi-join of a block's words with the frequent ones."""
-    if not left.num_rows:
+    if not left.num_rows or not right.num_rows:
         return _no_state()
     row = left.to_pylist()[0]
-    places, ids = right.column("place").to_numpy(), right.column("id").to_numpy()
+    places, ids = _answered(right)
     number = np.full(row["vocabulary"] + 1, -1, np.int32)  # the last one answers for places between pieces
     number[places] = np.arange(len(places), dtype=np.int32)
     at = number[_unpack(row["at"], row["size"], np.int32)]
     at = at[(at >= 0) | np.r_[True, at[:-1] >= 0]]  # one place without a word parts as well as many
-    return _state(row["block"], at, ids, at, ids)
+    nothing = np.empty(0, np.int64)
+    return _state(row["block"], at, ids, nothing, nothing)
 
 
 def _extend(k: int):
@@ -224,7 +315,7 @@ def _extend(k: int):
         row = left.to_pylist()[0]
         at, _, words, word_ids = _opened(row)
         both, pairs, place, _ = _merged(k, at, words, len(word_ids))
-        places, ids = (np.frombuffer(b"".join(right.column(c).to_pylist()), t) for c, t in (("places", np.int32), ("ids", np.int64)))
+        places, ids = _answered(right)
         number = np.full(len(pairs), -1, np.int64)
         number[places] = np.arange(len(places))
         stays = number[place] >= 0
@@ -283,31 +374,23 @@ def _count_shard(least: int):
         frequent = np.flatnonzero(sums >= least)
         shard = int(messages.column("shard")[0].as_py())
         first = order[np.flatnonzero(new)[frequent]]
-        none = pa.nulls(len(first), pa.binary())
-        phrases = {"block": pa.nulls(len(first), pa.int64()), "places": none, "ids": none}
-        phrases |= {"head": heads[first], "tail": tails[first], "f": sums[frequent], "id": (shard << 32) + frequent}
-        # the answers: for each block, which of its pairs are frequent
-        mine = np.flatnonzero(sums[group] >= least)
-        mine = mine[np.argsort(sender[order[mine]], kind="stable")]
-        who, starts = np.unique(sender[order[mine]], return_index=True)
-        cuts = list(zip(starts, np.r_[starts[1:], len(mine)][: len(starts)], strict=True))
-        answers = {"block": messages.column("block").to_numpy()[who]}
-        answers["places"] = pa.array([places[order[mine[a:b]]].astype(np.int32).tobytes() for a, b in cuts], pa.binary())
-        answers["ids"] = pa.array([((shard << 32) + group[mine[a:b]]).astype(np.int64).tobytes() for a, b in cuts], pa.binary())
-        answers |= {c: pa.nulls(len(who), pa.int64()) for c in ("head", "tail", "f", "id")}
+        phrases = {**_no_answers(len(first)), "head": heads[first], "tail": tails[first], "f": sums[frequent], "id": (shard << 32) + frequent}
+        stays = np.flatnonzero(sums[group] >= least)
+        answers = _answers(messages.column("block").to_numpy(), sender[order[stays]], places[order[stays]], (shard << 32) + group[stays])
+        answers |= {c: pa.nulls(len(answers["block"]), pa.int64()) for c in ("head", "tail", "f", "id")}
         return pa.concat_tables([pa.table(phrases), pa.table(answers)])
 
     return count
 
 
 def count_pairs(states: DataFrame, least: int, k: int) -> tuple[DataFrame, DataFrame]:
-    """Frequent pairs (``head, tail, f, id``), and the blocks' pairs among them (``of, places, ids``)."""
+    """Frequent pairs (``head, tail, f, id``), and the blocks' pairs among them (``of, n, places, ids``)."""
     total = states.agg(F.sum("n_found")).first()[0] or 0
     send = _messages(max(1, -(-total // SHARD_PAIRS)), k)
     messages = states.mapInArrow(send, _MESSAGE)
     counted = written(messages.groupBy("shard").applyInArrow(_count_shard(least), _COUNTED), f"counts-{k + 1}")
     frequent = counted.where("block is null").select("head", "tail", "f", "id")
-    return frequent, counted.where("block is not null").select(F.col("block").alias("of"), "places", "ids")
+    return frequent, counted.where("block is not null").select(F.col("block").alias("of"), "n", "places", "ids")
 
 
 # ---- phrases and scores
@@ -336,7 +419,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5) -> lis
     totals = blocks.groupBy("lang").agg(F.sum("n_words").alias("n"))
     empty = F.array().cast("array<bigint>")
     tables = [written(words.join(totals, "lang").select("lang", "n", "phrase", "id", "f", empty.alias("lefts"), empty.alias("rights")), "phrases-1")]
-    left = blocks.select("block", F.size("words").alias("vocabulary"), "size", "at")
+    left = blocks.select("block", "vocabulary", "size", "at")
     step = left.groupBy("block").cogroup(back.groupBy("of")).applyInArrow(_only_frequent, _STATE)
     for k in range(1, longest):
         states = written(step, f"occurrences-{k}")
