@@ -229,7 +229,7 @@ def _count_words_of_shard(least: int):
             numbers = [_unpack(p, 2 * n, np.int64).reshape(2, n) for p, n in zip(part.column("numbers").to_pylist(), sizes[mine], strict=True)]
             counts, places = np.concatenate(numbers, axis=1)
             coded = words.dictionary_encode()
-            group = coded.indices.to_numpy(zero_copy_only=False)
+            group = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
             sums = np.zeros(len(coded.dictionary), np.int64)
             np.add.at(sums, group, counts)
             frequent = np.flatnonzero(sums >= least)

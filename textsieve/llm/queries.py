@@ -52,7 +52,7 @@ def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return sample_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"), k=2, with_ids=False).drop("ids")
+    return sample_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"), k=3)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
