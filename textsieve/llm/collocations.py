@@ -117,13 +117,17 @@ def _block_row(data: np.ndarray) -> tuple[int, pa.Array, np.ndarray, np.ndarray]
     np.cumsum(ends - starts, out=offsets[1:])
     letters = _LOWER[data[inside[1:-1].astype(bool)]]
     coded = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(letters)).dictionary_encode()
-    numbers = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+    counts = np.bincount(coded.indices.to_numpy(zero_copy_only=False), minlength=len(coded.dictionary))
+    often_first = np.argsort(-counts, kind="stable")  # small numbers for frequent words pack well
+    rank = np.empty(len(counts), np.int32)
+    rank[often_first] = np.arange(len(counts), dtype=np.int32)
+    numbers = rank[coded.indices.to_numpy(zero_copy_only=False)]
     piece = np.searchsorted(np.flatnonzero(kinds == _END), starts)
     new = np.zeros(len(starts), np.int64)
     new[1:] = piece[1:] != piece[:-1]
     at = np.full(len(starts) + int(new.sum()) + 1, -1, np.int32)
     at[np.arange(len(starts)) + np.cumsum(new)] = numbers
-    return len(starts), coded.dictionary, np.bincount(numbers, minlength=len(coded.dictionary)), at
+    return len(starts), coded.dictionary.take(pa.array(often_first)), counts[often_first], at
 
 
 def _blocks(size: int):
@@ -235,12 +239,13 @@ def _count_words_of_shard(least: int):
             frequent = np.flatnonzero(sums >= least)
             phrases = coded.dictionary.take(pa.array(frequent)).cast(pa.string())
             nothing = _no_answers(len(frequent))
-            found.append(pa.table({**nothing, "lang": pa.array([lang] * len(frequent), pa.string()), "phrase": phrases, "f": sums[frequent], "id": ids_before + frequent}))
+            found.append(pa.table({**nothing, "lang": pa.array([lang] * len(frequent), pa.string()), "phrase": phrases, "f": sums[frequent], "id": ids_before + np.arange(len(frequent))}))
             stays = np.flatnonzero(sums[group] >= least)
-            answers = _answers(blocks[mine], np.repeat(np.arange(len(mine)), sizes[mine])[stays], places[stays], ids_before + group[stays])
+            ids = ids_before + np.searchsorted(frequent, group[stays])
+            answers = _answers(blocks[mine], np.repeat(np.arange(len(mine)), sizes[mine])[stays], places[stays], ids)
             n = len(answers["block"])
             found.append(pa.table({**answers, "lang": pa.nulls(n, pa.string()), "phrase": pa.nulls(n, pa.string()), "f": pa.nulls(n, pa.int64()), "id": pa.nulls(n, pa.int64())}))
-            ids_before += len(sums)
+            ids_before += len(frequent)
         return pa.concat_tables(found)
 
     return count
@@ -298,6 +303,8 @@ def _only_frequent(left: pa.Table, right: pa.Table) -> pa.Table:
         return _no_state()
     row = left.to_pylist()[0]
     places, ids = _answered(right)
+    order = np.argsort(places)
+    places, ids = places[order], ids[order]
     number = np.full(row["vocabulary"] + 1, -1, np.int32)  # the last one answers for places between pieces
     number[places] = np.arange(len(places), dtype=np.int32)
     at = number[_unpack(row["at"], row["size"], np.int32)]
@@ -354,6 +361,8 @@ def _messages(shards: int, k: int):
                 rows = np.stack([heads, tails, counts, np.arange(len(heads))])[:, order]
                 starts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
                 ends = np.r_[starts[1:], len(shard)]
+                rows[3, 1:] -= rows[3, :-1].copy()  # ascending inside a message: gaps are small
+                rows[3, starts] = order[starts]
                 packed = [_pack(rows[:, a:b]) for a, b in zip(starts, ends, strict=True)]
                 columns = [shard[starts].astype(np.int32), np.full(len(starts), row["block"]), (ends - starts).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(packed, pa.binary())], _names(_MESSAGE))
@@ -365,6 +374,8 @@ def _count_shard(least: int):
     def count(messages: pa.Table) -> pa.Table:
         sizes = messages.column("n").to_numpy()
         rows = [_unpack(p, 4 * n, np.int64).reshape(4, n) for p, n in zip(messages.column("pairs").to_pylist(), sizes, strict=True)]
+        for message in rows:
+            np.cumsum(message[3], out=message[3])
         heads, tails, counts, places = np.concatenate(rows, axis=1)
         sender = np.repeat(np.arange(len(sizes)), sizes)
         order = np.lexsort((tails, heads))
@@ -374,9 +385,10 @@ def _count_shard(least: int):
         frequent = np.flatnonzero(sums >= least)
         shard = int(messages.column("shard")[0].as_py())
         first = order[np.flatnonzero(new)[frequent]]
-        phrases = {**_no_answers(len(first)), "head": heads[first], "tail": tails[first], "f": sums[frequent], "id": (shard << 32) + frequent}
+        phrases = {**_no_answers(len(first)), "head": heads[first], "tail": tails[first], "f": sums[frequent], "id": (shard << 32) + np.arange(len(frequent))}
         stays = np.flatnonzero(sums[group] >= least)
-        answers = _answers(messages.column("block").to_numpy(), sender[order[stays]], places[order[stays]], (shard << 32) + group[stays])
+        ids = (shard << 32) + np.searchsorted(frequent, group[stays])
+        answers = _answers(messages.column("block").to_numpy(), sender[order[stays]], places[order[stays]], ids)
         answers |= {c: pa.nulls(len(answers["block"]), pa.int64()) for c in ("head", "tail", "f", "id")}
         return pa.concat_tables([pa.table(phrases), pa.table(answers)])
 
