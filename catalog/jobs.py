@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textsieve.operators import curves, evaluate, model, scoring, sequences
+from textsieve.operators.chat import render_turns
 from textsieve.operators.evaluate import evaluate_thresholds
 from textsieve.plans.corpus import build_corpus
+from textsieve.plans.evaluation import write_run_report
 from textsieve.plans.long_documents import predict_long_documents
 from textsieve.plans.replies import extend_replies, latest_replies
 from textsieve.session import fresh_path
+from textsieve.sources.sinks import report_blocks
 
 from . import inputs as src
-from .oracles import ANSWERED, CHUNKS, GRID_ROWS, PRED, WS, grid, put
+from .oracles import ANSWERED, CHUNKS, CM, GRID_ROWS, IDS, LABELLED, METRICS, PRED, SPLIT_FRACTIONS, WS, grid, put
 from .queries import _length_replier, _length_scorer, query, rounded
 
 # --- files that do not agree ---------------------------------------------------------------
@@ -147,3 +151,178 @@ def logprob_evaluation(spark, d):
 
 
 put("logprob_evaluation", f"WITH {GRID_ROWS.replace(PRED, REPLIED)} {grid('dataset')} UNION ALL {grid('combined')}")
+
+
+# --- reports of a run ----------------------------------------------------------------------
+
+
+@query
+def run_report(spark, d):
+    """The document of a run, written, read back and taken apart again."""
+    paths = write_run_report(src.predictions(spark, d), fresh_path(spark, "report"), model="m")
+    lines = spark.read.text(paths["document"])
+    metrics = "map<string,map<string,struct<tn:bigint,fp:bigint,fn:bigint,tp:bigint,accuracy:double,ai_f1:double>>>"
+    fields = f"metadata struct<model:string,threshold:double>, results {metrics}, roc_auc array<struct<scope:string>>"
+    document = lines.select(F.from_json("value", fields).alias("d")).select("d.*")
+    by_set = document.select("metadata.model", F.size("roc_auc").alias("curves"), F.explode("results").alias("dataset", "points"))
+    points = by_set.select("model", "curves", "dataset", F.explode("points").alias("threshold", "m"))
+    return rounded(points.select("model", "curves", "dataset", F.col("threshold").cast("double").alias("threshold"), "m.*"))
+
+
+put("run_report", f"""WITH {GRID_ROWS}, g AS ({grid('dataset')} UNION ALL {grid('combined')})
+SELECT 'm' AS model, (SELECT count(DISTINCT dataset_name) + 1 FROM pred)::INT AS curves, coalesce(dataset_name, 'combined') AS dataset,
+  threshold, tn, fp, fn, tp, accuracy, ai_f1 FROM g""")
+
+
+@query
+def class_report_text(spark, d):
+    cm = evaluate.confusion_matrix(evaluate.with_decision(src.predictions(spark, d), 0.5), by=["dataset_name"])
+    blocks = report_blocks(cm)
+    return blocks.select("dataset_name", F.slice(F.split("value", "\n"), 2, 9).alias("lines")).select("dataset_name", F.array_join("lines", "|").alias("lines"))
+
+
+put("class_report_text", f"""WITH {CM}, m AS (SELECT *, tn + fp AS s0, fn + tp AS s1, {METRICS} FROM cm),
+x AS (SELECT *, coalesce(tn / nullif(tn + fn, 0), 0) AS p0, coalesce(tn / nullif(tn + fp, 0), 0) AS r0, coalesce(2 * tn / nullif(2 * tn + fn + fp, 0), 0) AS f0,
+  coalesce(tp / nullif(tp + fp, 0), 0) AS p1, coalesce(tp / nullif(tp + fn, 0), 0) AS r1, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1 FROM m),
+c AS (SELECT *, s0 + s1 AS n FROM x)
+SELECT dataset_name, concat_ws('|', 'Dataset: ' || dataset_name, repeat('=', 80), 'Samples: ' || n,
+  repeat(' ', 14) || ' precision    recall        f1   support',
+  printf('        Non-AI%10.4f%10.4f%10.4f%10d', round(p0, 4), round(r0, 4), round(f0, 4), s0),
+  printf('            AI%10.4f%10.4f%10.4f%10d', round(p1, 4), round(r1, 4), round(f1, 4), s1),
+  printf('      accuracy%30.4f%10d', round((tn + tp) / n, 4), n),
+  printf('     macro avg%10.4f%10.4f%10.4f%10d', round((p0 + p1) / 2, 4), round((r0 + r1) / 2, 4), round((f0 + f1) / 2, 4), n),
+  printf('  weighted avg%10.4f%10.4f%10.4f%10d', round((p0 * s0 + p1 * s1) / n, 4), round((r0 * s0 + r1 * s1) / n, 4), round((f0 * s0 + f1 * s1) / n, 4), n)) AS lines
+FROM c""")
+
+
+# --- scores that are no numbers --------------------------------------------------------------
+
+
+@query
+def holed_scores(spark, d):
+    """Every mean and extreme over scores of which some are NaN and some null: one rule in all."""
+    k = F.col("doc_id") % 7
+    hole = F.when(k == 0, F.lit(float("nan"))).when(k != 1, F.col("ai_probability"))
+    pred = evaluate.with_decision(src.predictions(spark, d).withColumn("ai_probability", hole))
+    stats = evaluate.probability_stats(pred, "dataset_name").where("scope = 'dataset'").drop("scope")
+    split = evaluate.confidence_split(pred, ["dataset_name"])
+    sure = evaluate.mean_confidence(pred, ["dataset_name"])
+    return rounded(stats.join(split, "dataset_name").join(sure, "dataset_name"))
+
+
+put("holed_scores", f"""WITH {PRED}, h AS (SELECT *, CASE WHEN doc_id % 7 > 1 THEN ai_probability END AS p FROM pred),
+x AS (SELECT *, CASE WHEN p >= 0.5e0 THEN 1 ELSE 0 END AS hit FROM h),
+y AS (SELECT *, hit = true_label AS ok, CASE WHEN hit = 1 THEN p ELSE 1 - p END AS sure FROM x)
+SELECT dataset_name, round(avg(p), 6) AS mean, min(p) AS min, max(p) AS max, round(stddev_samp(p), 6) AS std,
+  round(coalesce(avg(p) FILTER (ok), 0), 6) AS mean_conf_correct, round(coalesce(avg(p) FILTER (NOT ok), 0), 6) AS mean_conf_incorrect,
+  round(coalesce(avg(p), 0), 6) AS mean_conf_overall, count(*) FILTER (ok) AS n_correct, count(*) FILTER (NOT ok) AS n_incorrect,
+  round(100e0 * count(*) FILTER (ok) / count(*), 6) AS pct_correct, round(100e0 * count(*) FILTER (NOT ok) / count(*), 6) AS pct_incorrect,
+  round(coalesce(avg(sure) FILTER (ok), 0), 6) AS mean_confidence_correct, round(coalesce(avg(sure) FILTER (NOT ok), 0), 6) AS mean_confidence_incorrect,
+  round(coalesce(avg(sure), 0), 6) AS mean_confidence_overall FROM y GROUP BY dataset_name""")
+
+
+def _odd_scorer():
+    return lambda texts: [float("nan") if len(t) % 5 == 0 else float("inf") if len(t) % 7 == 0 else len(t) % 101 / 100 for t in texts]
+
+
+@query
+def unusable_results(spark, d):
+    """A scorer whose results are not always numbers."""
+    docs = src.table(spark, d, "documents").select("doc_id", "text")
+    return scoring.score_documents(docs, _odd_scorer).select("doc_id", "ai_probability", "error")
+
+
+put("unusable_results", """SELECT doc_id, CASE WHEN length(text) % 5 = 0 OR length(text) % 7 = 0 THEN 0.5e0 ELSE (length(text) % 101) / 100e0 END AS ai_probability,
+  CASE WHEN length(text) % 5 = 0 THEN 'ERROR: nan is no probability' WHEN length(text) % 7 = 0 THEN 'ERROR: inf is no probability' END AS error
+FROM documents""")
+
+# --- turns and batches -----------------------------------------------------------------------
+
+
+@query
+def chat_turns(spark, d):
+    """Conversations as turns, in small blocks; some lose a turn, some a text."""
+    turns = src.table(spark, d, "conversations").where("NOT (conv_id % 3 = 0 AND turn = 1)")
+    hole = F.expr("conv_id % 5 = 0 AND turn = conv_id % 3")
+    return render_turns(turns.withColumn("text", F.when(~hole, F.col("text"))), add_generation_prompt=True, block=2)
+
+
+put("chat_turns", r"""WITH s AS (SELECT conv_id, turn, role, CASE WHEN NOT (conv_id % 5 = 0 AND turn = conv_id % 3) THEN text END AS text
+  FROM conversations WHERE NOT (conv_id % 3 = 0 AND turn = 1)),
+n AS (SELECT *, row_number() OVER w - 1 AS place, first_value(role) OVER w AS r0, first_value(text) OVER w AS t0, count(*) OVER (PARTITION BY conv_id) AS total
+  FROM s WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+k AS (SELECT *, CASE WHEN r0 = 'system' THEN place - 1 ELSE place END AS k FROM n),
+c AS (SELECT conv_id, bool_or(text IS NULL) AS holed, coalesce(bool_and((role = 'user') = (k % 2 = 0)) FILTER (k >= 0), true) AS alternate FROM k GROUP BY conv_id)
+SELECT conv_id, turn, place, NOT holed AND alternate AS ok,
+  CASE WHEN holed THEN 'a turn has no text' WHEN NOT alternate THEN 'roles do not alternate' END AS reason,
+  CASE WHEN NOT holed AND alternate THEN CASE WHEN place = 0 THEN '<bos>' ELSE '' END
+    || CASE WHEN k < 0 THEN '' ELSE '<start_of_turn>' || CASE role WHEN 'assistant' THEN 'model' ELSE role END || chr(10)
+      || CASE WHEN k = 0 AND r0 = 'system' THEN t0 || chr(10) || chr(10) ELSE '' END
+      || regexp_replace(text, '^\s+|\s+$', '', 'g') || '<end_of_turn>' || chr(10) END
+    || CASE WHEN place = total - 1 THEN '<start_of_turn>model' || chr(10) ELSE '' END END AS piece
+FROM k JOIN c USING (conv_id)""")
+
+
+def _batched(spark, d):
+    return sequences.length_batches(src.token_ids(spark, d).select("doc_id", "input_ids"), 16, "doc_id", width=64, parts=2)
+
+
+@query
+def length_batches(spark, d):
+    return _batched(spark, d).select("doc_id", "batch", F.size("input_ids").alias("n_tokens"))
+
+
+BATCHES = f"""{IDS}, b AS (SELECT doc_id, len(ids)::INT AS n_tokens, ceil(len(ids) / 64)::INT AS bucket,
+    ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 2 AS part FROM ids),
+batches AS (SELECT doc_id, n_tokens, concat_ws(':', bucket, part,
+  (row_number() OVER (PARTITION BY bucket, part ORDER BY n_tokens, doc_id) - 1) // 16) AS batch FROM b)"""
+put("length_batches", f"WITH {BATCHES} SELECT doc_id, batch, n_tokens FROM batches")
+
+
+@query
+def padding_by_order(spark, d):
+    """What is padded when batches follow the length, and when they follow the id."""
+    by_id = src.token_ids(spark, d).withColumn("batch", F.floor(F.col("doc_id") / 16.0))
+    shares = [sequences.padding_share(b).withColumn("order", F.lit(name)) for name, b in (("length", _batched(spark, d)), ("id", by_id))]
+    return rounded(shares[0].unionByName(shares[1]))
+
+
+put("padding_by_order", f"""WITH {BATCHES}, every AS (SELECT 'length' AS o, batch, n_tokens FROM batches
+  UNION ALL SELECT 'id', (doc_id // 16)::VARCHAR, n_tokens FROM b),
+g AS (SELECT o, batch, count(*) * max(n_tokens) AS padded, sum(n_tokens) AS tokens FROM every GROUP BY o, batch)
+SELECT o AS "order", count(*) AS batches, sum(tokens)::BIGINT AS tokens, (sum(padded) - sum(tokens))::BIGINT AS padding,
+  round((sum(padded) - sum(tokens)) / sum(padded), 6) AS padding_share FROM g GROUP BY o""")
+
+# --- what any fitted model must hold -----------------------------------------------------------
+
+
+@query
+def model_contract(spark, d):
+    """Training, prediction, reload and threshold search on the splits, as facts that SQL can state."""
+    from textsieve.operators import split
+
+    docs = src.labelled(spark, d).select("doc_id", "text", "label")
+    parts = split.stratified_split(docs, "label", "doc_id", {"train": 0.8, "val": 0.1, "test": 0.1}, seed=7)
+    fitted = model.train_text_classifier(parts.where("split = 'train'"), buckets=2**16, max_iter=10)
+    val = model.predict(fitted, parts.where("split = 'val'"))
+    threshold = curves.optimal_threshold(val.withColumnRenamed("label", "true_label"), 0.95)
+    loaded, saved = model.load_model(spark, model.save_model(fitted, threshold, fresh_path(spark, "model")))
+    seen = model.predict(fitted, parts.where("split <> 'remaining'"), 0.4)
+    again = model.predict(loaded, parts.where("split <> 'remaining'"), 0.4).select("doc_id", F.col("ai_probability").alias("reloaded"))
+    both = seen.join(again, "doc_id")
+    train_auc = curves.roc_auc(seen.where("split = 'train'").withColumnRenamed("label", "true_label")).select(F.col("roc_auc") > 0.9)
+    rule = (F.col("predicted_label") == (F.col("ai_probability") >= 0.4).cast("int")) & (
+        F.col("predicted_class") == F.when(F.col("predicted_label") == 1, "ai").otherwise("nonai")
+    )
+    facts = both.groupBy("split").agg(
+        F.count("*").alias("rows"),
+        F.every(F.abs(F.col("ai_probability") + F.col("nonai_probability") - 1) < 1e-9).alias("sums_to_one"),
+        F.every((F.col("ai_probability") >= 0) & (F.col("ai_probability") <= 1)).alias("in_range"),
+        F.every(rule).alias("class_follows_rule"),
+        F.every(F.abs(F.col("ai_probability") - F.col("reloaded")) < 1e-12).alias("reloaded_is_fitted"),
+    )
+    return facts.withColumns({"train_auc_above_0_9": train_auc.scalar(), "recall_reached": saved.select(F.col("recall") >= 0.95).scalar()})
+
+
+put("model_contract", f"""WITH {SPLIT_FRACTIONS} SELECT split, count(*) AS rows, true AS sums_to_one, true AS in_range, true AS class_follows_rule,
+  true AS reloaded_is_fitted, true AS train_auc_above_0_9, true AS recall_reached FROM split WHERE split <> 'remaining' GROUP BY split""")

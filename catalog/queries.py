@@ -611,7 +611,7 @@ def word_frequency_join(spark, d):
 
 @query
 def vocab_intersect(spark, d):
-    return keywords.common_vocabulary(*_word_tables(spark, d))
+    return keywords.shared_words(src.labelled(spark, d))
 
 
 # --- splits ----------------------------------------------------------------------------

@@ -1,6 +1,7 @@
 """Exact ROC-AUC, precision-recall curve and threshold search, with no global sort of the rows.
 
-Equal scores are merged first; ranks then come from the digit tree in ``ranks``.
+Equal scores are merged first. ROC-AUC then comes from one range partitioning of the scores, the curves from
+the digit tree in ``ranks``.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from .profile import scope_name
-from .ranks import ordered_pairs, prefix_sums, same_keys, value_key
+from .ranks import prefix_sums, ranged_pairs, value_key
 
 
 def score_histogram(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -27,22 +28,11 @@ def score_histogram(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def _auc(hist: DataFrame, by: Sequence[str]) -> DataFrame:
-    pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
-    totals = hist.groupBy(*by).agg(
-        F.sum("pos").alias("n_pos"),
-        F.sum("neg").alias("n_neg"),
-        F.sum(pos * neg / 2).alias("_ties"),
-        F.count_if(F.col("_key").isNull()).alias("_bad"),
-    )
-    wins = ordered_pairs(hist.where(F.col("_key").isNotNull()), "_key", "neg", "pos", by)
-    if by:
-        both = totals.alias("t").join(wins.alias("w"), same_keys("t", "w", by), "left").select("t.*", "w.pairs")
-    else:
-        both = totals.withColumn("pairs", wins.scalar())
-    possible = F.col("n_pos").cast("double") * F.col("n_neg")
-    usable = (possible > 0) & (F.col("_bad") == 0)
-    auc = F.when(usable, (F.col("pairs") + F.col("_ties")) / possible)
-    return both.select(*by, "n_pos", "n_neg", auc.alias("roc_auc"))
+    n_pos, n_neg = F.col("n_high"), F.col("n_low")
+    possible = n_pos.cast("double") * n_neg
+    auc = F.when((possible > 0) & (F.col("n_bad") == 0), F.col("pairs") / possible)
+    counted = ranged_pairs(hist, "_key", "neg", "pos", by)
+    return counted.select(*by, n_pos.alias("n_pos"), n_neg.alias("n_neg"), auc.alias("roc_auc"))
 
 
 def roc_auc(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -70,6 +70,11 @@ def overall_metrics(cm: DataFrame) -> DataFrame:
     )
 
 
+def usable(col: str) -> Column:
+    """A score, or null where it is NaN: what is no number has no part in a mean."""
+    return F.when(~F.isnan(col), F.col(col))
+
+
 def bin_scores(pred: DataFrame, thresholds: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Row counts and score sums per ``(by, true_label, bin)``.
 
@@ -81,9 +86,9 @@ def bin_scores(pred: DataFrame, thresholds: Sequence[float], by: Sequence[str] =
     for t in sorted(set(thresholds)):
         hit = (p >= float(t)) & ~F.isnan(p)
         reached = reached + F.coalesce(hit, F.lit(False)).cast("int")
-    usable = F.when(~F.isnan(p), p)
+    known = usable("ai_probability")
     return pred.groupBy(*by, "true_label", reached.alias("bin")).agg(
-        F.count("*").alias("n"), F.count(usable).alias("n_scored"), F.sum(usable).alias("sum_p")
+        F.count("*").alias("n"), F.count(known).alias("n_scored"), F.sum(known).alias("sum_p")
     )
 
 
@@ -142,7 +147,7 @@ def with_decision(pred: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def mean_confidence(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Mean confidence in the predicted class over correct, incorrect and all scored rows; 0.0 over none."""
-    p = F.when(~F.isnan("ai_probability"), F.col("ai_probability"))
+    p = usable("ai_probability")
     sure = F.when(F.col("predicted_label") == 1, p).otherwise(F.lit(1.0) - p)
     right = F.col("predicted_label") == F.col("true_label")
     return pred.groupBy(*by).agg(
@@ -153,8 +158,8 @@ def mean_confidence(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def confidence_split(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Mean raw AI probability over correct, incorrect and all rows, with counts and percent."""
-    p, right = F.col("ai_probability"), F.col("predicted_label") == F.col("true_label")
+    """Mean raw AI probability over correct, incorrect and all scored rows, with counts and percent of all rows."""
+    p, right = usable("ai_probability"), F.col("predicted_label") == F.col("true_label")
     n_right, n_wrong = F.count_if(right), F.count_if(~right)
     return pred.groupBy(*by).agg(
         F.coalesce(F.avg(F.when(right, p)), F.lit(0.0)).alias("mean_conf_correct"),
@@ -219,8 +224,8 @@ def class_summary(cm: DataFrame) -> DataFrame:
 
 
 def probability_stats(pred: DataFrame, by: str | None = None) -> DataFrame:
-    """Mean, min, max and sample standard deviation of the scores, per dataset and combined."""
-    p = F.col("ai_probability")
+    """Mean, min, max and sample standard deviation of the usable scores, per dataset and combined."""
+    p = usable("ai_probability")
     aggs = [
         F.avg(p).alias("mean"),
         F.min(p).alias("min"),
@@ -248,8 +253,8 @@ def sample_summary(df: DataFrame) -> DataFrame:
         pct(flagged, rows).alias("predicted_ai_pct"),
         (rows - flagged).alias("predicted_nonai"),
         pct(rows - flagged, rows).alias("predicted_nonai_pct"),
-        F.avg("ai_probability").alias("mean_probability"),
-        F.avg("confidence").alias("mean_confidence"),
+        F.avg(usable("ai_probability")).alias("mean_probability"),
+        F.avg(usable("confidence")).alias("mean_confidence"),
     )
 
 

@@ -89,6 +89,13 @@ def common_vocabulary(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("word").intersect(b.select("word"))
 
 
+def shared_words(df: DataFrame, text: str = "text", label: str = "label", min_len: int = 3) -> DataFrame:
+    """Words that texts of both classes hold: one scan and one aggregate, with no table per class."""
+    words = df.select(F.col(label).alias("_label"), F.explode(distinct_words(F.col(text), min_len)).alias("word"))
+    found = words.groupBy("word").agg(F.max((F.col("_label") == 1).cast("int")).alias("one"), F.max((F.col("_label") == 0).cast("int")).alias("zero"))
+    return found.where("one = 1 AND zero = 1").select("word")
+
+
 def discriminative_keywords(
     ratios: DataFrame, min_ratio: float = MIN_RATIO, min_freq: float = MIN_FREQ
 ) -> DataFrame:

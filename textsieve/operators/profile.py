@@ -142,6 +142,8 @@ def profile(df: DataFrame, approx: bool = False) -> DataFrame:
     ]
     for i, f in enumerate(fields):
         col = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):  # NaN is a missing value
+            col = F.when(~F.isnan(col), col)
         cells.append((f.name, "dtype", F.lit(None), F.lit(f.dataType.simpleString())))
         aggs.append(F.count(col).alias(f"c{i}"))
         cells.append((f.name, "nulls", F.col("rows") - F.col(f"c{i}"), F.lit(None)))

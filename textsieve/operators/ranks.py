@@ -10,9 +10,13 @@ inside one node, which is bounded in size however the data is distributed.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.keys import ordered_key
 
@@ -112,6 +116,86 @@ def ordered_pairs(hist: DataFrame, key: str, low: str, high: str, by: Sequence[s
     return pairs.select(*[F.col(f"_group.{b}").alias(b) for b in by], "pairs")
 
 
+def _changes(batch: pa.RecordBatch, n: int) -> np.ndarray:
+    """Which rows differ from the one before in their first ``n`` columns; null equals null."""
+    changed = np.zeros(batch.num_rows, bool)
+    for column in batch.columns[:n]:
+        now, before = column[1:], column[:-1]
+        differ = pc.or_(pc.fill_null(pc.not_equal(now, before), False), pc.xor(pc.is_null(now), pc.is_null(before)))
+        changed[1:] |= differ.to_numpy(zero_copy_only=False)
+    return changed
+
+
+def _sums_of_part(n: int):
+    """Sorted ``(group of n columns, key, low, high)`` rows to one row per group: its sums and pairs in this partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        group: pa.RecordBatch | None = None  # a row of the group that is still open, and its sums so far
+        low_sum = high_sum = bad_sum = 0
+        pair_sum = 0.0
+
+        def row(of: pa.RecordBatch, low, high, bad, pairs) -> pa.RecordBatch:
+            values = [pa.array([part] * len(pairs), pa.int32()), *(pa.array(c, pa.int64()) for c in (low, high, bad)), pa.array(pairs, pa.float64())]
+            return pa.RecordBatch.from_arrays([*of.columns[:n], *values], [*of.schema.names[:n], "_part", "_low", "_high", "_bad", "_pairs"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if group is not None:
+                both = pa.Table.from_batches([group, batch.slice(0, 1)]).combine_chunks().to_batches()[0]
+                if _changes(both, n)[1]:
+                    yield row(group, [low_sum], [high_sum], [bad_sum], [pair_sum])
+                    low_sum = high_sum = bad_sum = 0
+                    pair_sum = 0.0
+            starts = np.flatnonzero(np.append(True, _changes(batch, n)[1:]))
+            low, high = (batch.column(n + i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2))
+            bad = batch.column(n).is_null().to_numpy(zero_copy_only=False).astype(np.int64)
+            below = np.cumsum(low) - low
+            below -= np.repeat(below[starts], np.diff(np.append(starts, len(low))))
+            below[: starts[1] if len(starts) > 1 else len(low)] += low_sum
+            sums = [np.add.reduceat(c, starts) for c in (low, high, bad, high * (below + low / 2))]
+            for c, before in zip(sums, (low_sum, high_sum, bad_sum, pair_sum), strict=True):
+                c[0] += before
+            if len(starts) > 1:
+                yield row(batch.take(pa.array(starts[:-1])), *(c[:-1] for c in sums))
+            group = batch.slice(int(starts[-1]), 1)
+            low_sum, high_sum, bad_sum, pair_sum = (c[-1].item() for c in sums)
+        if group is not None:
+            yield row(group, [low_sum], [high_sum], [bad_sum], [pair_sum])
+
+    return run
+
+
+def ranged_pairs(hist: DataFrame, key: str, low: str, high: str, by: Sequence[str] = ()) -> DataFrame:
+    """Per group the ``(low, high)`` pairs in which the low one's key is smaller; equal keys count half.
+
+    Columns ``by, n_low, n_high, n_bad, pairs``; ``n_bad`` counts rows with a null key, which stand below all
+    others. ``hist`` has one row per group and key. Keys are dealt out by range, so a group is spread evenly
+    whatever its size and skew, and needs no tree: each partition sums the groups it holds in order, and a
+    window over these few sums adds what lies in the partitions before. Pairs are doubles: they pass 64
+    bits at scale.
+    """
+    group = list(by) or ["_all"]
+    rows = hist if by else hist.withColumn("_all", F.lit(0))
+    rows = rows.select(*group, key, F.col(low).cast("bigint").alias("_low"), F.col(high).cast("bigint").alias("_high"))
+    dealt = rows.repartitionByRange(*group, key).sortWithinPartitions(*group, key)
+    schema = T.StructType([rows.schema[c] for c in group]).add("_part", T.IntegerType())
+    for name in ("_low", "_high", "_bad"):
+        schema = schema.add(name, T.LongType())
+    parts = dealt.mapInArrow(_sums_of_part(len(group)), schema.add("_pairs", T.DoubleType()))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.coalesce(F.sum("_low").over(before), F.lit(0)).cast("double")
+    parts = parts.withColumn("_pairs", F.col("_pairs") + below * F.col("_high"))
+    summed = parts.groupBy(*group).agg(
+        F.sum("_low").alias("n_low"), F.sum("_high").alias("n_high"), F.sum("_bad").alias("n_bad"), F.sum("_pairs").alias("pairs")
+    )
+    if by:
+        return summed
+    # without groups an empty input still has one row
+    return summed.select("n_low", "n_high", "n_bad", "pairs").groupBy().agg(*[F.sum(c).alias(c) for c in ("n_low", "n_high", "n_bad", "pairs")])
+
+
 def value_key(df: DataFrame, col: str) -> Column:
     """The ordering key of a numeric column: whole numbers are their own key."""
     kind = dict(df.dtypes)[col]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -21,14 +22,14 @@ def score_documents(df: DataFrame, scorer_factory: Callable[[], Scorer], text: s
 
     Each task calls the factory once and feeds the scorer Arrow batches of texts. A batch that fails
     is halved until the rows at fault stand alone, and those get probability 0.5 and the error text;
-    so do rows whose result is no number. The job goes on.
+    so do rows whose result is no finite number. The job goes on.
     """
 
     @F.pandas_udf("struct<ai_probability:double,error:string>")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = scorer_factory()
         for texts in batches:
-            results = _call(scorer, texts.tolist(), float)
+            results = _call(scorer, texts.tolist(), _probability)
             yield pd.DataFrame(
                 {
                     "ai_probability": [0.5 if e is not None else p for p, e in results],
@@ -42,7 +43,10 @@ def score_documents(df: DataFrame, scorer_factory: Callable[[], Scorer], text: s
 
 def _reply(result: Reply) -> tuple[str, list[dict]]:
     words, pairs = (result, ()) if isinstance(result, str) else result
-    return words.strip(), [{"token": str(t), "logprob": float(p)} for t, p in pairs]
+    pairs = [{"token": str(t), "logprob": float(p)} for t, p in pairs]
+    if any(math.isnan(pair["logprob"]) for pair in pairs):
+        raise ValueError("a log-probability is no number")
+    return words.strip(), pairs
 
 
 def reply_documents(df: DataFrame, replier_factory: Callable[[], Replier], text: str = "text") -> DataFrame:
@@ -71,6 +75,20 @@ def reply_documents(df: DataFrame, replier_factory: Callable[[], Replier], text:
     return replied.withColumn("ai_probability", p)
 
 
+def _probability(result: float) -> float:
+    p = float(result)
+    if not math.isfinite(p):
+        raise ValueError(f"{p} is no probability")
+    return p
+
+
+def _converted(convert: Callable, result: object) -> tuple[object, str | None]:
+    try:
+        return convert(result), None
+    except Exception as failure:  # noqa: BLE001 - a plug-in may return anything
+        return None, f"ERROR: {failure}"
+
+
 def _call(function: Callable, texts: list[str], convert: Callable) -> list[tuple[object, str | None]]:
     """``(converted result, error)`` per text; a failed call is halved down to the texts at fault."""
     if not texts:
@@ -79,7 +97,7 @@ def _call(function: Callable, texts: list[str], convert: Callable) -> list[tuple
         results = list(function(texts))
         if len(results) != len(texts):
             raise ValueError(f"{len(results)} results for {len(texts)} texts")
-        return [(convert(r), None) for r in results]
+        return [_converted(convert, r) for r in results]
     except Exception as failure:  # noqa: BLE001 - a plug-in may raise anything
         if len(texts) == 1:
             return [(None, f"ERROR: {failure}")]

@@ -35,6 +35,41 @@ def pad_batch(
     return df.withColumns({ids: padded(ids, pad_id), labels: padded(labels, label_pad)})
 
 
+def length_batches(
+    df: DataFrame, size: int, key: str, ids: str = "input_ids", width: int = 64, parts: int = 1
+) -> DataFrame:
+    """Add ``batch``: batches of ``size`` sequences of about the same length, so that little is padded.
+
+    Sequences of ``width`` neighbouring lengths are one bucket, dealt by the hash of ``key`` into ``parts``; inside
+    each such group they are ordered by length and key and cut into batches, so each task orders its own and
+    no batch crosses a group. Only the last batch of a group may be short. Choose ``parts`` so that the
+    fullest bucket, often that of the truncated sequences, is spread over enough tasks. Sequences that share a
+    key and a length may change places.
+    """
+    length = F.coalesce(F.size(ids), F.lit(0))
+    part = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("bigint") % parts
+    rows = df.withColumns(
+        {"_length": length, "_bucket": F.ceil(length / F.lit(width)).cast("int"), "_part": F.coalesce(part, F.lit(0))}
+    )
+    nth = F.row_number().over(Window.partitionBy("_bucket", "_part").orderBy("_length", key)) - 1
+    number = F.floor(nth / F.lit(size)).cast("int")
+    named = rows.withColumn("batch", F.concat_ws(":", "_bucket", "_part", number))
+    return named.drop("_length", "_bucket", "_part")
+
+
+def padding_share(df: DataFrame, batch: str = "batch", ids: str = "input_ids") -> DataFrame:
+    """One row: batches, tokens, and the padding tokens that batches as long as their longest sequence need."""
+    length = F.size(ids).cast("bigint")
+    batches = df.groupBy(batch).agg(F.count("*").alias("n"), F.sum(length).alias("tokens"), F.max(length).alias("longest"))
+    tokens, padded = F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("longest")), F.lit(0))
+    return batches.agg(
+        F.count("*").alias("batches"),
+        tokens.alias("tokens"),
+        (padded - tokens).alias("padding"),
+        F.when(padded > 0, (padded - tokens).cast("double") / padded).alias("padding_share"),
+    )
+
+
 def chunk_tokens(
     df: DataFrame, tokens: str = "tokens", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP
 ) -> DataFrame:

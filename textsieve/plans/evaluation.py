@@ -22,7 +22,7 @@ from ..operators.profile import dataset_counts
 from ..operators.replies import evaluate_replies, reply_summary
 from ..operators.scoring import Replier, Scorer, cache_predictions, reply_documents, score_documents
 from ..sources.gates import require_columns
-from ..sources.sinks import write_csv, write_json_report, write_parquet, write_text_report
+from ..sources.sinks import report_blocks, write_csv, write_json_report, write_parquet, write_run_document, write_text_blocks
 
 
 def predict_and_cache(
@@ -74,6 +74,19 @@ def write_evaluation(
     return written
 
 
+def write_run_report(
+    pred: DataFrame, path: str, thresholds: Sequence[float] = THRESHOLDS, model: str = "model", threshold: float = 0.5
+) -> dict[str, str]:
+    """A whole run as one document, data set to threshold to metrics, and as text at one threshold."""
+    tables = evaluate_predictions(pred, thresholds)
+    grid = tables.pop("grid")
+    cm = confusion_matrix(with_decision(pred, threshold), by=["dataset_name"])
+    return {
+        "document": write_run_document(grid, f"{path}/run", {"model": model, "threshold": threshold}, tables),
+        "text": write_text_blocks(report_blocks(cm), f"{path}/text"),
+    }
+
+
 def write_threshold_evaluation(pred: DataFrame, path: str, threshold: float = 0.5) -> dict[str, str]:
     """One threshold: metrics as JSON, CSV and text, and the error-analysis table per dataset."""
     decided = with_decision(pred, threshold)
@@ -84,7 +97,7 @@ def write_threshold_evaluation(pred: DataFrame, path: str, threshold: float = 0.
         "metrics": write_json_report(metrics, f"{path}/metrics", {"threshold": threshold}),
         "summary": write_csv(metrics, f"{path}/summary"),
         "report": write_json_report(classification_report(cm), f"{path}/report"),
-        "text": write_text_report(metrics, f"{path}/text"),
+        "text": write_text_blocks(report_blocks(cm), f"{path}/text"),
         "errors": write_parquet(
             decided.select(full.alias("text"), "true_label", "predicted_label", "ai_probability", "is_correct", "dataset_name"),
             f"{path}/errors",
