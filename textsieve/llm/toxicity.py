@@ -2,8 +2,10 @@
 
 1. Count, over the whole corpus, the documents that hold a word, and those of each class among the
    training rows (a bounded sample of labels, ``TRAIN_ROWS``; joined as a broadcast).
-2. Log-odds of words and of their prefixes with a Dirichlet prior proportional to corpus counts;
-   significant tokens are the model, at most ``MODEL_TERMS`` of them.
+2. Log-odds of words and of their prefixes under an informative Dirichlet prior: ``PRIOR`` documents of the
+   corpus' own mix are added to each class, so a token counts for as much as it is over the corpus, labelled
+   or not. The tokens whose classes differ significantly (signed root of the likelihood ratio, which
+   holds for counts of zero too) are the model, all of them; prefixes of one word alone add nothing and go.
 3. A linear scan finds all maximal scoring segments of a text (disjoint, and none can be extended
    or cut for a higher score). A segment's excess is its score above what chance reaches in a text
    of that length (extreme-value law with decay ``lam`` and scale ``k``, fitted on clean training
@@ -30,11 +32,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Labels to learn from, tokens in the model, words counted in a task before they are handed on.
-TRAIN_ROWS, MODEL_TERMS, COUNTED = 100_000, 20_000, 200_000
+#: Labels to learn from (which bounds the tokens of the model, too), words counted in a task before they are handed on.
+TRAIN_ROWS, COUNTED = 100_000, 200_000
 PREFIXES = (4, 5, 6)
-#: Prior weight of the whole vocabulary and least prior count; least z-score and log-odds of a model token.
-PRIOR, LEAST_PRIOR, LEAST_Z, LEAST_DELTA = 1_000.0, 0.5, 3.0, 3.0
+#: Documents of the corpus' mix that the prior adds to a class; least z-score and log-odds of a model token.
+PRIOR, LEAST_Z, LEAST_DELTA = 10.0, 3.0, 3.0
 #: Score of a word outside the model, and highest score of one inside.
 OTHER, HIGHEST = -0.2, 8.0
 
@@ -96,16 +98,36 @@ def token_counts(docs: DataFrame, training: DataFrame, doc_id: str, text: str) -
 
 
 def log_odds(counts: DataFrame, docs: int, clean: int, toxic: int) -> DataFrame:
-    """``delta`` and ``z`` of every token, with a Dirichlet prior from its corpus count."""
-    prior = F.greatest(F.col("n") / docs * PRIOR / 1000, F.lit(LEAST_PRIOR))
-    rest = PRIOR / 1000 + 1
+    """``delta`` and ``z`` of every token: log-odds under the corpus prior, and how sure the classes differ.
+
+    ``n``, ``n_clean`` and ``n_toxic`` count documents (a prefix may count one several times). The prior of a token
+    is its share of the corpus times ``PRIOR``; the totals grow by the same documents.
+    """
+    share = F.least(F.col("n") / F.lit(float(docs)), F.lit(1.0))  # above zero, as the token occurs
 
     def odds(n: str, total: int) -> Column:
-        return F.log((F.col(n) + prior) / F.greatest(total + rest - F.col(n), F.lit(1.0)))
+        present = F.least(F.col(n), F.lit(total)) + PRIOR * share
+        return F.log(present / F.greatest(total + PRIOR - present, F.lit(0.5)))
+
+    def information(n: str, total: int) -> Column:
+        """2 n log(n / expected), where the classes share one rate."""
+        expected = (F.col("n_clean") + F.col("n_toxic")) * (total / (clean + toxic))
+        return F.when(F.col(n) > 0, 2 * F.col(n) * F.log(F.col(n) / expected)).otherwise(F.lit(0.0))
 
-    spread = F.sqrt(1 / (F.col("n_toxic") + prior) + 1 / (F.col("n_clean") + prior))
     delta = odds("n_toxic", toxic) - odds("n_clean", clean)
-    return counts.withColumn("delta", delta).withColumn("z", delta / spread)
+    ratio = information("n_toxic", toxic) + information("n_clean", clean)
+    root = F.sqrt(F.greatest(ratio, F.lit(0.0)))
+    over = F.col("n_toxic") / F.lit(float(toxic)) >= F.col("n_clean") / F.lit(float(clean))
+    return counts.withColumn("delta", delta).withColumn("z", F.when(over, root).otherwise(-root))
+
+
+def model_terms(scored: DataFrame) -> DataFrame:
+    """The significant tokens, without prefixes whose toxic occurrences are those of one significant word."""
+    found = scored.where((F.col("z") >= LEAST_Z) & (F.col("delta") >= LEAST_DELTA))
+    word = F.col("token")
+    prefixes = [F.when(F.length(word) > n, F.concat(F.substring(word, 1, n), F.lit("*"))) for n in PREFIXES]
+    alone = found.where(~word.endswith("*")).select(F.explode(F.array_compact(F.array(*prefixes))).alias("token"), "n_toxic").distinct()
+    return found.join(alone, ["token", "n_toxic"], "left_anti")
 
 
 @dataclass
@@ -234,7 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         return Model()
     n = totals[" docs"]
     scored = log_odds(counts.where(~F.col("token").startswith(" ")), n["n"], n["n_clean"], n["n_toxic"])
-    terms = scored.where((F.col("z") >= LEAST_Z) & (F.col("delta") >= LEAST_DELTA)).orderBy(F.desc("z"), "token").limit(MODEL_TERMS).collect()
+    terms = model_terms(scored).select("token", "delta", "n_clean").collect()  # tokens of the labelled sample
     model = Model({r["token"]: min(r["delta"], HIGHEST) for r in terms})
     words = max(1, totals[" words"]["n_clean"])
     model.lam = _chance_decay([(min(r["delta"], HIGHEST), r["n_clean"] / words) for r in terms])
