@@ -67,6 +67,19 @@ def test_repeats(docs, real, wide):
     assert got == brute_repeats(rows, 50)
 
 
+@pytest.mark.parametrize("wide", [4_000, 1])
+def test_repeats_of_rows_that_share_an_id(spark, wide):
+    """One id with several texts: no row loses what only another row of its id, or a larger id, shares."""
+    rng = random.Random(9)
+    a, b, c = (" ".join("".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 8))) for _ in range(60)) for _ in range(3))
+    rows = [(1, a), (2, a), (2, b), (3, b), (5, "x " + c[:200] + " y"), (5, "z" + c[:200]), (7, c[:200]), (7, c), (7, c)]
+    rows += [(-4, b[:90]), (None, a), (None, c), (8, None), (8, "")] + [(9, a[i:] + b[:i] + c) for i in range(0, 60, 7)]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 50, wide=wide, block_bytes=400)
+    assert sorted((tuple(r)[:5] for r in got.collect()), key=str) == brute_repeats(rows, 50)
+    with pytest.raises(ValueError, match="63 bits"):
+        repeats.remove_repeats(spark.createDataFrame([(2**62, a), (2**62, b)], "doc_id long, text string"))
+
+
 def test_repeats_of_an_empty_table(docs):
     assert repeats.remove_repeats(docs.limit(0)).count() == 0
 

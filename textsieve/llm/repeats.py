@@ -17,8 +17,10 @@ chosen by its content and so at the same place in every occurrence. Work goes by
 5. Covered bytes go back to the blocks, which return each document's spans.
 
 Edge cases: null and empty texts have no bytes and no spans; rows without id neither remove nor
-lose bytes; rows of equal id are no copies of each other (only a smaller id removes); an empty table
-gives no rows. Columns of the input other than id and text are not read.
+lose bytes; rows of equal id do not remove from each other (only a smaller id removes), and each loses what
+its own text shares with smaller ids; an empty table gives no rows. Columns of the input other than id
+and text are not read. Rows go by names: the id where each has one text, else the id times the most
+texts of an id plus the text's number, which must fit in 63 bits.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import gram_hashes, groups_of_bytes, mixed, text_bytes
@@ -102,8 +104,8 @@ def _document_anchors(data: np.ndarray, offsets: np.ndarray, skip: np.ndarray, l
 
 
 def _block(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, bytes and offsets of a block's documents in order of id."""
-    ids = table.column("doc_id").to_numpy()
+    """Names, bytes and offsets of a block's documents in order of name."""
+    ids = table.column("name").to_numpy()
     by = np.argsort(ids, kind="stable")
     data, offsets = text_bytes(table.column("text").take(pa.array(by)))
     return ids[by], data, offsets
@@ -137,7 +139,9 @@ def _send_prints(shards: int, length: int):
             parts.append((shard[new], prints[new]))
         if parts:
             shard, prints = (np.concatenate(x) for x in zip(*parts, strict=True))
-            rows += [(s, block, PRINTS, np.sort(prints[at]).tobytes(), None, None, None) for s, at in _by_shard(shard)]
+            for s, at in _by_shard(shard):
+                values, counts = np.unique(prints[at], return_counts=True)
+                rows.append((s, block, PRINTS, values.astype("<u4").tobytes(), counts.astype("<u4").tobytes(), None, None))
         return _messages(rows)
 
     return run
@@ -150,12 +154,13 @@ def _answer_prints(limit: int):
         rows = [tuple(r.values()) for r in sent if r["kind"] != PRINTS]
         asked = [r for r in sent if r["kind"] == PRINTS]
         if asked:
-            every = np.sort(np.concatenate([np.frombuffer(r["a"], "<u4") for r in asked]))
-            new = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
-            count, value = np.diff(np.append(new, len(every))), every[new]
+            every, counts = (np.concatenate([np.frombuffer(r[c], "<u4") for r in asked]) for c in "ab")
+            order = np.argsort(every, kind="stable")
+            new = np.flatnonzero(np.append(True, every[order][1:] != every[order][:-1]))
+            count, value = np.add.reduceat(counts[order].astype(np.int64), new), every[order][new]
             shared, wide = value[count > 1], value[count > limit]
             for r in asked:
-                own = np.unique(np.frombuffer(r["a"], "<u4"))
+                own = np.frombuffer(r["a"], "<u4")
                 own = own[np.isin(own, shared, assume_unique=True)]
                 if len(own):
                     is_wide = np.isin(own, wide, assume_unique=True).astype(np.uint8)
@@ -177,7 +182,7 @@ def _windows_of(data: np.ndarray, starts: np.ndarray, before: np.ndarray, sizes:
     return out
 
 
-def _send_contexts(shards: int, length: int):
+def _send_contexts(shards: int, length: int, per: int):
     reach = length - GRAM
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -197,7 +202,8 @@ def _send_contexts(shards: int, length: int):
             order, group = _grouped(text, own)
             text, own, start = text[order], own[order], start[order]
             first = np.append(True, group[1:] != group[:-1])
-            later = ids[own] > ids[own][first][group]
+            docs = ids[own] // per
+            later = docs > docs[first][group]
             span_ids.append(ids[own][later])
             span_from.append(start[later])
             span_to.append((start + text[:, -2].astype(np.int64))[later])
@@ -386,7 +392,7 @@ def repeat_groups(texts: list[bytes], length: int) -> list[tuple[bytes, list[tup
     return groups
 
 
-def _answer_contexts(length: int):
+def _answer_contexts(length: int, per: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         sent = table.to_pylist()
         rows = [tuple(r.values()) for r in sent if r["kind"] == SPANS]
@@ -401,7 +407,8 @@ def _answer_contexts(length: int):
         order, group = _grouped(text, ids)
         text, ids, start, block = text[order], ids[order], start[order], block[order]
         first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-        own = ids == ids[first][group]  # of a class of equal contexts, its smallest document stays
+        docs = ids // per
+        own = docs == docs[first][group]  # of a class of equal contexts, its smallest document stays
         at = np.flatnonzero(~own)
         covered = [at, start[at], start[at] + text[at, -2]]
         # A context alone under its anchor repeats as a whole or not at all.
@@ -414,7 +421,7 @@ def _answer_contexts(length: int):
             n = max(1, int(np.searchsorted(cut, cut[0] + ARRAY_CONTEXTS, "right")) - 1)
             part = chosen[cut[0] : cut[n] if n < len(cut) else len(chosen)]
             array = EnhancedSuffixArray(text[first[part], 8:-2], text[first[part], -2].astype(np.int64), length)
-            context, low, high = covered_suffixes(array, ids[first[part]], length)
+            context, low, high = covered_suffixes(array, docs[first[part]], length)
             found.append((part[context], low, high))
             cut = cut[n:]
         classes, low, high = (np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in range(3))
@@ -441,7 +448,7 @@ _RESULT_SCHEMA = pa.schema([
 
 
 def _remove(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-    names = left.column("doc_id")
+    ids, names = left.column("doc_id").to_pylist(), left.column("name")
     data, offsets = text_bytes(left.column("text"))
     got = [tuple(np.frombuffer(r[c], "<i8") for c in "abc") for r in right.to_pylist() if r["kind"] == SPANS]
     spans: dict[int, list[tuple[int, int]]] = {}
@@ -451,14 +458,13 @@ def _remove(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
     out: dict[str, list] = {f.name: [] for f in _RESULT_SCHEMA}
     for i, name in enumerate(names.to_pylist()):
         text = data[offsets[i] : offsets[i + 1]]
-        # Rows of one id may have different texts; a span is checked against the text it fits.
-        own = [(a, min(b, len(text))) for a, b in spans.get(name, ()) if a < len(text)] if name is not None else []
+        own = spans.get(name, ()) if name is not None else ()
         kept, at = hashlib.sha256(), 0
         for a, b in own:
             kept.update(text[at:a].tobytes())
             at = b
         kept.update(text[at:].tobytes())
-        out["doc_id"].append(name)
+        out["doc_id"].append(ids[i])
         out["n_bytes"].append(len(text))
         out["n_removed"].append(sum(b - a for a, b in own))
         out["n_spans"].append(len(own))
@@ -482,21 +488,45 @@ def remove_repeats(
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, shards = _count_of(size, block_bytes), _count_of(size, SHARD_BYTES)
 
-    def block_of(name: str) -> Column:
+    digests = own.where("doc_id is not null and text != ''").select("doc_id", F.sha2("text", 256).alias("digest"))
+    named, per = _named(own, digests)
+
+    def block_of(name: Column) -> Column:
         return F.pmod(F.xxhash64(name), F.lit(blocks)).alias("block")
 
-    dealt = own.select("doc_id", "text", block_of("doc_id")).repartition(F.col("block"))
-    ids = dealt.groupBy("block")
+    # rows without a name are dealt out by their texts
+    dealt = named.select("doc_id", "name", "text", block_of(F.coalesce("name", F.xxhash64("text")))).repartition(F.col("block"))
+    rows = dealt.groupBy("block")
 
-    digests = own.where("doc_id is not null and text != ''").select(F.col("doc_id").alias("copy"), F.sha2("text", 256).alias("digest"))
-    least = digests.groupBy("digest").agg(F.min("copy").alias("least"), F.count("*").alias("n")).where("n > 1")
-    copies = digests.join(least, "digest").where(F.col("copy") > F.col("least")).select("copy", block_of("copy"))
+    texts = digests if per == 1 else named.where("doc_id is not null and text != ''").select("doc_id", "name", F.sha2("text", 256).alias("digest"))
+    name = "doc_id" if per == 1 else "name"
+    least = texts.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    copies = texts.join(least, "digest").where(F.col("doc_id") > F.col("least")).select(F.col(name).alias("copy"))
+    copies = copies.select("copy", block_of(F.col("copy")))
 
-    asked = ids.cogroup(copies.groupBy("block")).applyInArrow(_with_ids(_send_prints(shards, length)), _MESSAGE)
+    asked = rows.cogroup(copies.groupBy("block")).applyInArrow(_with_ids(_send_prints(shards, length)), _MESSAGE)
     answers = asked.groupBy("shard").applyInArrow(_answer_prints(wide), _MESSAGE)
-    sent = ids.cogroup(answers.groupBy("block")).applyInArrow(_with_ids(_send_contexts(shards, length)), _MESSAGE)
-    spans = sent.groupBy("shard").applyInArrow(_answer_contexts(length), _MESSAGE)
-    return ids.cogroup(spans.groupBy("block")).applyInArrow(_remove, _RESULT)
+    sent = rows.cogroup(answers.groupBy("block")).applyInArrow(_with_ids(_send_contexts(shards, length, per)), _MESSAGE)
+    spans = sent.groupBy("shard").applyInArrow(_answer_contexts(length, per), _MESSAGE)
+    return rows.cogroup(spans.groupBy("block")).applyInArrow(_remove, _RESULT)
+
+
+def _named(own: DataFrame, digests: DataFrame) -> tuple[DataFrame, int]:
+    """The rows with a ``name`` that tells texts of one id apart and keeps the order of ids; names per id."""
+    texts = digests.distinct()
+    shared = texts.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    found = shared.agg(F.max("n")).first()[0]
+    if found is None:
+        return own.withColumn("name", F.col("doc_id")), 1
+    largest = own.agg(F.max(F.abs(F.col("doc_id").cast("decimal(20,0)")))).first()[0]
+    if (int(largest) + 1) * found >= 2**63:
+        raise ValueError(f"ids up to {largest} with {found} texts of one id do not fit in 63 bits")
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("digest")) - 1
+    numbers = texts.join(shared.select("doc_id"), "doc_id").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), order.alias("_number"))
+    same = (F.col("doc_id") == F.col("_id")) & (F.sha2("text", 256) == F.col("_digest"))
+    named = own.join(numbers.where("_number > 0"), same, "left")
+    name = F.col("doc_id") * found + F.coalesce("_number", F.lit(0))
+    return named.select("doc_id", "text", name.alias("name")), int(found)
 
 
 def _with_ids(function):
