@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import mixed, text_bytes
-from .graph import written
+from .graph import discard, written
 
 #: Bytes of text in a block before it is closed at the end of a piece.
 BLOCK_BYTES = 4 << 20
@@ -433,13 +433,17 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5) -> lis
     tables = [written(words.join(totals, "lang").select("lang", "n", "phrase", "id", "f", empty.alias("lefts"), empty.alias("rights")), "phrases-1")]
     left = blocks.select("block", "vocabulary", "size", "at")
     step = left.groupBy("block").cogroup(back.groupBy("of")).applyInArrow(_only_frequent, _STATE)
+    before = blocks
     for k in range(1, longest):
         states = written(step, f"occurrences-{k}")
+        discard(before)  # the relation of a length is all that the next one reads
+        before = states
         pairs, back = count_pairs(states, least, k)
         tables.append(written(_phrases(pairs, tables[-1], tables[0]), f"phrases-{k + 1}"))
         if tables[-1].isEmpty():
             break
         step = states.groupBy("block").cogroup(back.groupBy("of")).applyInArrow(_extend(k), _STATE)
+    discard(before)
     return tables
 
 

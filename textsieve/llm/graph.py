@@ -16,7 +16,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows read back from a table in the shared work folder, which cuts the lineage."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._work_path = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Remove the files of a frame that ``written`` gave; nothing may read it any more."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table._work_path)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
