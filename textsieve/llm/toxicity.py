@@ -32,6 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .graph import written
+
 #: Labels to learn from (which bounds the tokens of the model, too), words counted in a task before they are handed on.
 TRAIN_ROWS, COUNTED = 100_000, 200_000
 PREFIXES = (4, 5, 6)
@@ -250,7 +252,7 @@ def _logistic(bins: list[tuple[float, float, float]]) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", train_rows: int = TRAIN_ROWS) -> Model:
     """Learn the model; reads all documents once for counts and the training rows once more."""
     training = training_labels(labels, train_rows, doc_id)
-    counts = token_counts(docs, training, doc_id, text).where(F.col("n_toxic") > 0)
+    counts = written(token_counts(docs, training, doc_id, text).where(F.col("n_toxic") > 0), "toxic-tokens")
     totals = {r["token"]: r for r in counts.where(F.col("token").isin(" docs", " words")).collect()}
     if " docs" not in totals or not totals[" docs"]["n_clean"] or not totals[" docs"]["n_toxic"]:
         return Model()
