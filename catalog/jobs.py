@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textsieve.operators import curves, evaluate, model, scoring, sequences
+from textsieve.operators import curves, evaluate, model, profile_state, scoring, sequences
 from textsieve.operators.chat import render_turns
 from textsieve.operators.evaluate import evaluate_thresholds
 from textsieve.plans.corpus import build_corpus
@@ -12,6 +12,7 @@ from textsieve.plans.evaluation import write_run_report
 from textsieve.plans.long_documents import predict_long_documents
 from textsieve.plans.replies import extend_replies, latest_replies
 from textsieve.session import fresh_path
+from textsieve.sources import sinks
 from textsieve.sources.sinks import report_blocks
 
 from . import inputs as src
@@ -293,6 +294,57 @@ g AS (SELECT o, batch, count(*) * max(n_tokens) AS padded, sum(n_tokens) AS toke
 SELECT o AS "order", count(*) AS batches, sum(tokens)::BIGINT AS tokens, (sum(padded) - sum(tokens))::BIGINT AS padding,
   round((sum(padded) - sum(tokens)) / sum(padded), 6) AS padding_share FROM g GROUP BY o""")
 
+# --- profiles that merge ------------------------------------------------------------------------
+
+
+def _merged_state(spark, d):
+    """A state for each language, as they would arrive day by day, written and merged in two steps."""
+    docs = src.table(spark, d, "documents").withColumn("ratio", F.when(F.col("doc_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("n_chars") / 7))
+    path = sinks.write_parquet(profile_state.profile_state(docs, ["lang"]), fresh_path(spark, "states"))
+    states = spark.read.parquet(path).withColumn("half", F.col("lang").isin("de", "en")).drop("lang")
+    return docs, profile_state.merge_states(profile_state.merge_states(states, ["half"]).drop("half"))
+
+
+@query
+def profile_merged(spark, d):
+    """What is exact in a merged profile."""
+    _, state = _merged_state(spark, d)
+    tidy = profile_state.profile_of_state(state).where("stat IN ('rows', 'nulls', 'count', 'mean', 'std', 'min', 'max') OR column = 'source'")
+    return rounded(tidy.where("stat <> 'top'").select("column", "stat", "value"))
+
+
+put("profile_merged", f"""WITH docs AS (SELECT *, CASE WHEN doc_id % 7 > 0 THEN n_chars / 7 END AS ratio FROM documents),
+n AS ({" UNION ALL ".join(f"SELECT '{c}' AS col, {c}::DOUBLE AS v FROM docs" for c in ("doc_id", "n_chars", "ratio"))}),
+t AS (SELECT 'text' AS col, text AS v FROM docs UNION ALL SELECT 'source', source FROM docs),
+s AS (SELECT col, count(*) AS rows, count(*) - count(v) AS nulls, count(v) AS count, avg(v) AS mean, stddev_samp(v) AS std, min(v) AS min, max(v) AS max, NULL AS uniq, NULL AS freq
+  FROM n GROUP BY col UNION ALL
+  SELECT t.col, count(*), count(*) - count(v), count(v), NULL, NULL, NULL, NULL, CASE t.col WHEN 'source' THEN count(DISTINCT v) END,
+    CASE t.col WHEN 'source' THEN (SELECT max(c) FROM (SELECT count(*) AS c FROM docs GROUP BY source)) END FROM t GROUP BY t.col)
+SELECT * FROM (SELECT col AS "column", unnest(['rows', 'nulls', 'count', 'mean', 'std', 'min', 'max', 'unique', 'freq']) AS stat,
+  unnest([rows::DOUBLE, nulls::DOUBLE, count::DOUBLE, round(mean, 6), round(std, 6), round(min, 6), round(max, 6), uniq::DOUBLE, freq::DOUBLE]) AS value
+FROM s) WHERE value IS NOT NULL""")
+
+
+@query
+def profile_merged_error(spark, d):
+    """Whether the sketches of a merged profile keep their stated errors: ranks of the quartiles, distinct texts."""
+    docs, state = _merged_state(spark, d)
+    tidy = profile_state.profile_of_state(state)
+
+    def found(column: str, stat: str):
+        return tidy.where((F.col("column") == column) & (F.col("stat") == stat)).select("value").scalar()
+
+    facts = {}
+    for q, stat in ((0.25, "25%"), (0.5, "50%"), (0.75, "75%")):
+        below, upto = (F.avg(hit.cast("double")) for hit in (F.col("n_chars") < found("n_chars", stat), F.col("n_chars") <= found("n_chars", stat)))
+        facts[f"rank_of_{stat[:2]}"] = (below - profile_state.RANK_ERROR <= q) & (q <= upto + profile_state.RANK_ERROR)
+    off = F.abs(found("text", "unique") / F.count_distinct("text") - 1)
+    facts["distinct_texts"] = off < profile_state.DISTINCT_ERROR
+    return docs.agg(*[fact.alias(name) for name, fact in facts.items()])
+
+
+put("profile_merged_error", "SELECT true AS rank_of_25, true AS rank_of_50, true AS rank_of_75, true AS distinct_texts")
+
 # --- what any fitted model must hold -----------------------------------------------------------
 
 
