@@ -8,7 +8,7 @@ from textsieve.operators import curves, evaluate, model, profile_state, scoring,
 from textsieve.operators.chat import render_turns
 from textsieve.operators.evaluate import evaluate_thresholds
 from textsieve.plans.corpus import build_corpus
-from textsieve.plans.evaluation import write_run_report
+from textsieve.plans.evaluation import classify_by_reply, write_run_report
 from textsieve.plans.long_documents import predict_long_documents
 from textsieve.plans.replies import extend_replies, latest_replies
 from textsieve.session import fresh_path
@@ -154,6 +154,19 @@ def logprob_evaluation(spark, d):
 put("logprob_evaluation", f"WITH {GRID_ROWS.replace(PRED, REPLIED)} {grid('dataset')} UNION ALL {grid('combined')}")
 
 
+@query
+def reply_results(spark, d):
+    """Evaluated replies that name their documents, read back from the result file."""
+    path = fresh_path(spark, "results")
+    classify_by_reply(src.labelled(spark, d).select("doc_id", "text", "label"), _length_replier, path, key="doc_id")
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{path}/results_full")
+    return rows.select(F.col("index").cast("bigint").alias("index"), "label", "response", "extracted", F.col("is_correct").cast("boolean").alias("is_correct"))
+
+
+put("reply_results", f"""WITH {ANSWERED}, e AS (SELECT doc_id AS index, CASE quality WHEN 1 THEN 'yes' ELSE 'no' END AS label, response,
+    CASE WHEN response = 'Yes' THEN 'yes' ELSE 'no' END AS extracted FROM a JOIN labels USING (doc_id))
+SELECT *, label = extracted AS is_correct FROM e""")
+
 # --- reports of a run ----------------------------------------------------------------------
 
 

@@ -117,7 +117,7 @@ def length_stats(df: DataFrame, max_tokens: int | None = None, by: Sequence[str]
     return found.select(*by, *stats, *[interpolate(name) for name in medians])
 
 
-def _join_by(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
+def join_by(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
     """Left join of per-group results, on groups or, without groups, of single rows."""
     if not by:
         return left.select("*", *[right.select(c).scalar().alias(c) for c in right.columns])

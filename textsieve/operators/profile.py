@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.text import pct
-from .prep import _join_by
+from .prep import join_by
 from .ranks import quantiles_of_histogram
 
 _SHORT = 256  # texts up to this length travel as themselves, longer ones as their hash
@@ -17,7 +17,7 @@ def label_distribution(df: DataFrame, by: Sequence[str] = (), label: str = "labe
     """Rows and percent per label, overall or within each ``by`` group."""
     counts = df.groupBy(*by, label).agg(F.count("*").alias("count"))
     totals = counts.groupBy(*by).agg(F.sum("count").alias("_total"))
-    joined = _join_by(counts, totals, by)
+    joined = join_by(counts, totals, by)
     return joined.withColumn("pct", pct(F.col("count"), F.col("_total"))).drop("_total")
 
 

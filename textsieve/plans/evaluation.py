@@ -112,16 +112,21 @@ def classify_by_reply(
     path: str,
     text: str = "text",
     template: str | None = None,
+    key: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Ask for a yes/no reply per document; the evaluated rows and their summary.
 
+    With ``key`` every result row names its document, as ``index``.
+
     A missing text column is an error; without labels the replies are only counted.
     Rows are written once, then as CSV with short and with full texts.
     """
     require_columns(df, [text])
     label = "label" if require_columns(df, ["label"], on_missing="skip") is not None else None
     full = df[text]
+    index = ["index"] if key else []
     rows = df.select(
+        *([df[key].alias("index")] if key else []),
         preview(full).alias("text"),
         full.alias("text_full"),
         *([df["label"]] if label else []),
@@ -130,6 +135,6 @@ def classify_by_reply(
     replied = reply_documents(rows, replier_factory, "prompt").drop("prompt", "top_logprobs", "ai_probability")
     judged = evaluate_replies(replied, label=label).drop("label").withColumnRenamed("expected", "label")
     cached = cache_predictions(judged, f"{path}/replies")
-    write_csv(cached, f"{path}/results", ["text", "label", "response", "extracted", "is_correct"])
-    write_csv(cached, f"{path}/results_full", ["text", "text_full", "label", "response", "extracted", "is_correct"])
+    write_csv(cached, f"{path}/results", [*index, "text", "label", "response", "extracted", "is_correct"])
+    write_csv(cached, f"{path}/results_full", [*index, "text", "text_full", "label", "response", "extracted", "is_correct"])
     return cached, reply_summary(cached.withColumnRenamed("label", "expected"))

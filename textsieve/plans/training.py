@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from ..operators.curves import optimal_threshold, roc_auc
 from ..operators.evaluate import class_metrics, classification_report, confusion_matrix, evaluate_thresholds
@@ -22,7 +22,7 @@ def run_pipeline(
     label: str = "label",
     **training,
 ) -> dict[str, DataFrame]:
-    """Fit on ``train``, search the threshold on ``val``, save both below ``path``, measure ``test``.
+    """Fit on ``train``, search the threshold on ``val``, save both below ``path``, measure both at that threshold.
 
     Predictions are written once and read back, so no metric scores the texts again.
     """
@@ -35,12 +35,13 @@ def run_pipeline(
     threshold = optimal_threshold(cached["val"], target_recall)
     save_model(model, threshold, path)
     saved = train.sparkSession.read.schema("threshold double").json(f"{path}/optimal_threshold")
-    at = saved.select("threshold").scalar()
-    final = cached["test"].withColumn("predicted_label", (cached["test"]["ai_probability"] >= at).cast("int"))
-    cm = confusion_matrix(final)
+    # without positives on validation there is no threshold to find; the usual one stands in
+    at = F.coalesce(saved.select("threshold").scalar(), F.lit(0.5))
+    decided = {name: t.withColumn("predicted_label", (t["ai_probability"] >= at).cast("int")) for name, t in cached.items()}
+    cm = confusion_matrix(decided["test"])
     return {
         "threshold": threshold,
-        "validation": class_metrics(confusion_matrix(cached["val"])),
+        "validation": class_metrics(confusion_matrix(decided["val"])),
         "test": class_metrics(cm),
         "report": classification_report(cm),
         "grid": evaluate_thresholds(cached["test"], by=None),
