@@ -117,6 +117,8 @@ def _shard_and_print(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.nd
 
 
 def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    if not len(shard):
+        return
     by = np.argsort(shard, kind="stable")
     names, starts = np.unique(shard[by], return_index=True)
     for name, start, end in zip(names.tolist(), starts.tolist(), [*starts[1:].tolist(), len(by)], strict=True):
@@ -295,34 +297,49 @@ class EnhancedSuffixArray:
     def __init__(self, text: np.ndarray, size: np.ndarray, length: int):
         width = text.shape[1]
         n = np.maximum(size - length + 1, 0)
-        self.context = np.repeat(np.arange(len(size)), n)
-        self.offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        left = size[self.context] - self.offset
-        padded = np.concatenate([text, np.zeros((len(text), width), np.uint8)], axis=1)
-        order = np.lexsort((self.offset, *self._keys(padded, self.context, self.offset, width)[::-1])) if len(left) else np.empty(0, int)
-        self.context, self.offset, self.left = self.context[order], self.offset[order], left[order]
-        same = np.zeros(len(order), np.int64)
-        step = 1 << 14
-        for i in range(1, len(order), step):
-            j = min(i + step, len(order))
-            a = padded[self.context[i - 1 : j, None], self.offset[i - 1 : j, None] + np.arange(width)]
-            differ = a[1:] != a[:-1]
-            same[i:j] = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
-        self.common = same
-        if len(same):
-            self.common[1:] = np.minimum(same[1:], np.minimum(self.left[1:], self.left[:-1]))
+        context = np.repeat(np.arange(len(size)), n)
+        offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        # a suffix whose first bytes no other one has stands in no interval of that length
+        stays = self._repeated(text, context, offset, length)
+        self.context, self.offset = context[stays], offset[stays]
+        self.left = size[self.context] - self.offset
+        keys = self._keys(text, self.context, self.offset)
+        order = np.lexsort((self.offset, *keys[::-1])) if len(self.left) else np.empty(0, int)
+        self.context, self.offset, self.left = self.context[order], self.offset[order], self.left[order]
+        self.common = np.zeros(len(order), np.int64)
+        if len(order):
+            same = np.full(len(order) - 1, width, np.int64)
+            for i in range(len(keys) - 1, -1, -1):  # the first key that differs is the last to be written
+                differ = keys[i][order[1:]] ^ keys[i][order[:-1]]
+                alike = sum((differ < _U64(1 << (56 - 8 * j))).astype(np.int64) for j in range(7))
+                same = np.where(differ != 0, np.minimum(8 * i + alike, width), same)
+            self.common[1:] = np.minimum(same, np.minimum(self.left[1:], self.left[:-1]))
         before = text[self.context, np.maximum(self.offset - 1, 0)].astype(np.int64)
         self.before = np.where(self.offset > 0, before, -1)  # a context's front differs from everything
 
     @staticmethod
-    def _keys(padded: np.ndarray, context: np.ndarray, offset: np.ndarray, width: int) -> list[np.ndarray]:
-        keys = []
-        for i in range(0, width, 8):
-            key = np.zeros(len(context), _U64)
-            for j in range(i, min(i + 8, width)):
-                key = (key << _U64(8)) | padded[context, offset + j].astype(_U64)
-            keys.append(key << _U64(8 * max(0, i + 8 - width)))
-        return keys
+    def _repeated(text: np.ndarray, context: np.ndarray, offset: np.ndarray, length: int) -> np.ndarray:
+        """Suffixes whose first ``length`` bytes another one has, by hash: a few too many at most."""
+        base = _U64(0x9E3779B97F4A7C15)
+        upto = np.zeros((len(text), text.shape[1] + 1), _U64)
+        for j in range(text.shape[1]):
+            upto[:, j + 1] = upto[:, j] * base + text[:, j].astype(_U64) + _U64(1)
+        power = _U64(pow(int(base), length, 1 << 64))
+        hashes = upto[context, offset + length] - upto[context, offset] * power
+        order = np.argsort(hashes, kind="stable")
+        alike = hashes[order][1:] == hashes[order][:-1]
+        repeated = np.zeros(len(hashes), bool)
+        repeated[order[1:][alike]] = repeated[order[:-1][alike]] = True
+        return repeated
+
+    @staticmethod
+    def _keys(text: np.ndarray, context: np.ndarray, offset: np.ndarray) -> list[np.ndarray]:
+        """The suffixes as big-endian words of 8 bytes, zero filled."""
+        width = text.shape[1]
+        words = np.zeros((len(text), 2 * width + 8), _U64)
+        for j in range(min(8, width)):
+            words[:, : width - j] |= text[:, j:].astype(_U64) << _U64(56 - 8 * j)
+        return [words[context, offset + i] for i in range(0, width, 8)]
 
     def intervals(self, length: int) -> Iterator[tuple[int, int, int, bool]]:
         """Nodes (common, first, last, diverse) of the common-prefix tree, children before parents."""
