@@ -166,7 +166,7 @@ def test_run_document(spark, tmp_path):
     assert json.loads(run_document(nothing).first()["value"]) == {"results": {}}
 
 
-def test_token_counts_without_matches(spark):
+def test_token_counts(spark):
     texts = ["", " ", "a", " a  b\n", "\t\x0b a.b, c!! \r\n ", "é_1 ²x y", "word " * 5000, None]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     for name, pattern in (("whitespace", r"\S+"), ("word", r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]")):
