@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,6 +36,34 @@ def test_corpus_scan(spark, tmp_path):
         assert readers.read_corpus(spark, str(tmp_path / "missing")) is None
 
 
+def test_a_folder_that_spark_has_written_counts_as_one_file(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(6)], "doc_id int, text string")
+    for name in ("docs.parquet", "docs +[1] é%20.parquet", "other.parquet", "_docs.parquet"):
+        docs.repartition(3).write.parquet(str(tmp_path / name))
+    docs.withColumn("lang", F.col("doc_id") % 2).write.partitionBy("lang").parquet(str(tmp_path / "docs by lang.parquet"))
+    docs.limit(2).toPandas().to_parquet(tmp_path / "docs.one.parquet")
+    (tmp_path / "docs none.parquet").mkdir()
+    got = readers.read_corpus(spark, str(tmp_path), "docs*.parquet")
+    counts = got.groupBy("file_name").agg(F.count("text"), F.sum("doc_id"), F.sum("lang")).collect()
+    assert sorted(map(tuple, counts)) == [
+        ("docs +[1] é%20.parquet", 6, 15, None), ("docs by lang.parquet", 6, 15, 3),
+        ("docs.one.parquet", 2, 1, None), ("docs.parquet", 6, 15, None),
+    ]
+    read = readers.read_corpus(spark, str(tmp_path), "other.parquet", schema="text string")
+    assert read.columns == ["text", "file_name"] and {r["file_name"] for r in read.collect()} == {"other.parquet"}
+
+
+def test_folders_files_and_partitions_are_read_together(spark, tmp_path):
+    one = spark.createDataFrame([("a",)], "text string")
+    one.write.parquet(str(tmp_path / "lang=de"))
+    one.write.parquet(str(tmp_path / "day.parquet"))
+    got = readers.read_corpus(spark, str(tmp_path))
+    assert sorted((r["lang"] or "", r["file_name"] == "day.parquet") for r in got.collect()) == [("", True), ("de", False)]
+    here = os.path.relpath(tmp_path)  # from the working folder, with a part that goes up
+    for path in (here, f"{tmp_path}//", f"file://{tmp_path}/", f"{tmp_path}/day.parquet/.."):
+        assert readers.read_corpus(spark, path, "day*.parquet").collect() == [("a", "day.parquet")]
+
+
 def test_a_broken_file_does_not_stop_the_others(spark, tmp_path):
     spark.createDataFrame([("fine",)], "text string").toPandas().to_parquet(tmp_path / "good.parquet")
     (tmp_path / "bad.parquet").write_bytes(b"not parquet at all, but long enough to be tried")

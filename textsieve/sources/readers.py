@@ -2,18 +2,61 @@
 
 from __future__ import annotations
 
+import os
+import re
 import warnings
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession, functions as F, types as T
 
 from ..functions.text import py_strip
+from .files import _aligned
 
 SPLIT_SCHEMA = T.StructType(
     [T.StructField("text", T.StringType()), T.StructField("label", T.IntegerType())]
 )
 
 
+def _literal(path: str) -> str:
+    """A path whose signs are not read as a pattern."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+
+
+def _fitting(spark: SparkSession, path: str, glob: str) -> tuple[list[str], list[str]]:
+    """Files right below ``path`` whose names fit, and folders there whose names fit and that hold files."""
+    try:
+        listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{path.rstrip('/')}/{glob}")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return [], []
+    uris = [unquote(uri) for uri in listing.inputFiles()]
+    inside = re.sub(r"\A[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", path)
+    if inside == path and path[:1] != "/":  # from the working folder, which is /user/<name> in other stores
+        inside = os.path.abspath(path) if uris and uris[0].startswith("file:") else f"/user/name/{path}"
+    depth = len(os.path.normpath(inside).strip("/").split("/")) if inside.strip("/") else 0
+    files, folders = set(), set()
+    for uri in uris:
+        root, inside = re.fullmatch(r"((?:[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?)?/*)(.*)", uri, re.DOTALL).groups()
+        parts = inside.split("/")
+        entry = root + "/".join(parts[: depth + 1])
+        if parts[depth][0] not in "_." and "=" not in parts[depth]:  # hidden ones, and partitions
+            (folders if len(parts) > depth + 1 else files).add(entry)
+    return sorted(files), sorted(folders)
+
+
+def _scanned(reader: DataFrameReader, *paths: str) -> DataFrame | None:
+    """The Parquet files of ``paths``; None when there are none with a readable schema."""
+    try:
+        return reader.parquet(*paths)
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
 def read_corpus(
     spark: SparkSession,
     path: str,
@@ -23,21 +66,33 @@ def read_corpus(
 ) -> DataFrame | None:
     """All Parquet files of a folder plus a ``file_name`` column; None with a warning when there are none.
 
+    A folder below it whose name fits, such as one that Spark has written, counts as one file of that name.
+    Each is scanned with a schema of its own and put together by column name.
+
     ``skip_bad_files`` lets the other files through when one is unreadable. Reading
     the schema itself needs a good first file, so pass ``schema`` for a folder that
     may hold broken ones.
     """
-    reader = spark.read.option("pathGlobFilter", glob).option("ignoreCorruptFiles", str(skip_bad_files).lower())
-    if schema is not None:
-        reader = reader.schema(schema)
-    try:
-        corpus = reader.parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
+
+    def reader() -> DataFrameReader:
+        plain = spark.read.option("ignoreCorruptFiles", str(skip_bad_files).lower())
+        return plain if schema is None else plain.schema(schema)
+
+    files, folders = _fitting(spark, path, glob)
+    own = F.col("_metadata.file_name")
+    if folders:
+        partitions = reader().option("pathGlobFilter", glob).option("basePath", path)
+        found = [(_scanned(partitions, f"{path.rstrip('/')}/*=*"), own)]
+        if files:
+            found.append((_scanned(reader(), *map(_literal, files)), own))
+        found += [(_scanned(reader(), _literal(f)), F.lit(f.rsplit("/", 1)[-1])) for f in folders]
+    else:
+        found = [(_scanned(reader().option("pathGlobFilter", glob), path), own)]
+    frames = [frame.select("*", name.alias("file_name")) for frame, name in found if frame is not None]
+    if not frames:
         warnings.warn(f"no files match {glob} in {path}", stacklevel=2)
         return None
-    return corpus.select("*", F.col("_metadata.file_name").alias("file_name"))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), _aligned(frames))
 
 
 def read_csv_split(spark: SparkSession, path: str, schema: T.StructType = SPLIT_SCHEMA) -> DataFrame:
