@@ -56,6 +56,15 @@ def test_states_of_little(spark):
     assert got["x", "rows"] == 3 and got["x", "nulls"] == 3 and ("x", "50%") not in got
 
 
+def test_a_column_of_many_values_has_no_frequent_one(spark):
+    df = spark.range(60_000).select(F.col("id").alias("n"), F.concat(F.lit("s"), F.col("id") % 3).alias("s"))
+    parts = profile_state(df.withColumn("part", F.col("n") % 4), ["part"]).drop("part")
+    for state in (profile_state(df), merge_states(parts)):
+        got = tidy(profile_of_state(state))
+        assert ("n", "top") not in got and ("n", "freq") not in got and got["n", "count"] == 60_000
+        assert (got["n", "min"], got["n", "max"], got["s", "freq"]) == (0, 59_999, 20_000)
+
+
 def test_nan_is_missing_in_the_exact_profile_too(spark):
     df = spark.createDataFrame([(1.0,), (float("nan"),), (None,), (3.0,)], "x double")
     got = tidy(profile(df))

@@ -8,6 +8,7 @@ states of all columns.
 Counts, means, deviations and extremes are exact up to the rounding of doubles. A quantile's rank is off by less
 than ``RANK_ERROR`` and a distinct count by less than ``DISTINCT_ERROR`` of its value, with high probability each.
 Frequent values are exact while a column has fewer different values than about three quarters of ``TRACKED``.
+With more, a sketch names only values above its error; a column without one has no ``top`` and no ``freq``.
 NaN is a missing value, as null is. Texts above ``SHORT`` characters stand for themselves as a SHA-256.
 """
 
@@ -113,7 +114,7 @@ def profile_of_state(states: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     quantile = {
         stat: F.when(known & number, F.kll_sketch_get_quantile_double("quantiles", F.lit(q))) for stat, q in (("25%", 0.25), ("50%", 0.5), ("75%", 0.75))
     }
-    top = F.expr("CASE WHEN known > 0 THEN approx_top_k_estimate(frequent, 1)[0] END")
+    top = F.expr("CASE WHEN known > 0 THEN get(approx_top_k_estimate(frequent, 1), 0) END")
     rows = states.withColumn("_top", top)
     values = {
         "rows": F.col("rows"),
