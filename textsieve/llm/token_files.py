@@ -20,12 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .arrays import kept
-from .token_counts import REMEMBERED, byte_batches
+from .arrays import kept, text_bytes
+from .token_counts import byte_batches
 
 #: Ids in a block before it is closed after the current document.
 BLOCK_IDS = 1 << 18
@@ -45,9 +46,11 @@ _CLASS[48:58] = _DIGIT
 _CLASS[[c for c in range(65, 123) if chr(c).isalpha()]] = _LETTER
 _CLASS[0xC3:0xC9] = _LETTER  # first bytes of U+00C0 to U+023F
 #: Characters of text that are encoded together.
-GROUP_CHARS = 4 << 20
+GROUP_CHARS = 8 << 20
 #: Words of letters that are joined into one text to be encoded.
-JOINED = 4_096
+JOINED = 1_024
+#: Units that a worker remembers with their ids, some 40 bytes each.
+REMEMBERED = 1 << 20
 
 
 def _units(data: np.ndarray) -> np.ndarray:
@@ -114,23 +117,41 @@ def unpack(packed: bytes, width: int, n: int, start: int = 0) -> np.ndarray:
     return out
 
 
-class Remembered(dict):
-    """What was met lately: the current generation, filled from the one before when asked for."""
+def _texts(offsets: np.ndarray, letters: np.ndarray) -> pa.LargeStringArray:
+    return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(letters))
 
-    def __init__(self, size: int = REMEMBERED):
-        super().__init__()
-        self._size, self._old = size, {}
 
-    def missing(self, keys: set[str]) -> list[str]:
-        keys -= self.keys()
-        found = {k: self._old[k] for k in keys & self._old.keys()}
-        self.update(found)
-        return list(keys - found.keys())
+class Remembered:
+    """Units met lately with their ids, numbered: texts in one Arrow array, ids in one numpy array."""
 
-    def age(self) -> None:
-        if len(self) > self._size:
-            self._old = dict(self)
-            self.clear()
+    def __init__(self, dtype: np.dtype, size: int = REMEMBERED):
+        self._limit = size
+        self._units = pa.array([""], pa.large_string())  # unit 0, no ids
+        self.size, self.ids = np.zeros(1, np.int64), np.empty(0, dtype)
+        self._lately = np.ones(1, bool)  # met since units were last forgotten
+
+    def numbers(self, units: pa.LargeStringArray) -> tuple[np.ndarray, pa.LargeStringArray]:
+        """The number of each unit, and those units that were not met, numbered on from the others."""
+        coded = pa.concat_arrays([self._units, units]).dictionary_encode()
+        n = len(self._units)
+        number = coded.indices.to_numpy()[n:]
+        self._units = coded.dictionary
+        self._lately = np.append(self._lately, np.ones(len(self._units) - n, bool))
+        self._lately[number] = True
+        return number, self._units[n:]
+
+    def add(self, size: np.ndarray, ids: np.ndarray) -> None:
+        """The numbers of ids and the ids of the units not met."""
+        self.size, self.ids = np.append(self.size, size), np.append(self.ids, ids)
+
+    def forget(self) -> None:
+        """Above the limit, only units met since the last time stay."""
+        if len(self._units) <= self._limit:
+            return
+        self._lately[0] = True
+        self.ids = self.ids[np.repeat(self._lately, self.size)]
+        self.size, self._units = self.size[self._lately], self._units.filter(pa.array(self._lately))
+        self._lately = np.zeros(len(self.size), bool)
 
 
 class WordEncoder:
@@ -157,32 +178,44 @@ class WordEncoder:
         self._leads = np.zeros(self.vocabulary, bool)  # tokens that start with a space
         for token, i in self._tokenizer.get_vocab().items():
             self._leads[i] = token.startswith("Ġ")
-        self._known = Remembered()
+        self._known = Remembered(self.dtype)
 
     def _encode(self, texts: list[str]) -> Iterator[bytes]:
         for batch in byte_batches(texts):
             for encoding in self._tokenizer.encode_batch_fast(batch, add_special_tokens=False):
                 yield np.asarray(encoding.ids, self.dtype).tobytes()
 
-    def _encode_spaced(self, words: list[str]) -> Iterator[bytes]:
+    def _encode_spaced(self, words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
         """Words of letters with a space before them, many in one text; a token that starts with a space starts a word."""
+        sizes, parts = [np.empty(0, np.int64)], [np.empty(0, self.dtype)]
         for i in range(0, len(words), JOINED):
             batch = words[i : i + JOINED]
-            ids = np.asarray(self._tokenizer.encode_batch_fast(["".join(batch)], add_special_tokens=False)[0].ids, np.int64)
+            data, _ = text_bytes(batch)
+            ids = np.asarray(self._tokenizer.encode_batch_fast([data.tobytes().decode()], add_special_tokens=False)[0].ids, np.int64)
             starts = np.flatnonzero(self._leads[ids])
-            if len(starts) != len(batch):
-                yield from self._encode(batch)
-                continue
-            raw, size = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
-            ends = [*(starts[1:] * size).tolist(), len(raw)]
-            yield from (raw[a:b] for a, b in zip((starts * size).tolist(), ends, strict=True))
-
-    def _learn(self, units: list[str]) -> None:
-        spaced = [u for u in units if u[0] == " " and u[1:].isalpha()]
-        self._known.update(zip(spaced, self._encode_spaced(spaced), strict=True))
-        if len(spaced) < len(units):
-            other = [u for u in units if not (u[0] == " " and u[1:].isalpha())]
-            self._known.update(zip(other, self._encode(other), strict=True))
+            if len(starts) == len(batch):
+                sizes.append(np.diff(starts, append=len(ids)))
+                parts.append(ids.astype(self.dtype))
+            else:
+                found = [np.frombuffer(f, self.dtype) for f in self._encode(batch.to_pylist())]
+                sizes.append(np.asarray([len(f) for f in found], np.int64))
+                parts += found
+        return np.concatenate(sizes), np.concatenate(parts)
+
+    def _learn(self, units: pa.LargeStringArray) -> None:
+        if not len(units):
+            return
+        spaced = pc.match_substring_regex(units, r"\A \pL+\z").to_numpy(zero_copy_only=False)
+        size = np.zeros(len(units), np.int64)
+        size[spaced], ids = self._encode_spaced(units.filter(pa.array(spaced)))
+        if not spaced.all():
+            other = [np.frombuffer(f, self.dtype) for f in self._encode(units.filter(pa.array(~spaced)).to_pylist())]
+            size[~spaced] = [len(f) for f in other]
+            own = np.repeat(spaced, size)
+            every = np.empty(len(own), self.dtype)
+            every[own], every[~own] = ids, np.concatenate(other)
+            ids = every
+        self._known.add(size, ids)
 
     def _encode_plain(self, texts: list[str]) -> Iterator[np.ndarray]:
         data = np.frombuffer(("\0".join(texts) + "\0").encode(), np.uint8)
@@ -190,18 +223,14 @@ class WordEncoder:
         ends_text = data[starts] == 0
         # the zero bytes are left out: units of no bytes
         offsets = np.append(starts - np.cumsum(ends_text) + ends_text, len(data) - len(texts))
-        letters = data[data != 0]
-        coded = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(letters)).dictionary_encode()
-        number, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
-        self._known.age()
-        self._known[""] = b""
-        self._learn(self._known.missing(set(words)))
-        found = [self._known[w] for w in words]
-        size = np.array([len(f) for f in found], np.int64) // self.dtype.itemsize
-        flat, first = np.frombuffer(b"".join(found), self.dtype), np.cumsum(size) - size
-        counts = size[number]
+        known = self._known
+        known.forget()
+        number, new = known.numbers(_texts(offsets, data[data != 0]))
+        self._learn(new)
+        first = np.cumsum(known.size) - known.size
+        counts = known.size[number]
         upto = np.cumsum(counts)
-        ids = flat[np.repeat(first[number] - (upto - counts), counts) + np.arange(upto[-1])]
+        ids = known.ids[np.repeat(first[number] - (upto - counts), counts) + np.arange(upto[-1])]
         yield from np.split(ids, upto[ends_text][:-1])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
