@@ -146,6 +146,25 @@ def test_samples_against_all_segmentations(vocabulary, text, words):
         assert p < 0.01 or abs(weighted - p) < 0.02
 
 
+def test_samples_do_not_depend_on_kept_words_or_batches(vocabulary, monkeypatch):
+    rng = np.random.default_rng(5)
+    words = ["ab", "Über", "a\u0301", "中文", "\0", "x" * 30, "the", "", "don't", "😀"]
+    texts = ["", *(" ".join(rng.choice(words, rng.integers(1, 40))) + " " * int(rng.integers(3)) for _ in range(60))]
+    keys = mixed(np.arange(len(texts)).astype(np.uint64))
+
+    def sampled(kept_chars, batch_chars):
+        monkeypatch.setattr(sampling, "KEPT_CHARS", kept_chars)
+        monkeypatch.setattr(sampling, "BATCH_CHARS", batch_chars)
+        parts = [sampling.segmentations(texts[i : i + 9], keys[i : i + 9], vocabulary, 3) for i in range(0, len(texts), 9)]
+        return [[(s[3].tolist(), round(s[0], 6), round(s[1], 6)) for s in own] for part in parts for own in part]
+
+    vocabulary.forget()
+    whole = sampled(1 << 20, 1 << 20)
+    assert len(vocabulary.numbers) == len(vocabulary.lattice.size) > 5
+    assert sampled(0, 1 << 20) == sampled(0, 50) == sampled(1 << 20, 1) == whole
+    assert all(vocabulary.decode(np.asarray(ids)) == text for text, own in zip(texts, whole, strict=True) for ids, _, _ in own)
+
+
 def test_samples_of_hard_texts(docs):
     got = sampling.sample_segmentations(docs, PIECES, k=2).collect()
     by = {}

@@ -10,8 +10,8 @@ a sample of k distinct segmentations without replacement, in order of their pert
 inclusion score of one is the chance that its value exceeds the k+1-st, 1 - exp(-exp(log p - kappa)).
 
 Pieces never hold a space sign behind another character, so texts fall into space-led words whose
-lattices are built once per batch for equal words, and all documents of a batch take their next
-step together. Noise is a hash of the row key, the round, the word, the place and the edge, so a
+lattices are built once for equal words and kept by the worker, and all documents of a batch take their
+next step together. Noise is a hash of the row key, the round, the word, the place and the edge, so a
 row's samples do not depend on its partition.
 
 Piece probabilities follow Zipf's law in the model's merge order; the model has no others.
@@ -26,17 +26,22 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import kept, mixed
+from .arrays import kept, mixed, text_bytes
 from .token_counts import space_words
 
-#: Characters of text whose words share a lattice, offset of Zipf's law, log-odds of a byte piece.
-BATCH_CHARS, ZIPF, BYTE_WEIGHT = 1 << 20, 10.0, 1e-6
+#: Characters of text whose new words get their lattices at once, and of text that is searched together.
+GROUP_CHARS, BATCH_CHARS = 1 << 20, 1 << 18
+#: Characters of words whose lattices a worker keeps for its next texts, some 40 bytes each.
+KEPT_CHARS = 1 << 21
+#: Offset of Zipf's law, log-odds of a byte piece.
+ZIPF, BYTE_WEIGHT = 10.0, 1e-6
 _U64 = np.uint64
 _SPACE = "▁"
 _M = _U64(0x9E3779B97F4A7C15 | 1)
@@ -67,6 +72,8 @@ class Vocabulary:
                 value = int(self.pieces[i][3:-1], 16)
                 self.bytes[value] = i
                 self.raw[i] = bytes([value])
+        self.spelled = pa.array(self.raw, pa.large_binary())
+        self.forget()
         self.longest = max(len(self.pieces[i]) for i in normal)
         # Per length the sorted hashes of all beginnings of pieces, and the piece that one is, or -1.
         known: list[dict[int, int]] = [{} for _ in range(self.longest + 1)]
@@ -81,6 +88,23 @@ class Vocabulary:
             hashes = np.asarray(sorted(table), _U64)
             self.known.append((hashes, np.asarray([table[h] for h in hashes.tolist()], np.int64)))
 
+    def forget(self) -> None:
+        """Words with lattices, and their lattices."""
+        self.numbers, self.lattice = _Numbers(), None
+
+    def lattice_of(self, numbers: dict[str, int]) -> Lattice:
+        """The lattice of all ``numbers``, whose last words may be new to it."""
+        known = 0 if self.lattice is None else len(self.lattice.size)
+        if known < len(numbers) or self.lattice is None:
+            signed = [
+                _SPACE + u if " " not in u and u[:1] != "\0"
+                else (u[1:] if u[:1] == "\0" and u.strip("\0 ") == "" and len(u) > 1 else " " + u).replace(" ", _SPACE)
+                for u in islice(numbers, known, None)
+            ]
+            new = Lattice(signed, self)
+            self.lattice = new if self.lattice is None else self.lattice.followed_by(new)
+        return self.lattice
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: pieces joined, the space before the first taken off."""
         text = b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -97,19 +121,20 @@ class Lattice:
         place = np.arange(len(chars))
         left = np.repeat(self.first + self.size, self.size) - place
         starts, lengths, pieces = [], [], []
-        alive, h = place, np.zeros(len(chars), _U64)
+        alive, h, room, code = place, np.zeros(len(chars), _U64), left, chars.astype(_U64) + _U64(1)
         for n in range(1, v.longest + 1):
-            alive = alive[left[alive] >= n]
+            fits = np.flatnonzero(room >= n)
+            alive, h, room = alive[fits], h[fits], room[fits]
             if not len(alive):
                 break
-            h[alive] = h[alive] * _M + chars[alive + n - 1].astype(_U64) + _U64(1)
+            h = h * _M + code[alive + (n - 1)]
             hashes, ids = v.known[n]
-            at = np.minimum(np.searchsorted(hashes, h[alive]), len(hashes) - 1)
-            begins = hashes[at] == h[alive]
-            alive, piece = alive[begins], ids[at[begins]]
+            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            begins = np.flatnonzero(hashes[at] == h)
+            alive, h, room, piece = alive[begins], h[begins], room[begins], ids[at[begins]]
             whole = piece >= 0
             starts.append(alive[whole])
-            lengths.append(np.full(whole.sum(), n))
+            lengths.append(np.full(len(starts[-1]), n))
             pieces.append(piece[whole])
         single = np.zeros(len(chars), bool)
         if starts:
@@ -121,27 +146,37 @@ class Lattice:
         start, length, piece = (np.concatenate(x) for x in (starts, lengths, pieces))
         by = np.argsort(start, kind="stable")  # a merge of sorted runs
         self.length, self.piece, start = length[by], piece[by], start[by]
-        code = -1 - self.piece
-        n_bytes = 1 + (code >= 0x80).astype(int) + (code >= 0x800) + (code >= 0x10000)
-        weight = np.where(self.piece < 0, n_bytes * np.log(BYTE_WEIGHT), v.log_p[np.maximum(self.piece, 0)])
+        weight = v.log_p[np.maximum(self.piece, 0)]
+        spelled = np.flatnonzero(self.piece < 0)
+        sign = -1 - self.piece[spelled]
+        weight[spelled] = (1 + (sign >= 0x80).astype(int) + (sign >= 0x800) + (sign >= 0x10000)) * np.log(BYTE_WEIGHT)
         self.edges = np.searchsorted(start, np.arange(len(chars) + 1))
-        self.left = left
-        # Log-sums to the right, from the words' ends to their fronts.
+        # Log-sums to the right, from the words' ends to their fronts; the last one stands for all ends.
         ahead = np.zeros(len(chars) + 1)
         own_left = left[start]
+        target = start + self.length
+        target[self.length == own_left] = len(chars)
         small = own_left.astype(np.uint16) if int(own_left.max(initial=0)) < 1 << 16 else own_left
         order = np.argsort(small, kind="stable")
-        cuts = np.searchsorted(own_left[order], np.arange(1, int(own_left.max(initial=0)) + 2))
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            e = order[a:b]
-            if not len(e):
+        cuts = np.cumsum(np.bincount(own_left)).tolist()
+        from_place, to_place, ordered = start[order], target[order], weight[order]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
                 continue
-            at = start[e]
-            value = weight[e] + np.where(self.length[e] == own_left[e], 0.0, ahead[at + self.length[e]])
+            at = from_place[a:b]
             new = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-            ahead[at[new]] = np.logaddexp.reduceat(value, new)
-        rest_of = np.where(self.length == own_left, 0.0, ahead[np.minimum(start + self.length, len(chars))])
-        self.chance = weight + rest_of - ahead[start]
+            ahead[at[new]] = np.logaddexp.reduceat(ordered[a:b] + ahead[to_place[a:b]], new)
+        self.chance = weight + ahead[target] - ahead[start]
+        self.length, self.piece, self.left = self.length.astype(np.int16), self.piece.astype(np.int32), left.astype(np.int32)
+
+    def followed_by(self, other: Lattice) -> Lattice:
+        """The lattice of the words of both, of this one first."""
+        both = Lattice.__new__(Lattice)
+        for name in ("size", "length", "piece", "left", "chance"):
+            setattr(both, name, np.append(getattr(self, name), getattr(other, name)))
+        both.first = np.append(self.first, other.first + len(self.left))
+        both.edges = np.append(self.edges[:-1], other.edges + len(self.length))
+        return both
 
 
 def _hashed(*parts: np.ndarray) -> np.ndarray:
@@ -153,8 +188,12 @@ def _hashed(*parts: np.ndarray) -> np.ndarray:
 
 def _noise(h: np.ndarray) -> np.ndarray:
     """Gumbel noise from hashes."""
-    uniform = ((h >> _U64(11)).astype(np.float64) + 0.5) * 2.0**-53
-    return -np.log(-np.log(uniform))
+    noise = (h >> _U64(11)).astype(np.float64)
+    noise += 0.5
+    noise *= 2.0**-53
+    for _ in range(2):
+        np.negative(np.log(noise, out=noise), out=noise)
+    return noise
 
 
 def _expand(first: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -171,35 +210,38 @@ class Search:
         self.frontier: list[list[tuple]] = [[] for _ in counts]  # (value, parent round, word, step, edge)
         self.paths: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # per round: word, step, edge
 
-    def _walk(self, words: np.ndarray, places: np.ndarray, steps: np.ndarray, turn: int):
-        """Sample from ``places`` to the words' ends; the chosen edges, and those passed over."""
-        lattice, chosen, passed = self.lattice, [], []
-        seed = _hashed(self.keys[self.doc[words]], np.full(len(words), turn), self.place_in_doc[words])
+    def _perturbed(self, seed: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The edges that leave ``places``, their perturbed log chances, and the number of edges of each place."""
+        lattice = self.lattice
+        first = lattice.edges[places]
+        n = lattice.edges[places + 1] - first
+        edge = _expand(first, n)
+        own = seed + lattice.left[places].astype(_U64) * _U64(0xD6E8FEB86659FD93)
+        salt = np.repeat(own - first.astype(_U64) * _U64(0xA0761D6478BD642F), n) + edge.astype(_U64) * _U64(0xA0761D6478BD642F)
+        return edge, lattice.chance[edge] + _noise(mixed(salt)), n  # salted with the edge's number at its place
+
+    def _seed(self, words: np.ndarray, turn: int) -> np.ndarray:
+        return _hashed(self.keys[self.doc[words]], np.full(len(words), turn), self.place_in_doc[words])
+
+    def _walk(self, words: np.ndarray, places: np.ndarray, steps: np.ndarray, turn: int) -> tuple[np.ndarray, ...]:
+        """Sample from ``places`` to the words' ends: word, step, place, chosen edge, its value, the next best value."""
+        lattice, chosen = self.lattice, []
+        seed = self._seed(words, turn)
         while len(words):
-            first = lattice.edges[places]
-            n = lattice.edges[places + 1] - first
-            edge = _expand(first, n)
-            offset = lattice.left[places]
-            own = seed + offset.astype(_U64) * _U64(0xD6E8FEB86659FD93)
-            salt = np.repeat(own - first.astype(_U64) * _U64(0xA0761D6478BD642F), n) + edge.astype(_U64) * _U64(0xA0761D6478BD642F)
-            value = lattice.chance[edge] + _noise(mixed(salt))  # salted with the edge's number at its place
+            edge, value, n = self._perturbed(seed, places)
             starts = np.cumsum(n) - n
             best = np.maximum.reduceat(value, starts)
             hit = np.flatnonzero(value == np.repeat(best, n))
             if len(hit) > len(words):  # equal values: the first counts
                 hit = hit[np.unique(np.searchsorted(starts, hit, "right"), return_index=True)[1]]
             picked = edge[hit]
-            chosen.append((words, steps, picked))
             value[hit] = -np.inf
-            other = np.flatnonzero(value > -np.inf)
-            m = n - 1
-            passed.append((np.repeat(words, m), np.repeat(steps, m), edge[other], value[other], np.repeat(best, m)))
+            chosen.append((words, steps, places, picked, best, np.maximum.reduceat(value, starts)))
             length = lattice.length[picked]
-            going = length < offset
+            going = np.flatnonzero(length < lattice.left[places])
             words, places, steps, seed = words[going], (places + length)[going], steps[going] + 1, seed[going]
         none = np.empty(0, np.int64)
-        join = lambda parts, i: np.concatenate([p[i] for p in parts]) if parts else none
-        return tuple(join(chosen, i) for i in range(3)), tuple(join(passed, i) for i in range(5))
+        return tuple(np.concatenate([c[i] for c in chosen]) if chosen else none for i in range(6))
 
     def run(self) -> list[list[tuple[float, float, np.ndarray]]]:
         """Per document up to ``k`` + 1 entries (log p, value, edges); the last may lack edges."""
@@ -212,50 +254,67 @@ class Search:
         fresh_words, fresh_places = every, self.lattice.first[self.word]
         fresh_steps = np.zeros(len(every), np.int64)
         for turn in range(self.k):
-            chosen, passed = self._walk(fresh_words, fresh_places, fresh_steps, turn)
-            path = tuple(np.concatenate([a, b]) for a, b in zip(copied, chosen, strict=True))
-            by = np.lexsort((path[1], path[0]))
-            words, steps, edges = (x[by] for x in path)
+            drawn = self._walk(fresh_words, fresh_places, fresh_steps, turn)
+            word, step, edge = (np.concatenate([a, b]) for a, b in zip(copied, (drawn[0], drawn[1], drawn[3]), strict=True))
+            n = np.bincount(word, minlength=len(self.word))  # a word's steps are numbered from 0, so each has its place
+            first = np.cumsum(n) - n
+            at = first[word] + step
+            words, steps, edges = np.repeat(every, n), np.empty_like(step), np.empty_like(edge)
+            steps[at], edges[at] = step, edge
             self.paths.append((words, steps, edges))
             chance = self.lattice.chance[edges]
             total = np.concatenate([[0.0], np.cumsum(chance)])
-            owner = self.doc[words]
-            cut = np.searchsorted(owner, np.arange(docs + 1))
+            cut = np.append(0, np.cumsum(np.bincount(self.doc, n, docs).astype(np.int64)))
             log_p = np.zeros(docs)
             held = np.flatnonzero(cut[1:] > cut[:-1])
             if len(held):
                 log_p[held] = np.add.reduceat(chance, cut[held])
             for d in active.tolist():
                 out[d].append((float(log_p[d]), float(value[d]), edges[cut[d] : cut[d + 1]]))
-            self._open(turn, words, steps, total, cut, passed, value)
+            self._open(turn, drawn, first, total, cut, value)
             active, value, copied, fresh_words, fresh_places, fresh_steps = self._next(turn, out, value)
             if not len(active):
                 break
         return out
 
-    def _open(self, turn, words, steps, total, cut, passed, value) -> None:
-        """Put the best of the passed-over edges into the documents' frontiers."""
-        word, step, edge, perturbed, best = passed
-        if not len(word):
-            return
-        width = int(steps.max(initial=0)) + 1
-        at = np.searchsorted(words * width + steps, word * width + step)
-        doc = self.doc[word]
-        prefix = total[at] - total[cut[doc]]
-        own = prefix + perturbed
-        below = value[doc] - own + np.log1p(-np.exp(np.minimum(perturbed - best, -1e-300)))
-        limited = value[doc] - np.maximum(below, 0.0) - np.log1p(np.exp(-np.abs(below)))
+    def _best(self, doc: np.ndarray, limited: np.ndarray, value: np.ndarray, wanted: int) -> np.ndarray:
+        """The ``wanted`` largest of each document, in order."""
         # Few entries are needed; most documents have them close below their value.
-        wanted = self.k + 1 - turn
         close = limited > value[doc] - 8.0
         few = np.bincount(doc[close], minlength=len(self.counts)) < wanted
         some = np.flatnonzero(close | few[doc])
         by = some[np.lexsort((-limited[some], doc[some]))]
         doc, ranked = doc[by], np.arange(len(by))
         new = np.append(True, doc[1:] != doc[:-1])
-        rank = ranked - np.maximum.accumulate(np.where(new, ranked, 0))
-        by = by[rank < wanted]
-        for d, *entry in zip(self.doc[word[by]].tolist(), limited[by].tolist(), [turn] * len(by), word[by].tolist(), step[by].tolist(), edge[by].tolist(), strict=True):
+        return by[ranked - np.maximum.accumulate(np.where(new, ranked, 0)) < wanted]
+
+    def _open(self, turn, drawn, first, total, cut, value) -> None:
+        """Put the best of the passed-over edges into the documents' frontiers."""
+        word, step, place, picked, best, second = drawn
+        if not len(word):
+            return
+        doc = self.doc[word]
+        prefix = total[first[word] + step] - total[cut[doc]]
+        wanted = self.k + 1 - turn
+
+        def limited(of, perturbed: np.ndarray) -> np.ndarray:
+            top = value[doc[of]]
+            below = top - (prefix[of] + perturbed) + np.log1p(-np.exp(np.minimum(perturbed - best[of], -1e-300)))
+            return top - np.maximum(below, 0.0) - np.log1p(np.exp(-np.abs(below)))
+
+        # The best edges of a document are among those that leave the places with the best second edges.
+        passing = np.flatnonzero(second > -np.inf)
+        if not len(passing):
+            return
+        nodes = passing[self._best(doc[passing], limited(passing, second[passing]), value, wanted)]
+        edge, perturbed, n = self._perturbed(self._seed(word[nodes], turn), place[nodes])
+        node = np.repeat(nodes, n)
+        other = np.flatnonzero(edge != picked[node])
+        edge, node = edge[other], node[other]
+        bound = limited(node, perturbed[other])
+        by = self._best(doc[node], bound, value, wanted)
+        node = node[by]
+        for d, *entry in zip(doc[node].tolist(), bound[by].tolist(), [turn] * len(by), word[node].tolist(), step[node].tolist(), edge[by].tolist(), strict=True):
             self.frontier[d].append(tuple(entry))
 
     def _next(self, turn: int, out: list[list], value: np.ndarray):
@@ -309,7 +368,9 @@ class _Numbers(dict):
 
 def segmentations(texts: list[str], keys: np.ndarray, v: Vocabulary, k: int) -> list[list[tuple[float, float, float, np.ndarray]]]:
     """Per text up to ``k`` of (log p, perturbed value, inclusion, ids)."""
-    numbers = _Numbers()
+    if v.lattice is not None and len(v.lattice.left) > KEPT_CHARS:
+        v.forget()
+    numbers = v.numbers
     word, counts = [], []
     for text in texts:
         units: list[str] = text.split(" ") if text else []
@@ -320,9 +381,16 @@ def segmentations(texts: list[str], keys: np.ndarray, v: Vocabulary, k: int) ->
         if trailing:
             word.append(numbers["\0" + " " * trailing])
         counts.append(len(units) + bool(trailing))
-    signed = [(u[1:] if u[:1] == "\0" and u.strip("\0 ") == "" and len(u) > 1 else " " + u).replace(" ", _SPACE) for u in numbers]
-    lattice = Lattice(signed, v)
-    found = Search(np.asarray(word, np.int64), np.asarray(counts, np.int64), keys, lattice, k).run()
+    lattice = v.lattice_of(numbers)
+    numbered, sizes = np.asarray(word, np.int64), np.asarray(counts, np.int64)
+    first = np.cumsum(sizes) - sizes
+    part = (np.cumsum([len(t) for t in texts]) - 1) // BATCH_CHARS  # documents by where they end
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    found = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if a < b:
+            own = numbered[first[a] : first[b - 1] + sizes[b - 1]]
+            found += Search(own, sizes[a:b], keys[a:b], lattice, k).run()
     out = []
     for own in found:
         kappa = own[k][1] if len(own) > k else -np.inf
@@ -355,15 +423,25 @@ def _sample(model: str, k: int, seed: int, with_ids: bool):
 
         def emit(names: list, texts: list[str]) -> pa.RecordBatch:
             keys = mixed(np.asarray([-1 if n is None else n for n in names], np.int64).astype(_U64) + _U64(seed))
-            rows: list[list] = [[] for _ in _SCHEMA]
+            rows: list[list] = [[] for _ in range(6)]
+            pieces, good, owners = [np.empty(0, np.int32)], [], []
             for name, text, samples in zip(names, texts, segmentations(texts, keys, v, k), strict=True):
                 for i, (log_p, value, inclusion, ids) in enumerate(samples, 1):
-                    crc = zlib.crc32(ids.astype("<u4").tobytes())
-                    good = v.decode(ids) == text
-                    entry = (name, i, len(ids), log_p, value, inclusion, crc, good, ids.astype(np.int32) if with_ids else None)
-                    for column, x in zip(rows, entry, strict=True):
+                    for column, x in zip(rows, (name, i, len(ids), log_p, value, inclusion), strict=True):
                         column.append(x)
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _SCHEMA, strict=True)], schema=_SCHEMA)
+                    pieces.append(ids)
+                    owners.append(text)
+            flat = np.concatenate(pieces).astype(np.int32)
+            ends = np.cumsum([0, *rows[2]])
+            held, cuts = memoryview(flat.astype("<u4").view(np.uint8)), (4 * ends).tolist()
+            crc = [zlib.crc32(held[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            spelled, offsets = text_bytes(v.spelled.take(pa.array(flat)))
+            spelled, cuts = spelled.tobytes(), offsets[ends].tolist()
+            for text, a, b in zip(owners, cuts[:-1], cuts[1:], strict=True):
+                good.append(spelled[a + (spelled[a : min(a + 1, b)] == b" ") : b] == text.encode())
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)) if with_ids else pa.nulls(len(crc), pa.list_(pa.int32()))
+            columns = [pa.array(c, f.type) for c, f in zip([*rows, crc, good], _SCHEMA, strict=False)]
+            return pa.RecordBatch.from_arrays([*columns, lists], schema=_SCHEMA)
 
         for batch in batches:
             names, texts, held = [], [], 0
@@ -371,7 +449,7 @@ def _sample(model: str, k: int, seed: int, with_ids: bool):
                 names.append(name)
                 texts.append(text.as_py() or "")
                 held += len(texts[-1])
-                if held >= BATCH_CHARS:
+                if held >= GROUP_CHARS:
                     yield emit(names, texts)
                     names, texts, held = [], [], 0
             if names:
