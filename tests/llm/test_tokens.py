@@ -165,6 +165,26 @@ def test_samples_do_not_depend_on_kept_words_or_batches(vocabulary, monkeypatch)
     assert all(vocabulary.decode(np.asarray(ids)) == text for text, own in zip(texts, whole, strict=True) for ids, _, _ in own)
 
 
+def test_steps_of_few_words_are_taken_at_once(vocabulary, monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(["the", "ation", "é", "☃", "in", "zq"], 400)) + " " * (i % 3) + "at on" for i in range(4)]
+    keys, calls = mixed(np.arange(len(texts)).astype(np.uint64)), []
+    monkeypatch.setattr(sampling, "mixed", lambda h: calls.append(len(h)) or mixed(h))
+
+    def sampled():
+        calls.clear()
+        return [[(s[3].tolist(), round(s[0], 6), round(s[1], 6)) for s in own] for own in sampling.segmentations(texts, keys, vocabulary, 3)]
+
+    found = sampled()
+    assert len(calls) < 60 and max(len(ids) for own in found for ids, _, _ in own) > 300  # no call for each step
+    assert all(vocabulary.decode(np.asarray(ids)) == text for text, own in zip(texts, found, strict=True) for ids, _, _ in own)
+    monkeypatch.setattr(sampling, "BATCH_CHARS", 700)  # a window ends within the words
+    assert sampled() == found
+    monkeypatch.setattr(sampling, "FEW", 1)  # all steps one by one
+    assert sampled() == found
+    assert len(calls) > 300
+
+
 def test_samples_of_hard_texts(docs):
     got = sampling.sample_segmentations(docs, PIECES, k=2).collect()
     by = {}

@@ -11,7 +11,7 @@ inclusion score of one is the chance that its value exceeds the k+1-st, 1 - exp(
 
 Pieces never hold a space sign behind another character, so texts fall into space-led words whose
 lattices are built once for equal words and kept by the worker, and all documents of a batch take their
-next step together. Noise is a hash of the row key, the round, the word, the place and the edge, so a
+next step together; once few words are under way, the edges of all their places are chosen at once. Noise is a hash of the row key, the round, the word, the place and the edge, so a
 row's samples do not depend on its partition.
 
 Piece probabilities follow Zipf's law in the model's merge order; the model has no others.
@@ -30,6 +30,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,11 +41,41 @@ from .token_counts import space_words
 GROUP_CHARS, BATCH_CHARS = 1 << 20, 1 << 18
 #: Characters of words whose lattices a worker keeps for its next texts, some 40 bytes each.
 KEPT_CHARS = 1 << 21
+#: With fewer words under way, all their places are sampled at once.
+FEW = 256
 #: Offset of Zipf's law, log-odds of a byte piece.
 ZIPF, BYTE_WEIGHT = 10.0, 1e-6
 _U64 = np.uint64
 _SPACE = "▁"
 _M = _U64(0x9E3779B97F4A7C15 | 1)
+_SLOT = _U64(0xD1342543DE82EF95)
+#: Salts of the characters left in a word and of an edge's number at its place.
+_LEFT, _EDGE = _U64(0xD6E8FEB86659FD93), _U64(0xA0761D6478BD642F)
+
+
+class _Hashes:
+    """Sorted hashes with their values, and slots by which most are found at once."""
+
+    def __init__(self, table: dict[int, int]):
+        self.hashes = np.asarray(sorted(table), _U64)
+        self.values = np.asarray([table[h] for h in self.hashes.tolist()], np.int64)
+        bits = (8 * len(table)).bit_length()
+        self.shift = _U64(64 - bits)
+        slot = self._slot(self.hashes)
+        self.slots = np.zeros(1 << bits, np.int32)
+        self.slots[slot] = np.arange(len(slot))
+        self.slots[np.flatnonzero(np.bincount(slot) > 1)] = -1  # shared ones: to be searched for
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return ((h * _SLOT) >> self.shift).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where ``h`` holds known hashes, and their values."""
+        at = self.slots[self._slot(h)]
+        shared = np.flatnonzero(at < 0)
+        at[shared] = np.minimum(np.searchsorted(self.hashes, h[shared]), len(self.hashes) - 1)
+        hit = np.flatnonzero(self.hashes[at] == h)
+        return hit, self.values[at[hit]]
 
 
 class Vocabulary:
@@ -83,10 +114,7 @@ class Vocabulary:
                 h = (h * int(_M) + ord(c) + 1) & (1 << 64) - 1
                 known[length].setdefault(h, -1)
             known[len(self.pieces[i])][h] = i
-        self.known = []
-        for table in known:
-            hashes = np.asarray(sorted(table), _U64)
-            self.known.append((hashes, np.asarray([table[h] for h in hashes.tolist()], np.int64)))
+        self.known = [_Hashes(table) for table in known[1:]]
 
     def forget(self) -> None:
         """Words with lattices, and their lattices."""
@@ -105,6 +133,22 @@ class Vocabulary:
             self.lattice = new if self.lattice is None else self.lattice.followed_by(new)
         return self.lattice
 
+    def ids_of(self, pieces: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces with the bytes of characters in place of -1 - character, and where the former ``ends`` are."""
+        spelled = np.flatnonzero(pieces < 0)
+        if not len(spelled):
+            return pieces, ends
+        signs, which = np.unique(-1 - pieces[spelled], return_inverse=True)
+        raw = [chr(c).encode("utf-8", "surrogatepass") for c in signs.tolist()]
+        size = np.asarray([len(r) for r in raw])
+        n = np.ones(len(pieces), np.int64)
+        n[spelled] = size[which]
+        after = np.append(0, np.cumsum(n))
+        ids = np.repeat(pieces, n)
+        at = _expand(after[spelled], n[spelled])
+        ids[at] = self.bytes[np.frombuffer(b"".join(raw), np.uint8)[_expand((np.cumsum(size) - size)[which], n[spelled])]]
+        return ids, after[ends]
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: pieces joined, the space before the first taken off."""
         text = b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -128,10 +172,8 @@ class Lattice:
             if not len(alive):
                 break
             h = h * _M + code[alive + (n - 1)]
-            hashes, ids = v.known[n]
-            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            begins = np.flatnonzero(hashes[at] == h)
-            alive, h, room, piece = alive[begins], h[begins], room[begins], ids[at[begins]]
+            begins, piece = v.known[n - 1].find(h)
+            alive, h, room = alive[begins], h[begins], room[begins]
             whole = piece >= 0
             starts.append(alive[whole])
             lengths.append(np.full(len(starts[-1]), n))
@@ -150,7 +192,9 @@ class Lattice:
         spelled = np.flatnonzero(self.piece < 0)
         sign = -1 - self.piece[spelled]
         weight[spelled] = (1 + (sign >= 0x80).astype(int) + (sign >= 0x800) + (sign >= 0x10000)) * np.log(BYTE_WEIGHT)
-        self.edges = np.searchsorted(start, np.arange(len(chars) + 1))
+        self.edges = np.append(0, np.cumsum(np.bincount(start, minlength=len(chars))))
+        self.most = v.longest
+        self.spare = (self.most - np.diff(self.edges)).astype(np.min_scalar_type(self.most))  # sorts places with more edges first
         # Log-sums to the right, from the words' ends to their fronts; the last one stands for all ends.
         ahead = np.zeros(len(chars) + 1)
         own_left = left[start]
@@ -172,15 +216,16 @@ class Lattice:
     def followed_by(self, other: Lattice) -> Lattice:
         """The lattice of the words of both, of this one first."""
         both = Lattice.__new__(Lattice)
-        for name in ("size", "length", "piece", "left", "chance"):
+        both.most = self.most
+        for name in ("size", "length", "piece", "left", "chance", "spare"):
             setattr(both, name, np.append(getattr(self, name), getattr(other, name)))
         both.first = np.append(self.first, other.first + len(self.left))
         both.edges = np.append(self.edges[:-1], other.edges + len(self.length))
         return both
 
 
-def _hashed(*parts: np.ndarray) -> np.ndarray:
-    h = np.zeros(len(parts[0]), _U64)
+def _hashed(*parts: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+    h = np.zeros(len(parts[0]), _U64) if start is None else start
     for part in parts:
         h = mixed(h + np.asarray(part).astype(_U64) + _U64(0x632BE59BD9B4E019))
     return h
@@ -206,76 +251,154 @@ class Search:
     def __init__(self, word: np.ndarray, counts: np.ndarray, keys: np.ndarray, lattice: Lattice, k: int):
         self.lattice, self.word, self.counts, self.keys, self.k = lattice, word, counts, keys, k
         self.doc = np.repeat(np.arange(len(counts)), counts)
-        self.place_in_doc = np.arange(len(word)) - np.repeat(np.cumsum(counts) - counts, counts)
-        self.frontier: list[list[tuple]] = [[] for _ in counts]  # (value, parent round, word, step, edge)
-        self.paths: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # per round: word, step, edge
+        self.last = np.cumsum(counts)  # the words of a document end here
+        self.place_in_doc = np.arange(len(word)) - np.repeat(self.last - counts, counts)
+        # Open entries: document, value, parent round, word, step, place, edge.
+        self.frontier = (np.empty(0, np.int64), np.empty(0), *(np.empty(0, np.int64) for _ in range(5)))
+        self.paths: list[tuple[np.ndarray, np.ndarray]] = []  # per round: edges; the first of each word
 
-    def _perturbed(self, seed: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The edges that leave ``places``, their perturbed log chances, and the number of edges of each place."""
+    def _seed(self, words: np.ndarray, turn: int) -> np.ndarray:
+        own = _hashed(self.keys, np.full(len(self.keys), turn))
+        return _hashed(self.place_in_doc[words], start=own[self.doc[words]])
+
+    def _perturbed(self, seed: np.ndarray, places: np.ndarray, left: np.ndarray, first: np.ndarray, leaving: list[int]):
+        """Edges of ``places`` and their perturbed log chances: the first ones, then the second ones, and so on.
+
+        ``leaving`` has the number of places with such an edge; places with more edges come first.
+        """
+        own = left.astype(_U64)
+        own *= _LEFT
+        own += seed
+        ends = np.cumsum(leaving).tolist()
+        edge, salt = np.empty(ends[-1], np.int64), np.empty(ends[-1], _U64)
+        for j, (m, b) in enumerate(zip(leaving, ends, strict=True)):
+            np.add(first[:m], j, out=edge[b - m : b])
+            np.add(own[:m], _U64(j * int(_EDGE) & (1 << 64) - 1), out=salt[b - m : b])  # salted with the edge's number at its place
+        value = _noise(mixed(salt))
+        value += self.lattice.chance[edge]
+        return edge, value, ends
+
+    def _choose(self, seed: np.ndarray, places: np.ndarray, left: np.ndarray, spare: np.ndarray):
+        """The sampled edges of places in order of ``spare``; the best and second values of those with a choice, which come first."""
         lattice = self.lattice
+        # Those with a j-th edge are a prefix.
+        leaving = (len(places) - np.cumsum(np.bincount(spare, minlength=lattice.most + 1)[-2::-1])).tolist()
+        m = leaving[0]
         first = lattice.edges[places]
-        n = lattice.edges[places + 1] - first
-        edge = _expand(first, n)
-        own = seed + lattice.left[places].astype(_U64) * _U64(0xD6E8FEB86659FD93)
-        salt = np.repeat(own - first.astype(_U64) * _U64(0xA0761D6478BD642F), n) + edge.astype(_U64) * _U64(0xA0761D6478BD642F)
-        return edge, lattice.chance[edge] + _noise(mixed(salt)), n  # salted with the edge's number at its place
-
-    def _seed(self, words: np.ndarray, turn: int) -> np.ndarray:
-        return _hashed(self.keys[self.doc[words]], np.full(len(words), turn), self.place_in_doc[words])
-
-    def _walk(self, words: np.ndarray, places: np.ndarray, steps: np.ndarray, turn: int) -> tuple[np.ndarray, ...]:
-        """Sample from ``places`` to the words' ends: word, step, place, chosen edge, its value, the next best value."""
-        lattice, chosen = self.lattice, []
-        seed = self._seed(words, turn)
-        while len(words):
-            edge, value, n = self._perturbed(seed, places)
-            starts = np.cumsum(n) - n
-            best = np.maximum.reduceat(value, starts)
-            hit = np.flatnonzero(value == np.repeat(best, n))
-            if len(hit) > len(words):  # equal values: the first counts
-                hit = hit[np.unique(np.searchsorted(starts, hit, "right"), return_index=True)[1]]
-            picked = edge[hit]
-            value[hit] = -np.inf
-            chosen.append((words, steps, places, picked, best, np.maximum.reduceat(value, starts)))
+        if not m:
+            return first, np.empty(0), np.empty(0)
+        leaving = [m, *(x for x in leaving if x)]
+        _, value, ends = self._perturbed(seed[:m], places[:m], left[:m], first[:m], leaving)
+        best, other = value[:m], value[m : 2 * m]
+        number = (other > best).astype(np.int64)
+        best, second = np.maximum(best, other), np.minimum(best, other)
+        for j, (x, b) in enumerate(zip(leaving[2:], ends[2:], strict=True), 2):
+            new, top = value[b - x : b], best[:x]
+            np.copyto(number[:x], j, where=new > top)
+            np.maximum(second[:x], np.minimum(new, top), out=second[:x])
+            np.maximum(new, top, out=top)
+        first[:m] += number
+        return first, best, second
+
+    def _walk(self, words: np.ndarray, places: np.ndarray, turn: int):
+        """Sample from ``places`` to the words' ends.
+
+        The number of steps of each word; words, steps and edges in parts; word, step, place, edge, its value and the next
+        best value of those with a choice.
+        """
+        lattice, chosen, choices = self.lattice, [], []
+        steps = np.zeros(len(self.word), np.int64)
+        spare = lattice.spare[places]
+        order = np.argsort(spare, kind="stable")
+        words, places, spare = words[order], places[order], spare[order]
+        seed, left = self._seed(words, turn), lattice.left[places]
+        while len(words) >= FEW:
+            picked, best, second = self._choose(seed, places, left, spare)
+            m, step = len(best), len(chosen)
+            choices.append((words[:m], np.full(m, step), places[:m], picked[:m], best, second))
+            chosen.append((words, step, picked))
+            steps[words] += 1
             length = lattice.length[picked]
-            going = np.flatnonzero(length < lattice.left[places])
-            words, places, steps, seed = words[going], (places + length)[going], steps[going] + 1, seed[going]
-        none = np.empty(0, np.int64)
-        return tuple(np.concatenate([c[i] for c in chosen]) if chosen else none for i in range(6))
-
-    def run(self) -> list[list[tuple[float, float, np.ndarray]]]:
-        """Per document up to ``k`` + 1 entries (log p, value, edges); the last may lack edges."""
+            going = np.flatnonzero(length < left)
+            places = places[going] + length[going]
+            spare = lattice.spare[places]
+            order = np.argsort(spare, kind="stable")
+            going, places, spare = going[order], places[order], spare[order]
+            words, seed, left = words[going], seed[going], left[going] - length[going]
+        # Steps of few words cost less when the edges of all their places are chosen at once.
+        while len(words):
+            n = np.minimum(left, max(1, BATCH_CHARS // len(words))).astype(np.int64)
+            ends = np.cumsum(n)
+            owner, every = np.repeat(np.arange(len(words)), n), _expand(places, n)
+            spare = lattice.spare[every]
+            order = np.argsort(spare, kind="stable")
+            sorted_picked, best, second = self._choose(seed[owner[order]], every[order], lattice.left[every[order]], spare[order])
+            picked, rank = np.empty_like(sorted_picked), np.empty_like(order)
+            picked[order], rank[order] = sorted_picked, np.arange(len(order))
+            passed, moved = [], []
+            lengths = lattice.length[picked].tolist()
+            for at, end in zip((ends - n).tolist(), ends.tolist(), strict=True):
+                start = at
+                while at < end:
+                    passed.append(at)
+                    at += lengths[at]
+                moved.append(at - start)
+            own = owner[passed]
+            taken = np.bincount(own, minlength=len(words))
+            step = steps[words[own]] + np.arange(len(own)) - (np.cumsum(taken) - taken)[own]
+            chosen.append((words[own], step, picked[passed]))
+            steps[words] += taken
+            choice = np.flatnonzero(rank[passed] < len(best))
+            at = np.asarray(passed)[choice]
+            choices.append((words[own[choice]], step[choice], every[at], picked[at], best[rank[at]], second[rank[at]]))
+            going = np.flatnonzero(left > moved)
+            words, seed, places, left = words[going], seed[going], places[going] + np.asarray(moved)[going], left[going] - np.asarray(moved)[going]
+        if not choices:
+            return steps, chosen, (np.empty(0, np.int64),) * 6
+        return steps, chosen, tuple(np.concatenate(x) for x in zip(*choices, strict=True))
+
+    def run(self) -> tuple[list[tuple[np.ndarray, ...]], np.ndarray]:
+        """Per round of up to ``k`` (documents, log p, value, edges, their ends by document); thresholds, or -inf."""
         docs = len(self.counts)
-        out: list[list] = [[] for _ in range(docs)]
+        out = []
         value = _noise(_hashed(self.keys, np.full(docs, 1 << 40)))
         active = np.arange(docs)
-        every = np.arange(len(self.word))
         copied = (np.empty(0, np.int64),) * 3
-        fresh_words, fresh_places = every, self.lattice.first[self.word]
-        fresh_steps = np.zeros(len(every), np.int64)
+        words, places = np.arange(len(self.word)), self.lattice.first[self.word]
         for turn in range(self.k):
-            drawn = self._walk(fresh_words, fresh_places, fresh_steps, turn)
-            word, step, edge = (np.concatenate([a, b]) for a, b in zip(copied, (drawn[0], drawn[1], drawn[3]), strict=True))
-            n = np.bincount(word, minlength=len(self.word))  # a word's steps are numbered from 0, so each has its place
-            first = np.cumsum(n) - n
-            at = first[word] + step
-            words, steps, edges = np.repeat(every, n), np.empty_like(step), np.empty_like(edge)
-            steps[at], edges[at] = step, edge
-            self.paths.append((words, steps, edges))
+            steps, drawn, choices = self._walk(words, places, turn)
+            word, step, edge = copied
+            before = np.bincount(word, minlength=len(self.word))  # a word's steps are numbered from 0, so each has its place
+            first = np.append(0, np.cumsum(before + steps))
+            edges = np.empty(first[-1], np.int64)
+            edges[first[word] + step] = edge
+            fresh = first[:-1] + before
+            for words, step, picked in drawn:
+                edges[fresh[words] + step] = picked
+            self.paths.append((edges, first))
             chance = self.lattice.chance[edges]
-            total = np.concatenate([[0.0], np.cumsum(chance)])
-            cut = np.append(0, np.cumsum(np.bincount(self.doc, n, docs).astype(np.int64)))
+            total = np.append(0.0, np.cumsum(chance))
+            cut = first[np.append(0, self.last)]
             log_p = np.zeros(docs)
             held = np.flatnonzero(cut[1:] > cut[:-1])
             if len(held):
                 log_p[held] = np.add.reduceat(chance, cut[held])
-            for d in active.tolist():
-                out[d].append((float(log_p[d]), float(value[d]), edges[cut[d] : cut[d + 1]]))
-            self._open(turn, drawn, first, total, cut, value)
-            active, value, copied, fresh_words, fresh_places, fresh_steps = self._next(turn, out, value)
+            out.append((active, log_p[active], value[active], edges, cut[active + 1]))
+            self._open(turn, choices, before, first, total, cut, value)
+            active, value, copied, words, places = self._next(turn, value)
             if not len(active):
                 break
-        return out
+        threshold = np.full(docs, -np.inf)
+        if len(out) == self.k:
+            threshold[self.frontier[0]] = self.frontier[1]
+        return out, threshold
+
+    def _ranks(self, doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The order by document, largest values first, and the ranks in it."""
+        by = np.lexsort((-value, doc))
+        ranked, doc = np.arange(len(by)), doc[by]
+        new = np.append(True, doc[1:] != doc[:-1])[: len(by)]
+        return by, ranked - np.maximum.accumulate(np.where(new, ranked, 0))
 
     def _best(self, doc: np.ndarray, limited: np.ndarray, value: np.ndarray, wanted: int) -> np.ndarray:
         """The ``wanted`` largest of each document, in order."""
@@ -283,79 +406,76 @@ class Search:
         close = limited > value[doc] - 8.0
         few = np.bincount(doc[close], minlength=len(self.counts)) < wanted
         some = np.flatnonzero(close | few[doc])
-        by = some[np.lexsort((-limited[some], doc[some]))]
-        doc, ranked = doc[by], np.arange(len(by))
-        new = np.append(True, doc[1:] != doc[:-1])
-        return by[ranked - np.maximum.accumulate(np.where(new, ranked, 0)) < wanted]
+        by, rank = self._ranks(doc[some], limited[some])
+        return some[by[rank < wanted]]
 
-    def _open(self, turn, drawn, first, total, cut, value) -> None:
+    def _open(self, turn, choices, before, first, total, cut, value) -> None:
         """Put the best of the passed-over edges into the documents' frontiers."""
-        word, step, place, picked, best, second = drawn
+        word, step, place, picked, best, second = choices
         if not len(word):
             return
-        doc = self.doc[word]
-        prefix = total[first[word] + step] - total[cut[doc]]
         wanted = self.k + 1 - turn
+        words_above = value[self.doc] - (total[first[:-1]] - total[cut[self.doc]])
 
-        def limited(of, perturbed: np.ndarray) -> np.ndarray:
-            top = value[doc[of]]
-            below = top - (prefix[of] + perturbed) + np.log1p(-np.exp(np.minimum(perturbed - best[of], -1e-300)))
-            return top - np.maximum(below, 0.0) - np.log1p(np.exp(-np.abs(below)))
+        def limited(of: np.ndarray, perturbed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            doc, at = self.doc[word[of]], first[word[of]]
+            top = value[doc]
+            above = words_above[word[of]] - (total[at + before[word[of]] + step[of]] - total[at])
+            below = above - perturbed + np.log1p(-np.exp(np.minimum(perturbed - best[of], -1e-300)))
+            return doc, top - np.maximum(below, 0.0) - np.log1p(np.exp(-np.abs(below)))
 
         # The best edges of a document are among those that leave the places with the best second edges.
-        passing = np.flatnonzero(second > -np.inf)
-        if not len(passing):
-            return
-        nodes = passing[self._best(doc[passing], limited(passing, second[passing]), value, wanted)]
-        edge, perturbed, n = self._perturbed(self._seed(word[nodes], turn), place[nodes])
-        node = np.repeat(nodes, n)
+        # Those of later words lie far below unless a second value all but equals the first: log(1 - exp(-1e-6)) > -14.
+        near = (words_above[word] - second < 22.0) | (best - second < 1e-6)
+        nodes = np.flatnonzero(near)
+        doc, bound = limited(nodes, second[nodes])
+        few = np.bincount(doc[bound > value[doc] - 8.0], minlength=len(self.counts)) < wanted
+        if few.any():
+            nodes = np.flatnonzero(near | few[self.doc][word])
+            doc, bound = limited(nodes, second[nodes])
+        nodes = nodes[self._best(doc, bound, value, wanted)]
+        lattice = self.lattice
+        nodes = nodes[np.argsort(lattice.spare[place[nodes]], kind="stable")]
+        places, n = place[nodes], lattice.most - lattice.spare[place[nodes]].astype(np.int64)
+        leaving = [int(np.count_nonzero(n > j)) for j in range(int(n[0]))]
+        edge, perturbed, _ = self._perturbed(self._seed(word[nodes], turn), places, lattice.left[places], lattice.edges[places], leaving)
+        node = np.concatenate([nodes[:m] for m in leaving])
         other = np.flatnonzero(edge != picked[node])
         edge, node = edge[other], node[other]
-        bound = limited(node, perturbed[other])
-        by = self._best(doc[node], bound, value, wanted)
+        doc, bound = limited(node, perturbed[other])
+        by = self._best(doc, bound, value, wanted)
         node = node[by]
-        for d, *entry in zip(doc[node].tolist(), bound[by].tolist(), [turn] * len(by), word[node].tolist(), step[node].tolist(), edge[by].tolist(), strict=True):
-            self.frontier[d].append(tuple(entry))
+        opened = (doc[by], bound[by], np.full(len(by), turn), word[node], before[word[node]] + step[node], place[node], edge[by])
+        self.frontier = tuple(np.concatenate(x) for x in zip(self.frontier, opened, strict=True))
 
-    def _next(self, turn: int, out: list[list], value: np.ndarray):
+    def _next(self, turn: int, value: np.ndarray):
         """Take the best open entry of every document; what it shares with its parent, and what is to be drawn."""
-        value = value.copy()
-        active, parents = [], []
-        for d, entries in enumerate(self.frontier):
-            if len(out[d]) == turn + 1 and entries:
-                entries.sort(reverse=True)
-                best = entries.pop(0)
-                del entries[self.k - turn :]
-                value[d] = best[0]
-                if turn + 1 == self.k:
-                    out[d].append((0.0, best[0], None))  # only its value matters: the threshold
-                else:
-                    active.append(d)
-                    parents.append(best)
         none = np.empty(0, np.int64)
-        if not active:
-            return none, value, (none,) * 3, none, none, none
-        copies, words, places, steps = [], [], [], []
-        last = np.cumsum(self.counts)
-        for d, (_, parent, word, step, edge) in zip(active, parents, strict=True):
-            w, s, e = self.paths[parent]
-            a, b = np.searchsorted(w, last[d] - self.counts[d]), np.searchsorted(w, word, "right")
-            keep = slice(a, b)
-            before = (w[keep] < word) | (s[keep] < step)
-            copies.append((np.append(w[keep][before], word), np.append(s[keep][before], step), np.append(e[keep][before], edge)))
-            inside = w[keep] == word
-            used = int(self.lattice.length[e[keep][inside & before]].sum() + self.lattice.length[edge])
-            if used < self.lattice.size[self.word[word]]:
-                words.append([word])
-                places.append([self.lattice.first[self.word[word]] + used])
-                steps.append([step + 1])
-            later = np.arange(word + 1, last[d])
-            words.append(later)
-            places.append(self.lattice.first[self.word[later]])
-            steps.append(np.zeros(len(later), np.int64))
-        join = lambda parts: np.concatenate([np.asarray(p, np.int64) for p in parts]) if parts else none
-        copied = tuple(join([c[i] for c in copies]) for i in range(3))
-        return np.asarray(active), value, copied, join(words), join(places), join(steps)
+        by, rank = self._ranks(*self.frontier[:2])
+        taken = tuple(x[by[rank == 0]] for x in self.frontier)
+        if turn + 1 == self.k or not len(by):  # only the values of the next ones matter: the thresholds
+            self.frontier = taken
+            return none, value, (none,) * 3, none, none
+        rest = by[(rank > 0) & (rank <= self.k - turn)]
+        self.frontier = tuple(x[rest] for x in self.frontier)
+        active, best, parent, word, step, place, edge = taken
+        value = value.copy()
+        value[active] = best
+        copies = [(word, step, edge)]
+        for p in range(turn + 1):
+            edges, first = self.paths[p]
+            own = np.flatnonzero(parent == p)
+            a = first[self.last[active[own]] - self.counts[active[own]]]
+            shared = _expand(a, first[word[own]] + step[own] - a)
+            owner = np.searchsorted(first, shared, "right") - 1
+            copies.append((owner, shared - first[owner], edges[shared]))
+        copied = tuple(np.concatenate(x) for x in zip(*copies, strict=True))
+        lattice = self.lattice
+        begun = np.flatnonzero(lattice.length[edge] < lattice.left[place])
+        later = _expand(word + 1, self.last[active] - (word + 1))
+        words = np.concatenate([word[begun], later])
+        places = np.concatenate([place[begun] + lattice.length[edge[begun]], lattice.first[self.word[later]]])
+        return active, value, copied, words, places
 
 
 class _Numbers(dict):
@@ -366,48 +486,53 @@ class _Numbers(dict):
         return n
 
 
+def _units(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, trailing spaces behind a sign of their own, and the number of words of each text."""
+    split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+    units, sizes = split.flatten(), split.value_lengths().to_numpy().astype(np.int64)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    empty = np.flatnonzero(pc.binary_length(units).to_numpy() == 0)
+    if not len(empty):
+        return units, sizes
+    spaced = np.unique(owner[empty])  # texts with leading, trailing or several spaces, or none at all
+    words, own = [], []
+    for i in spaced.tolist():
+        found, trailing = space_words(texts[i]) if texts[i] else ([], 0)
+        found += ["\0" + " " * trailing] if trailing else []
+        words += found
+        own.append(len(found))
+    others = np.ones(len(texts), bool)
+    others[spaced] = False
+    plain = np.flatnonzero(others[owner])
+    both = pa.concat_arrays([units.take(pa.array(plain)), pa.array(words, pa.large_string())])
+    sizes[spaced] = own
+    return both.take(pa.array(np.argsort(np.append(owner[plain], np.repeat(spaced, own)), kind="stable"))), sizes
+
+
 def segmentations(texts: list[str], keys: np.ndarray, v: Vocabulary, k: int) -> list[list[tuple[float, float, float, np.ndarray]]]:
     """Per text up to ``k`` of (log p, perturbed value, inclusion, ids)."""
     if v.lattice is not None and len(v.lattice.left) > KEPT_CHARS:
         v.forget()
     numbers = v.numbers
-    word, counts = [], []
-    for text in texts:
-        units: list[str] = text.split(" ") if text else []
-        trailing = 0
-        if "" in units:
-            units, trailing = space_words(text)
-        word += map(numbers.__getitem__, units)
-        if trailing:
-            word.append(numbers["\0" + " " * trailing])
-        counts.append(len(units) + bool(trailing))
+    units, sizes = _units(texts)
+    coded = units.dictionary_encode()
+    distinct = coded.dictionary.to_numpy(zero_copy_only=False)
+    numbered = np.asarray([numbers[u] for u in distinct], np.int64)[coded.indices.to_numpy()]
     lattice = v.lattice_of(numbers)
-    numbered, sizes = np.asarray(word, np.int64), np.asarray(counts, np.int64)
     first = np.cumsum(sizes) - sizes
     part = (np.cumsum([len(t) for t in texts]) - 1) // BATCH_CHARS  # documents by where they end
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
-    found = []
+    out: list[list[tuple[float, float, float, np.ndarray]]] = [[] for _ in texts]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         if a < b:
             own = numbered[first[a] : first[b - 1] + sizes[b - 1]]
-            found += Search(own, sizes[a:b], keys[a:b], lattice, k).run()
-    out = []
-    for own in found:
-        kappa = own[k][1] if len(own) > k else -np.inf
-        rows = []
-        for log_p, value, edges in own[:k]:
-            pieces = lattice.piece[edges]
-            least = pieces.min() if len(pieces) else 0
-            if -129 < least < 0:
-                pieces = np.where(pieces < 0, v.bytes[np.maximum(-1 - pieces, 0) & 127], pieces)
-            elif least < 0:
-                ids = []
-                for p in pieces.tolist():
-                    ids += [p] if p >= 0 else v.bytes[list(chr(-1 - p).encode("utf-8", "surrogatepass"))].tolist()
-                pieces = np.asarray(ids, np.int64)
-            inclusion = float(-np.expm1(-np.exp(min(log_p - kappa, 700.0))))
-            rows.append((log_p, value, inclusion, pieces))
-        out.append(rows)
+            rounds, threshold = Search(own, sizes[a:b], keys[a:b], lattice, k).run()
+            for docs, log_p, value, edges, ends in rounds:
+                ids, ends = v.ids_of(lattice.piece[edges], ends)
+                inclusion = -np.expm1(-np.exp(np.minimum(log_p - threshold[docs], 700.0)))
+                starts = np.append(0, ends[:-1])
+                for d, *row, i, j in zip(*(x.tolist() for x in (docs, log_p, value, inclusion, starts, ends)), strict=True):
+                    out[a + d].append((*row, ids[i:j]))
     return out
 
 
