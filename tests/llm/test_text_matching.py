@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+import sys
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -102,6 +104,62 @@ def test_groups_are_the_maximal_repeats():
         assert sorted(repeats.repeat_groups(texts, 3)) == expected
 
 
+def test_covered_suffixes_are_those_of_smaller_ids():
+    rng = random.Random(3)
+    for _ in range(60):
+        texts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 20))) for _ in range(rng.randint(1, 7))]
+        ids = np.asarray([rng.randint(-2, 3) for _ in texts])
+        held = np.zeros((len(texts), 20), np.uint8)
+        for row, t in zip(held, texts, strict=True):
+            row[: len(t)] = np.frombuffer(t, np.uint8)
+        array = repeats.EnhancedSuffixArray(held, np.asarray([len(t) for t in texts]), 3)
+        got = {(int(c), j) for c, low, high in zip(*repeats.covered_suffixes(array, ids, 3), strict=True) for j in range(low, high)}
+        first = {}
+        for name, t in zip(ids, texts, strict=True):
+            for j in range(len(t) - 2):
+                first[t[j : j + 3]] = min(name, first.get(t[j : j + 3], name))
+        starts = [(c, j) for c, t in enumerate(texts) for j in range(len(t) - 2) if first[t[j : j + 3]] < ids[c]]
+        assert got == {(c, j + i) for c, j in starts for i in range(3)}
+
+
+def test_the_work_on_repeats_does_not_grow_with_its_messages():
+    """Blocks times shards is the number of messages: it grows with the square of the table."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 8))) for _ in range(5_000)]
+    passages = [" ".join(rng.choices(words, k=40)) for _ in range(300)]
+    texts = [" ".join(rng.choices(words, k=60)) + " " + rng.choice(passages) for _ in range(1_200)]
+    names = np.arange(len(texts))
+    blocks = [pa.table({"name": names[b::2], "text": texts[b::2]}) for b in range(2)]
+    none = pa.table({"copy": pa.array([], pa.int64())})
+
+    def work(shards):
+        calls, messages = [], []
+
+        def staged(run, *keys_and_tables):
+            sys.setprofile(lambda *event: calls.append(event[1]))
+            try:
+                out = [run((pa.scalar(key),), *tables) for key, *tables in keys_and_tables]
+            finally:
+                sys.setprofile(None)
+            messages.append(sum(t.num_rows for t in out))
+            return pa.concat_tables(out)
+
+        def to(table, b):
+            return table.filter(pa.array(table.column("block").to_numpy() == b))
+
+        sent = staged(repeats._send_prints(shards, 50), *((b, t, none) for b, t in enumerate(blocks)))
+        sent = staged(repeats._answer_prints(100), (0, sent))
+        sent = staged(repeats._send_contexts(shards, 50, 1), *((b, t, to(sent, b)) for b, t in enumerate(blocks)))
+        sent = staged(repeats._answer_contexts(50, 1), (0, sent))
+        spans = [np.concatenate([np.frombuffer(x, "<i8") for x in sent.column(c).to_pylist()]) for c in "abc"]
+        return [x.tolist() for x in repeats._spans(*spans)], sum(messages), len(calls)
+
+    (few, messages, calls), (many, more_messages, more_calls) = work(1), work(4_000)
+    assert few == many and few[0]
+    assert more_messages > 100 * messages
+    assert more_calls < 1.5 * calls
+
+
 def shingles(text, n=5):
     words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(_LOW))
     if not words:

@@ -8,14 +8,18 @@ chosen by its content and so at the same place in every occurrence. Work goes by
 2. Every block sends the fingerprints of its anchors, distinct per document, to shards that answer
    which of them other documents share, and which are shared very widely.
 3. Of shared anchors the block sends the surrounding bytes, wide enough for every repeat that the
-   anchor stands for. Contexts equal inside a block are settled there. A widely shared anchor sends
-   its ``length``-byte windows one by one instead, so that no shard gathers its many surroundings.
+   anchor stands for. Contexts equal inside a block are settled there, and bytes that a document
+   repeats go once with all their places. A widely shared anchor sends its ``length``-byte windows
+   one by one instead, so that no shard gathers its many surroundings.
 4. A shard builds an enhanced suffix array over its distinct contexts: suffixes in order, common
-   prefix lengths, and a stack scan that closes the intervals of the common-prefix tree from the
-   deepest up. An interval whose suffixes differ in the byte before them is a maximal repeat group
-   with all its occurrences; one whose suffixes agree is covered by the longer one before it.
+   prefix lengths, and for every suffix the deepest interval of the common-prefix tree that a smaller
+   id is part of, found for all suffixes at once. An interval whose suffixes differ in the byte before
+   them is a maximal repeat group; one whose suffixes agree is covered by the longer one before it.
 5. Covered bytes go back to the blocks, which return each document's spans.
 
+There is a message for each block and shard, so their number grows with the square of the table; all
+messages of a task are made and read as columns, never one by one.
+
 Edge cases: null and empty texts have no bytes and no spans; rows without id neither remove nor
 lose bytes; rows of equal id do not remove from each other (only a smaller id removes), and each loses what
 its own text shares with smaller ids; an empty table gives no rows. Columns of the input other than id
@@ -30,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +45,8 @@ GRAM, WIDE = 20, 4_000
 BLOCK_BYTES, SHARD_BYTES, CHUNK_BYTES = 2 << 20, 8 << 20, 1 << 19
 #: Contexts under one suffix array, if their anchors allow; rows of a matrix that is built at once.
 ARRAY_CONTEXTS, ROWS = 4_000, 1 << 14
+#: Bytes in one column of messages that are made at once; Arrow counts the bytes of a column in 31 bits.
+PART_BYTES = 1 << 30
 
 _U32, _U64 = np.uint32, np.uint64
 #: Kinds of messages: fingerprints, contexts, spans that are settled, documents that are copies.
@@ -51,9 +58,36 @@ _SCHEMA = pa.schema([
 ])
 
 
-def _messages(rows: list[tuple]) -> pa.Table:
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA, strict=True)], schema=_SCHEMA)
+def _messages(kind: int, shard: np.ndarray, block: np.ndarray, *columns_of: tuple[np.ndarray, np.ndarray]) -> pa.Table:
+    """Messages whose binary columns hold so many rows of an array, in their order: pairs (array, rows in each message)."""
+    cuts = [np.append(0, np.cumsum(counts)) for _, counts in columns_of]
+    most = np.max([c * (v.nbytes // max(1, len(v))) for c, (v, _) in zip(cuts, columns_of, strict=True)], axis=0)
+    parts = []
+    for a, b in groups_of_bytes(most, PART_BYTES):
+        n = b - a
+        columns = [pa.array(np.broadcast_to(x, len(most) - 1)[a:b], pa.int64()) for x in (shard, block)]
+        columns.append(pa.array(np.full(n, kind, np.int32)))
+        for at, (v, _) in zip(cuts, columns_of, strict=True):
+            held = np.ascontiguousarray(v[at[a] : at[b]])
+            offsets = (at[a : b + 1] - at[a]) * (held.nbytes // max(1, len(held)))
+            columns.append(pa.Array.from_buffers(pa.binary(), n, [None, pa.array(offsets, pa.int32()).buffers()[1], pa.py_buffer(held)]))
+        columns += [pa.nulls(n, pa.binary())] * (len(_SCHEMA) - len(columns))
+        parts.append(pa.Table.from_arrays(columns, schema=_SCHEMA))
+    return _joined(parts)
+
+
+def _joined(tables: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(tables) if tables else _SCHEMA.empty_table()
+
+
+def _of_kind(table: pa.Table, kind: int) -> pa.Table:
+    return table.filter(pc.equal(table.column("kind"), kind))
+
+
+def _values(table: pa.Table, column: str, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """What all messages hold in a column, and how many values each of them has."""
+    data, offsets = text_bytes(table.column(column).cast(pa.large_binary()))
+    return data.view(kind), np.diff(offsets) // np.dtype(kind).itemsize
 
 
 def _sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -76,10 +110,10 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     if keyed is None:
         raise ValueError("a chunk is larger than its place numbers")
     low = _sliding_minimum(keyed, width)
-    starts = np.arange(len(low))
-    row = np.searchsorted(offsets, starts, "right") - 1
-    inside = starts + length <= offsets[row + 1]
-    place = np.unique((low[inside] & _U64(0xFFFFFF)).astype(np.int64))
+    ends = np.repeat(offsets[1:], np.diff(offsets))[: len(low)]
+    inside = np.arange(length, len(low) + length) <= ends
+    place = (low[inside] & _U64(0xFFFFFF)).astype(np.int64)
+    place = place[np.append(True, place[1:] != place[:-1])[: len(place)]]  # the minimum never moves back
     return place, np.searchsorted(offsets, place, "right") - 1, hashes[place]
 
 
@@ -116,13 +150,16 @@ def _shard_and_print(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.nd
     return ((scattered >> _U64(32)) % _U64(shards)).astype(np.int64), (scattered & _U64(0xFFFFFFFF)).astype(_U32)
 
 
-def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    if not len(shard):
-        return
-    by = np.argsort(shard, kind="stable")
-    names, starts = np.unique(shard[by], return_index=True)
-    for name, start, end in zip(names.tolist(), starts.tolist(), [*starts[1:].tolist(), len(by)], strict=True):
-        yield name, by[start:end]
+def _keys_of(hashes: np.ndarray, shards: int) -> np.ndarray:
+    """Shard and fingerprint as one number, in the order of the shards."""
+    shard, prints = _shard_and_print(hashes, shards)
+    return (shard.astype(_U64) << _U64(32)) | prints
+
+
+def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a sorted array and how often each stands in it."""
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)])
+    return ordered[first], np.diff(np.append(first, len(ordered)))
 
 
 def _send_prints(shards: int, length: int):
@@ -130,21 +167,20 @@ def _send_prints(shards: int, length: int):
         block = key[0].as_py()
         ids, data, offsets = _block(left)
         copies = right.column("copy").to_numpy()
-        rows = [(block % shards, block, COPIES, copies.astype("<i8").tobytes(), None, None, None)] if len(copies) else []
+        sent = [_messages(COPIES, block % shards, block, (copies.astype("<i8"), [len(copies)]))] if len(copies) else []
         parts = []
         for row, _, hashes in _document_anchors(data, offsets, np.isin(ids, copies), length):
-            shard, prints = _shard_and_print(hashes, shards)
-            order = np.lexsort((prints, shard, row))
-            row, shard, prints = row[order], shard[order], prints[order]
+            keys = _keys_of(hashes, shards)
+            order = np.lexsort((keys, row))
+            row, keys = row[order], keys[order]
             new = np.ones(len(row), bool)
-            new[1:] = (row[1:] != row[:-1]) | (shard[1:] != shard[:-1]) | (prints[1:] != prints[:-1])
-            parts.append((shard[new], prints[new]))
+            new[1:] = (row[1:] != row[:-1]) | (keys[1:] != keys[:-1])
+            parts.append(keys[new])
         if parts:
-            shard, prints = (np.concatenate(x) for x in zip(*parts, strict=True))
-            for s, at in _by_shard(shard):
-                values, counts = np.unique(prints[at], return_counts=True)
-                rows.append((s, block, PRINTS, values.astype("<u4").tobytes(), counts.astype("<u4").tobytes(), None, None))
-        return _messages(rows)
+            keys, counts = _runs(np.sort(np.concatenate(parts)))
+            names, n = _runs((keys >> _U64(32)).astype(np.int64))
+            sent.append(_messages(PRINTS, names, block, (keys.astype("<u4"), n), (counts.astype("<u4"), n)))
+        return _joined(sent)
 
     return run
 
@@ -152,22 +188,20 @@ def _send_prints(shards: int, length: int):
 def _answer_prints(limit: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         """Of every block's fingerprints those that other documents hold, and the widely shared ones."""
-        sent = table.to_pylist()
-        rows = [tuple(r.values()) for r in sent if r["kind"] != PRINTS]
-        asked = [r for r in sent if r["kind"] == PRINTS]
-        if asked:
-            every, counts = (np.concatenate([np.frombuffer(r[c], "<u4") for r in asked]) for c in "ab")
-            order = np.argsort(every, kind="stable")
-            new = np.flatnonzero(np.append(True, every[order][1:] != every[order][:-1]))
-            count, value = np.add.reduceat(counts[order].astype(np.int64), new), every[order][new]
-            shared, wide = value[count > 1], value[count > limit]
-            for r in asked:
-                own = np.frombuffer(r["a"], "<u4")
-                own = own[np.isin(own, shared, assume_unique=True)]
-                if len(own):
-                    is_wide = np.isin(own, wide, assume_unique=True).astype(np.uint8)
-                    rows.append((r["shard"], r["block"], PRINTS, own.tobytes(), is_wide.tobytes(), None, None))
-        return _messages(rows)
+        asked = _of_kind(table, PRINTS)
+        every, n = _values(asked, "a", "<u4")
+        counts, _ = _values(asked, "b", "<u4")
+        rest = _joined([x for x in (_of_kind(table, k) for k in (CONTEXTS, SPANS, COPIES)) if x.num_rows])
+        if not len(every):
+            return rest
+        order = np.argsort(every, kind="stable")
+        new = np.append(True, every[order][1:] != every[order][:-1])
+        total = np.empty(len(every), np.int64)
+        total[order] = np.add.reduceat(counts[order].astype(np.int64), np.flatnonzero(new))[np.cumsum(new) - 1]
+        shared = total > 1
+        message, n = _runs(np.repeat(np.arange(len(n)), n)[shared])
+        shard, block = (asked.column(c).to_numpy()[message] for c in ("shard", "block"))
+        return _joined([rest, _messages(PRINTS, shard, block, (every[shared], n), ((total[shared] > limit).astype(np.uint8), n))])
 
     return run
 
@@ -190,14 +224,17 @@ def _send_contexts(shards: int, length: int, per: int):
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         block = key[0].as_py()
         ids, data, offsets = _block(left)
-        answers = right.to_pylist()
-        copies = [np.frombuffer(r["a"], "<i8") for r in answers if r["kind"] == COPIES]
-        skip = np.isin(ids, np.concatenate(copies)) if copies else np.zeros(len(ids), bool)
+        copies, _ = _values(_of_kind(right, COPIES), "a", "<i8")
+        skip = np.isin(ids, copies)
         size = np.diff(offsets)
         whole = np.flatnonzero(skip & (size >= length))
         span_ids, span_from, span_to = [ids[whole]], [np.zeros(len(whole), np.int64)], [size[whole]]
-        shared = {r["shard"]: (np.frombuffer(r["a"], "<u4"), np.frombuffer(r["b"], np.uint8)) for r in answers if r["kind"] == PRINTS}
-        asked: dict[int, list[tuple]] = {}
+        answers = _of_kind(right, PRINTS)
+        (prints, n), (flags, _) = _values(answers, "a", "<u4"), _values(answers, "b", "u1")
+        shared = (np.repeat(answers.column("shard").to_numpy(), n).astype(_U64) << _U64(32)) | prints
+        order = np.argsort(shared, kind="stable")
+        shared, flags = shared[order], flags[order]
+        asked: list[tuple] = []
 
         def settle(text: np.ndarray, own: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             """Rows whose bytes no smaller document of this block has; the spans of the others are known."""
@@ -211,48 +248,50 @@ def _send_contexts(shards: int, length: int, per: int):
             span_to.append((start + text[:, -2].astype(np.int64))[later])
             return text[~later], own[~later], start[~later]
 
-        for row, place, hashes in _document_anchors(data, offsets, skip, length) if shared else ():
-            shard, prints = _shard_and_print(hashes, shards)
-            keep, wide = np.zeros(len(row), bool), np.zeros(len(row), bool)
-            for s, at in _by_shard(shard):
-                if s in shared:
-                    values, flags = shared[s]
-                    found = np.minimum(np.searchsorted(values, prints[at]), len(values) - 1)
-                    keep[at] = values[found] == prints[at]
-                    wide[at] = keep[at] & (flags[found] > 0)
+        for row, place, hashes in _document_anchors(data, offsets, skip, length) if len(shared) else ():
+            keys = _keys_of(hashes, shards)
+            found = np.minimum(np.searchsorted(shared, keys), len(shared) - 1)
+            keep = shared[found] == keys
+            wide = keep & (flags[found] > 0)
             low = offsets[row] + np.maximum(place - reach, 0)
             high = offsets[row] + np.minimum(place + length, size[row])
             for narrow in (True, False):
                 at = np.flatnonzero(keep & (wide != narrow))
                 if not len(at):
                     continue
-                start, stop, own, to, name = low[at], high[at], row[at], shard[at], hashes[at]
+                start, stop, own, name = low[at], high[at], row[at], hashes[at]
                 if not narrow:  # every window on its own
                     n = np.maximum(stop - start - length + 1, 0)
                     first = np.cumsum(n) - n
                     start = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(first, n)
-                    own, stop = np.repeat(own, n), start + length
+                    start, first = np.unique(start, return_index=True)  # neighbouring anchors have windows in common
+                    own, stop = np.repeat(own, n)[first], start + length
                     name = _window_names(data, start, length)
-                    to = _shard_and_print(name, shards)[0]
                 fits = stop - start >= length
-                start, stop, own, to, name = start[fits], stop[fits], own[fits], to[fits], name[fits]
+                start, stop, own, name = start[fits], stop[fits], own[fits], name[fits]
                 # The byte before matters only inside a context; at its front any suffix counts as diverse.
                 text = _windows_of(data, start, np.zeros(len(start), np.uint8), stop - start, length + reach)
                 text = np.concatenate([np.ascontiguousarray(name).view(np.uint8).reshape(-1, 8), text], axis=1)
                 start -= offsets[own]
                 if not narrow:
                     text, own, start = settle(text, own, start)
-                    to = _shard_and_print(np.ascontiguousarray(text[:, :8]).view(_U64).ravel(), shards)[0]
-                for s, here in _by_shard(to):
-                    asked.setdefault(s, []).append((text[here], own[here], start[here]))
-        rows = []
-        for s, parts in asked.items():
-            text, own, start = settle(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-            rows.append((s, block, CONTEXTS, text.tobytes(), ids[own].astype("<i8").tobytes(), start.astype("<i8").tobytes(), None))
+                asked.append((text, own, start))
+        sent = []
+        if asked:
+            text, own, start = settle(*(np.concatenate(x) for x in zip(*asked, strict=True)))
+            to = _shard_and_print(np.ascontiguousarray(text[:, :8]).view(_U64).ravel(), shards)[0]
+            order = np.argsort(to, kind="stable")
+            text, own, start, to = text[order], own[order], start[order], to[order]
+            # bytes that a document repeats go once, with their places
+            new = np.ones(len(own), bool)
+            new[1:] = (own[1:] != own[:-1]) | (text[1:] != text[:-1]).any(axis=1)
+            places = np.diff(np.append(np.flatnonzero(new), len(new)))
+            (names, n), (_, every) = _runs(to[new]), _runs(to)
+            sent.append(_messages(CONTEXTS, names, block, (text[new], n), (ids[own[new]].astype("<i8"), n), (places.astype("<u4"), n), (start.astype("<i8"), every)))
         settled = _spans(np.concatenate(span_ids), np.concatenate(span_from), np.concatenate(span_to))
         if len(settled[0]):
-            rows.append((block % shards, block, SPANS, *(x.astype("<i8").tobytes() for x in settled), None))
-        return _messages(rows)
+            sent.append(_messages(SPANS, block % shards, block, *((x.astype("<i8"), [len(x)]) for x in settled)))
+        return _joined(sent)
 
     return run
 
@@ -266,13 +305,21 @@ def _window_names(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarr
 
 
 def _grouped(text: np.ndarray, tie: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of rows by their bytes, then by ``tie``; and the number of each row's class."""
-    rows = np.ascontiguousarray(text).view(np.dtype((np.void, text.shape[1]))).ravel()
-    by_tie = np.argsort(tie, kind="stable")
-    order = by_tie[np.argsort(rows[by_tie], kind="stable")]
-    ordered = rows[order]
-    new = np.ones(len(rows), bool)
-    new[1:] = ordered[1:] != ordered[:-1]
+    """Order that brings equal rows together, by ``tie``; and the number of each row's class.
+
+    Rows are sorted by a hash of their bytes and compared with their neighbours: rows of one hash that differ
+    may split a class, which then stands for itself twice, but no class has rows that differ.
+    """
+    words = np.zeros((len(text), -(-text.shape[1] // 8) * 8), np.uint8)
+    words[:, : text.shape[1]] = text
+    words = words.view(_U64)
+    hashes = np.zeros(len(text), _U64)
+    for i in range(words.shape[1]):
+        hashes = mixed(hashes + words[:, i]) * _U64(0x9E3779B97F4A7C15)
+    order = np.lexsort((tie, hashes))
+    hashes, words = hashes[order], words[order]
+    new = np.ones(len(text), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (words[1:] != words[:-1]).any(axis=1)
     return order, np.cumsum(new) - 1
 
 
@@ -365,32 +412,48 @@ class EnhancedSuffixArray:
                 stack.append([now, first, byte, diverse])
 
 
+def _nearest_smaller(own: np.ndarray, common: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place of the last suffix before each one with a smaller ``own``, and the prefix common to both.
+
+    ``common`` is 0 where a run of suffixes begins, and ``longest`` the most suffixes of a run: a place
+    outside the run has 0 in common. Minima over 2^k suffixes are tried from the widest down.
+    """
+    least, low = [own], [common]
+    while 1 << len(least) <= longest:
+        step = 1 << (len(least) - 1)
+        for levels in (least, low):
+            wider = levels[-1].copy()
+            np.minimum(levels[-1][step:], levels[-1][:-step], out=wider[step:])
+            levels.append(wider)
+    at, held = np.arange(len(own)) - 1, common.copy()
+    for k in reversed(range(len(least))):
+        on = np.flatnonzero(held > 0)  # only those still inside their run
+        there = at[on]
+        passed = least[k][there] >= own[on]
+        on, there = on[passed], there[passed]
+        held[on] = np.minimum(held[on], low[k][there])
+        at[on] -= 1 << k
+    return at, held
+
+
 def covered_suffixes(array: EnhancedSuffixArray, ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Context and byte range of suffixes under the deepest group that a smaller id is part of.
 
-    ``ids`` names the document of each context. An occurrence leaves the scan with that group, so
-    every suffix is handed on at most once, however deep the tree is.
+    ``ids`` names the document of each context. That group is the interval of the common-prefix tree up to
+    the nearest suffix of a smaller id, before or after. If the byte before both is the same, the longer
+    repeat that starts there covers this one.
     """
-    least = ids[array.context].tolist()
-    found, sizes = [], []
-    open_: list[tuple[int, int, list[int]]] = []  # first, last, suffixes that no smaller id covers yet
-    for common, first, last, diverse in array.intervals(length):
-        held: list[int] = []
-        end = last + 1
-        while open_ and open_[-1][0] >= first:
-            low, high, rest = open_.pop()
-            held += range(high + 1, end)
-            held += rest
-            end = low
-        held += range(first, end)
-        lowest = min(least[i] for i in held)
-        rest = [i for i in held if least[i] == lowest]
-        if diverse and len(rest) < len(held):
-            found += [i for i in held if least[i] != lowest]
-            sizes += [common] * (len(held) - len(rest))
-        open_.append((first, last, rest))
-    at = np.asarray(found, np.int64)
-    return array.context[at], array.offset[at], array.offset[at] + np.asarray(sizes, np.int64)
+    own = ids[array.context]
+    common = np.where(array.common >= length, array.common, 0)
+    longest = int(np.diff(np.append(np.flatnonzero(common == 0), len(own))).max(initial=0))
+    back, size = _nearest_smaller(own, common, longest)
+    ahead, other = (x[::-1] for x in _nearest_smaller(own[::-1], np.append(0, common[:0:-1])[: len(own)], longest))
+    witness = np.where(size >= other, back, len(own) - 1 - ahead)
+    size = np.maximum(size, other)
+    at = np.flatnonzero(size > 0)
+    before = array.before[at]
+    at = at[(before < 0) | (before != array.before[witness[at]])]
+    return array.context[at], array.offset[at], array.offset[at] + size[at]
 
 
 def repeat_groups(texts: list[bytes], length: int) -> list[tuple[bytes, list[tuple[int, int]]]]:
@@ -411,23 +474,24 @@ def repeat_groups(texts: list[bytes], length: int) -> list[tuple[bytes, list[tup
 
 def _answer_contexts(length: int, per: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        sent = table.to_pylist()
-        rows = [tuple(r.values()) for r in sent if r["kind"] == SPANS]
-        asked = [r for r in sent if r["kind"] == CONTEXTS]
-        if not asked:
-            return _messages(rows)
+        rest, asked = _of_kind(table, SPANS), _of_kind(table, CONTEXTS)
+        if not asked.num_rows:
+            return rest
         width = 2 * length - GRAM + 10
-        text = np.concatenate([np.frombuffer(r["a"], np.uint8).reshape(-1, width) for r in asked])
-        ids = np.concatenate([np.frombuffer(r["b"], "<i8") for r in asked])
-        start = np.concatenate([np.frombuffer(r["c"], "<i8") for r in asked])
-        block = np.repeat([r["block"] for r in asked], [len(r["b"]) // 8 for r in asked])
+        text = _values(asked, "a", "u1")[0].reshape(-1, width)
+        ids, n = _values(asked, "b", "<i8")
+        places, _ = _values(asked, "c", "<u4")
+        start, _ = _values(asked, "d", "<i8")
+        places = places.astype(np.int64)
+        begin = np.cumsum(places) - places
+        block = np.repeat(asked.column("block").to_numpy(), n)
         order, group = _grouped(text, ids)
-        text, ids, start, block = text[order], ids[order], start[order], block[order]
+        text, ids, begin, places, block = text[order], ids[order], begin[order], places[order], block[order]
         first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
         docs = ids // per
         own = docs == docs[first][group]  # of a class of equal contexts, its smallest document stays
         at = np.flatnonzero(~own)
-        covered = [at, start[at], start[at] + text[at, -2]]
+        covered = [at, np.zeros(len(at), np.int64), text[at, -2].astype(np.int64)]
         # A context alone under its anchor repeats as a whole or not at all.
         _, name, count = np.unique(np.ascontiguousarray(text[first, :8]).view(_U64).ravel(), return_inverse=True, return_counts=True)
         chosen = np.flatnonzero(count[name] > 1)
@@ -442,17 +506,22 @@ def _answer_contexts(length: int, per: int):
             found.append((part[context], low, high))
             cut = cut[n:]
         classes, low, high = (np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in range(3))
-        # Spans of a class hold for each of its places in its smallest document.
-        places = np.flatnonzero(own)
-        from_ = np.searchsorted(group[places], classes)
-        n = np.searchsorted(group[places], classes, "right") - from_
-        at = places[np.repeat(from_ - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        low, high = start[at] + np.repeat(low, n), start[at] + np.repeat(high, n)
-        at, low, high = np.append(covered[0], at), np.append(covered[1], low), np.append(covered[2], high)
-        for b, here in _by_shard(block[at]):
-            merged = _spans(ids[at][here], low[here], high[here])
-            rows.append((0, b, SPANS, *(x.astype("<i8").tobytes() for x in merged), None))
-        return _messages(rows)
+        # Spans of a class hold for all rows of its smallest document, and spans of a row for each of its places.
+        mine = np.flatnonzero(own)
+        from_ = np.searchsorted(group[mine], classes)
+        n = np.searchsorted(group[mine], classes, "right") - from_
+        at = np.append(covered[0], mine[np.repeat(from_ - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+        low, high = (np.append(c, np.repeat(x, n)) for c, x in zip(covered[1:], (low, high), strict=True))
+        n = places[at]
+        from_ = start[np.repeat(begin[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        at, low, high = np.repeat(at, n), from_ + np.repeat(low, n), from_ + np.repeat(high, n)
+        merged = _spans(ids[at], low, high)
+        # all rows of a name are in one block
+        names, one = np.unique(ids[at], return_index=True)
+        to = block[at[one]][np.searchsorted(names, merged[0])]
+        order = np.argsort(to, kind="stable")
+        blocks, n = _runs(to[order])
+        return _joined([rest, _messages(SPANS, 0, blocks, *((x[order].astype("<i8"), n) for x in merged))])
 
     return run
 
@@ -467,11 +536,10 @@ _RESULT_SCHEMA = pa.schema([
 def _remove(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
     ids, names = left.column("doc_id").to_pylist(), left.column("name")
     data, offsets = text_bytes(left.column("text"))
-    got = [tuple(np.frombuffer(r[c], "<i8") for c in "abc") for r in right.to_pylist() if r["kind"] == SPANS]
+    got = _of_kind(right, SPANS)
     spans: dict[int, list[tuple[int, int]]] = {}
-    if got:
-        for name, low, high in zip(*(x.tolist() for x in _spans(*(np.concatenate(x) for x in zip(*got, strict=True)))), strict=True):
-            spans.setdefault(name, []).append((low, high))
+    for name, low, high in zip(*(x.tolist() for x in _spans(*(_values(got, c, "<i8")[0] for c in "abc"))), strict=True):
+        spans.setdefault(name, []).append((low, high))
     out: dict[str, list] = {f.name: [] for f in _RESULT_SCHEMA}
     for i, name in enumerate(names.to_pylist()):
         text = data[offsets[i] : offsets[i + 1]]
@@ -551,8 +619,8 @@ def _with_ids(function):
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return _messages([])
+            return _SCHEMA.empty_table()
         known = left.filter(left.column("doc_id").is_valid())
-        return function(key, known, right) if known.num_rows else _messages([])
+        return function(key, known, right) if known.num_rows else _SCHEMA.empty_table()
 
     return run
